@@ -638,3 +638,119 @@ def q5_child_after_parent(spark, d):
     return Q.child_after_parent_event(_t(spark, d, "lineitem"), "l_orderkey", "l_shipdate",
                                       _t(spark, d, "orders"), "o_orderkey", "o_orderdate",
                                       parent_filter=F.col("o_orderstatus") == "F").violations
+
+
+# ====================================================================== suite
+from sieve.plans import flagship as _fs  # noqa: E402
+from sieve.plans import report as G  # noqa: E402
+
+_SUITE_COLUMNS = ["rule_name", "rule_type", "severity", "severity_rank", "passed", "violation_count"]
+_SUITE_SQL = _fs.flagship_oracle_sql()
+
+
+@register("e1_suite_results", _SUITE_SQL)
+def e1_suite_results(spark, d):
+    return _fs.flagship_results(spark, d).select(*_SUITE_COLUMNS)
+
+
+@register("e2_suite_severity_filter", f"""
+SELECT * FROM ({_SUITE_SQL}) r WHERE severity IN ('critical', 'high')""")
+def e2_suite_severity_filter(spark, d):
+    from sieve.plans.suite import run_suite
+    tables = read_tables(spark, d, _fs.FLAGSHIP_TABLES)
+    return run_suite(spark, tables, _fs.FLAGSHIP_RULES, severity_filter=["CRITICAL", "High"]).results.select(
+        *_SUITE_COLUMNS)
+
+
+@register("e6_fused_row_checks", """
+SELECT CAST(count_if(l_quantity < 1 OR l_quantity > 45) AS BIGINT) AS quantity_range,
+       CAST(count_if(l_discount < 0 OR l_discount > 0.08) AS BIGINT) AS discount_range,
+       CAST(count_if(NOT regexp_matches(l_returnflag, '^[AR]$')) AS BIGINT) AS returnflag_format,
+       CAST(count_if(l_shipdate > TIMESTAMP '2001-06-30') AS BIGINT) AS shipdate_future,
+       CAST(count_if(l_comment_missing) AS BIGINT) AS completeness
+FROM (SELECT *, l_returnflag IS NULL OR l_returnflag = '' OR l_linestatus IS NULL OR l_linestatus = ''
+          AS l_comment_missing FROM lineitem) t""")
+def e6_fused_row_checks(spark, d):
+    """E6 on its own: five row rules on lineitem evaluated in one scan."""
+    from sieve.plans.fused import fused_counts
+    li = _t(spark, d, "lineitem")
+    return fused_counts(li, {
+        "quantity_range": N.value_range(li, "l_quantity", 1, 45),
+        "discount_range": N.value_range(li, "l_discount", 0, 0.08),
+        "returnflag_format": PT.pattern(li, "l_returnflag", "^[AR]$"),
+        "shipdate_future": N.future_dates(li, "l_shipdate", "2001-06-30"),
+        "completeness": C.completeness(li, ["l_returnflag", "l_linestatus"]),
+    })
+
+
+@register("g1_run_summary", f"""
+SELECT CAST(count(*) AS BIGINT) AS total_rules, CAST(count_if(passed) AS BIGINT) AS passed,
+       CAST(count_if(NOT passed) AS BIGINT) AS failed FROM ({_SUITE_SQL}) r""")
+def g1_run_summary(spark, d):
+    return G.run_summary(_fs.flagship_results(spark, d))
+
+
+@register("g2_failures_by_severity", f"""
+SELECT CAST(count_if(NOT passed AND severity = 'critical') AS BIGINT) AS critical,
+       CAST(count_if(NOT passed AND severity = 'high') AS BIGINT) AS high,
+       CAST(count_if(NOT passed AND severity = 'medium') AS BIGINT) AS medium,
+       CAST(count_if(NOT passed AND severity = 'low') AS BIGINT) AS low FROM ({_SUITE_SQL}) r""")
+def g2_failures_by_severity(spark, d):
+    return G.failures_by_severity(_fs.flagship_results(spark, d))
+
+
+@register("g3_failed_rules", f"""
+SELECT rule_name, severity, severity_rank, violation_count FROM ({_SUITE_SQL}) r WHERE NOT passed
+ORDER BY severity_rank, rule_name""")
+def g3_failed_rules(spark, d):
+    return G.failed_rules(_fs.flagship_results(spark, d)).select(
+        "rule_name", "severity", "severity_rank", "violation_count")
+
+
+@register("g4_high_failures", f"""
+SELECT rule_name, violation_count FROM ({_SUITE_SQL}) r WHERE NOT passed AND severity = 'high'""")
+def g4_high_failures(spark, d):
+    return G.high_failures(_fs.flagship_results(spark, d)).select("rule_name", "violation_count")
+
+
+@register("g5_quality_score", """
+SELECT 'orders' AS table_name, CAST(count(*) AS BIGINT) AS total_records,
+       CAST(count_if(o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+                     OR o_totalprice > 300000) AS BIGINT) AS records_with_issues,
+       CAST(100.0 - count_if(o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+                             OR o_totalprice > 300000) * 100.0 / count(*) AS DECIMAL(5,2)) AS quality_score
+FROM orders
+UNION ALL
+SELECT 'lineitem', count(*), count_if(l_quantity > 45 OR l_discount > 0.08),
+       CAST(100.0 - count_if(l_quantity > 45 OR l_discount > 0.08) * 100.0 / count(*) AS DECIMAL(5,2))
+FROM lineitem""")
+def g5_quality_score(spark, d):
+    o = G.with_match_flag(_t(spark, d, "orders"), "o_custkey",
+                          _t(spark, d, "customer").filter(F.col("c_acctbal") > 0), "c_custkey", "has_customer")
+    li = _t(spark, d, "lineitem")
+    return G.quality_scores([
+        ("orders", o, ~F.col("has_customer") | (F.col("o_totalprice") > 300000)),
+        ("lineitem", li, (F.col("l_quantity") > 45) | (F.col("l_discount") > 0.08)),
+    ])
+
+
+@register("g6_quality_trend", """
+SELECT CAST(ts AS DATE) AS check_date, CAST(count(*) AS BIGINT) AS records_checked,
+       CAST(count_if(value > 300) AS BIGINT) AS high_value, CAST(count_if(event_type = 'error') AS BIGINT) AS errors
+FROM events GROUP BY CAST(ts AS DATE) ORDER BY check_date DESC""")
+def g6_quality_trend(spark, d):
+    ev = _t(spark, d, "events")
+    return G.quality_trend(ev, "ts", {"high_value": F.col("value") > 300, "errors": F.col("event_type") == "error"})
+
+
+@register("g7_history_trend", """
+WITH h AS (SELECT event_type AS connection, CAST(ts AS DATE) AS timestamp, CAST(count(*) AS BIGINT) AS total,
+                  CAST(count_if(value > 100) AS BIGINT) AS failed FROM events GROUP BY 1, 2)
+SELECT *, lag(failed) OVER (PARTITION BY connection ORDER BY timestamp) AS previous_failed,
+       failed - lag(failed) OVER (PARTITION BY connection ORDER BY timestamp) AS failed_change FROM h""")
+def g7_history_trend(spark, d):
+    """History: one 'run' per (event type, day) with the rows over 100 as its failures."""
+    ev = _t(spark, d, "events")
+    hist = ev.groupBy(F.col("event_type").alias("connection"), F.to_date("ts").alias("timestamp")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("total"), F.count_if(F.col("value") > 100).cast("bigint").alias("failed"))
+    return G.history_trend(hist)
