@@ -754,3 +754,93 @@ def g7_history_trend(spark, d):
     hist = ev.groupBy(F.col("event_type").alias("connection"), F.to_date("ts").alias("timestamp")).agg(
         F.count(F.lit(1)).cast("bigint").alias("total"), F.count_if(F.col("value") > 100).cast("bigint").alias("failed"))
     return G.history_trend(hist)
+
+
+# ================================================================== streaming
+from sieve.functions import predicates as P  # noqa: E402
+from sieve.streaming import checks as S  # noqa: E402
+
+_KNOWN_EVENT = "^(view|click|purchase|signup)$"
+_T1_CONDS = {
+    "value_range": "value IS NOT NULL AND NOT isnan(value) AND (value < 1 OR value > 300)",
+    "event_type_known": f"event_type IS NOT NULL AND NOT regexp_matches(event_type, '{_KNOWN_EVENT}')",
+    "user_present": "user_id IS NULL",
+}
+_T1_ANY = " OR ".join(f"({c})" for c in _T1_CONDS.values())
+
+
+def _events_stream(spark, d, max_files=None):
+    schema = _t(spark, d, "events").schema
+    return S.file_stream(spark, d, schema, file_glob="events.parquet", max_files_per_trigger=max_files)
+
+
+def _t1_predicates(stream):
+    return {
+        "value_range": P.out_of_range(stream, "value", 1, 300),
+        "event_type_known": P.pattern_violation("event_type", _KNOWN_EVENT),
+        "user_present": P.any_missing(stream, ["user_id"]),
+    }
+
+
+@register("t1_stream_row_checks", f"""
+SELECT event_id, concat_ws(',', {', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _T1_CONDS.items())})
+       AS failed_rules
+FROM events WHERE {_T1_ANY}""")
+def t1_stream_row_checks(spark, d):
+    stream = _events_stream(spark, d)
+    q, good, bad = S.run_row_checks(spark, stream, _t1_predicates(stream))
+    q.awaitTermination()
+    return spark.read.parquet(bad).select("event_id", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+@register("t1_stream_good_bad_split", f"""
+SELECT 'bad' AS status, CAST(count_if({_T1_ANY}) AS BIGINT) AS row_count FROM events
+UNION ALL SELECT 'good', CAST(count_if(NOT ({_T1_ANY})) AS BIGINT) FROM events""")
+def t1_stream_good_bad_split(spark, d):
+    stream = _events_stream(spark, d)
+    q, good, bad = S.run_row_checks(spark, stream, _t1_predicates(stream))
+    q.awaitTermination()
+    counts = [spark.read.parquet(p).agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
+              .select(F.lit(k).alias("status"), "row_count") for k, p in (("bad", bad), ("good", good))]
+    return counts[0].unionByName(counts[1])
+
+
+@register("t2_stream_window_trend", """
+SELECT CAST(ts AS DATE) AS window_date, CAST(count(*) AS BIGINT) AS records_checked,
+       CAST(count_if(value > 300) AS BIGINT) AS high_value, CAST(count_if(event_type = 'error') AS BIGINT) AS errors
+FROM events GROUP BY CAST(ts AS DATE)""")
+def t2_stream_window_trend(spark, d):
+    stream = _events_stream(spark, d)
+    trend = S.windowed_trend(stream, "ts", {"high_value": F.col("value") > 300,
+                                            "errors": F.col("event_type") == "error"})
+    q, path = S.run_to_parquet(spark, trend, "window_trend", output_mode="complete")
+    q.awaitTermination()
+    return spark.read.parquet(path).select(F.to_date(F.col("window.start")).alias("window_date"),
+                                           "records_checked", "high_value", "errors")
+
+
+@register("t3_stream_orphans", ORACLE["r1_orphans_events_customer"])
+def t3_stream_orphans(spark, d):
+    stream = _events_stream(spark, d)
+    cust = _t(spark, d, "customer").filter(F.col("c_mktsegment") != "AUTOMOBILE")
+    q, path = S.run_to_parquet(spark, S.stream_orphans(stream, "user_id", cust, "c_custkey"), "orphans")
+    q.awaitTermination()
+    return spark.read.parquet(path)
+
+
+@register("t4_stream_batch_duplicates", _dup_summary_sql("events", ["user_id", "event_type"]))
+def t4_stream_batch_duplicates(spark, d):
+    """D1 per micro-batch; the events file arrives as one batch, so it equals the table's D1."""
+    q, path = S.run_batch_duplicates(spark, _events_stream(spark, d, max_files=1), ["user_id", "event_type"])
+    q.awaitTermination()
+    return spark.read.parquet(path).drop("batch_id")
+
+
+@register("t4_stream_drop_repeats", """
+SELECT DISTINCT user_id, event_type FROM events""")
+def t4_stream_drop_repeats(spark, d):
+    """Repeats within the watermark dropped; in one batch each key is kept once."""
+    s = S.drop_repeats(_events_stream(spark, d), ["user_id", "event_type"], "ts", "1 hour")
+    q, path = S.run_to_parquet(spark, s, "drop_repeats")
+    q.awaitTermination()
+    return spark.read.parquet(path).select("user_id", "event_type")
