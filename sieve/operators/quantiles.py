@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 DISTINCT_LIMIT = 2_000_000
 ACCURACY = 20_000
+MAX_ACCURACY = 200_000  # keeps every percentile_approx sketch small
 
 
 def clean_values(df: DataFrame, column: str) -> DataFrame:
@@ -71,6 +72,7 @@ def order_statistics(values: DataFrame, ranks: list[int], n: int | None = None,
     # bracket search: state per rank = (lo, hi, rank within [lo, hi], rows in [lo, hi], exact ok)
     state = {r: (None, None, r, n, False) for r in ranks}
     result: dict[int, float] = {}
+    widen = 1.0
     for _ in range(64):
         todo = {r: s for r, s in state.items() if r not in result}
         if not todo:
@@ -82,7 +84,7 @@ def order_statistics(values: DataFrame, ranks: list[int], n: int | None = None,
             result.update({r: float(row[f"r{r}"]) for r in small})
             continue
         # 1) approximate brackets inside each slice (one job for all ranks)
-        margin = 2.0 / accuracy
+        margin = widen * 2.0 / accuracy
         aggs = []
         for r, (lo, hi, k, m, _) in todo.items():
             p = k / max(m - 1, 1)
@@ -104,11 +106,13 @@ def order_statistics(values: DataFrame, ranks: list[int], n: int | None = None,
             a_lo, a_hi = (float(x) for x in arow[f"a{r}"])
             below, inside_n, inside_d = int(crow[f"b{r}"]), int(crow[f"i{r}"]), int(crow[f"d{r}"])
             if not (below <= k < below + inside_n):
-                accuracy = max(100, accuracy // 4)  # estimate missed: widen and retry
+                widen *= 4  # estimate missed the rank: retry with a wider margin
             elif a_lo == a_hi:
                 result[r] = a_lo  # the whole bracket is one value
             elif inside_n < m or inside_d <= distinct_limit:
                 state[r] = (a_lo, a_hi, k - below, inside_n, inside_d <= distinct_limit)
+            elif accuracy < MAX_ACCURACY:
+                accuracy = min(MAX_ACCURACY, accuracy * 8)  # heavy ties: a finer sketch
             else:
                 raise RuntimeError("order statistics: bracket does not shrink")
     missing = [r for r in ranks if r not in result]
