@@ -90,13 +90,34 @@ def duplicates(df: DataFrame, columns: list[str], case_sensitive: bool = True,
         F.coalesce(F.sum("duplicate_count"), F.lit(0)).cast("bigint").alias("member_rows"),
     )
     members = duplicate_members(df, columns, case_sensitive, ignore_null)
+    order = [F.col("duplicate_count").desc(), *[F.col(f"__k{i}").asc_nulls_first() for i in range(len(columns))]]
+
+    def top(n: int = 10) -> DataFrame:
+        return g.orderBy(*order).limit(n).select(*columns, "duplicate_count")
+
+    def sample(n: int) -> DataFrame:
+        """Member rows of the 10 largest groups: the groups side is at most 10
+        rows (a proven bound), so it is broadcast and the table is scanned once
+        with no shuffle."""
+        tops = g.orderBy(*order).limit(10).select(*[f"__k{i}" for i in range(len(columns))],
+                                                  F.col("duplicate_count").alias("group_size"))
+        src = _source(df, columns, ignore_null)
+        keyed = src.select("*", *[e.alias(k) for k, e in _keys(df, columns, case_sensitive)])
+        cond = None
+        for i in range(len(columns)):
+            a, b = keyed[f"__k{i}"], tops[f"__k{i}"]
+            term = (a == b) if ignore_null else a.eqNullSafe(b)
+            cond = term if cond is None else cond & term
+        j = keyed.join(F.broadcast(tops), cond, "inner")
+        return (j.select(*[keyed[c] for c in src.columns], tops["group_size"])
+                 .orderBy(F.col(columns[0]).asc_nulls_first()).limit(n))
+
     return Outcome(
         violations=members,
         summary=summary,
         metadata={"columns_checked": list(columns), "case_sensitive": case_sensitive,
                   "ignore_null": ignore_null},
-        extras={"groups": lambda n=10: top_duplicate_groups(df, columns, n, case_sensitive=case_sensitive,
-                                                             ignore_null=ignore_null)},
+        extras={"groups": top, "sample": sample, "persist": [g]},
         sample_order=[columns[0]],
     )
 

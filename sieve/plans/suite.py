@@ -25,6 +25,7 @@ import uuid
 from collections import defaultdict
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,10 +75,14 @@ def _meta(values: dict) -> dict[str, str]:
 
 
 def _sample(out: Outcome, n: int) -> list[str]:
-    v = out.violations
-    if out.sample_order:
-        v = v.orderBy(*out.sample_order)
-    rows = v.limit(n).select(F.to_json(F.struct(*[v[c] for c in v.columns])).alias("j")).collect()
+    if "sample" in out.extras:
+        v = out.extras["sample"](n)
+    else:
+        v = out.violations
+        if out.sample_order:
+            v = v.orderBy(*out.sample_order)
+        v = v.limit(n)
+    rows = v.select(F.to_json(F.struct(*[v[c] for c in v.columns])).alias("j")).collect()
     return [r["j"] for r in rows]
 
 
@@ -134,6 +139,11 @@ def _evaluate(spark: SparkSession, tables: dict, rules: list[dict], settings: di
 
     for name, (rule, out, t_compile) in compiled.items():
         t0 = time.perf_counter()
+        # intermediate results several jobs of this rule read (e.g. duplicate
+        # groups): kept for the rule's jobs only; lost blocks are recomputed
+        shared = out.extras.get("persist", []) if name not in counts else []
+        for df in shared:
+            df.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if name in counts:
                 count, extra, t_scan = counts[name]
@@ -160,6 +170,9 @@ def _evaluate(spark: SparkSession, tables: dict, rules: list[dict], settings: di
         except Exception as e:  # noqa: BLE001
             results[name] = _result(rule, False, error=f"Query execution failed: {e}",
                                     elapsed_ms=t_compile + (time.perf_counter() - t0) * 1e3)
+        finally:
+            for df in shared:
+                df.unpersist()
     return results
 
 

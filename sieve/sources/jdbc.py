@@ -51,26 +51,38 @@ def _properties(cfg: dict) -> dict:
     return props
 
 
-def read_jdbc_table(spark: SparkSession, cfg: dict, table: str, partition_column: str | None = None,
-                    lower_bound=None, upper_bound=None, num_partitions: int | None = None) -> DataFrame:
-    """Read one table; parallel range reads when a partition column is given."""
-    reader = spark.read.format("jdbc").option("url", connection_url(cfg)).option("dbtable", table)
-    for k, v in _properties(cfg).items():
-        reader = reader.option(k, v)
+def jdbc_options(cfg: dict, table: str | None = None, query: str | None = None,
+                 partition_column: str | None = None, lower_bound=None, upper_bound=None,
+                 num_partitions: int | None = None) -> dict[str, str]:
+    """All reader options for one table (``dbtable``) or one remote query (``query``)."""
+    if (table is None) == (query is None):
+        raise ValueError("give exactly one of table or query")
+    opts = {"url": connection_url(cfg), **_properties(cfg)}
+    if table is not None:
+        opts["dbtable"] = table
+    else:
+        opts["query"] = query
     if partition_column:
+        if query is not None:
+            raise ValueError("partitioned reads need a table, not a query")
         if lower_bound is None or upper_bound is None or not num_partitions:
             raise ValueError("partitioned JDBC read needs lower_bound, upper_bound and num_partitions")
-        reader = (reader.option("partitionColumn", partition_column).option("lowerBound", str(lower_bound))
-                  .option("upperBound", str(upper_bound)).option("numPartitions", str(num_partitions)))
-    return reader.load()
+        opts.update(partitionColumn=partition_column, lowerBound=str(lower_bound),
+                    upperBound=str(upper_bound), numPartitions=str(int(num_partitions)))
+    return opts
+
+
+def read_jdbc_table(spark: SparkSession, cfg: dict, table: str, partition_column: str | None = None,
+                    lower_bound=None, upper_bound=None, num_partitions: int | None = None) -> DataFrame:
+    """Read one table; parallel range reads (one per task) when a partition column is given."""
+    opts = jdbc_options(cfg, table=table, partition_column=partition_column, lower_bound=lower_bound,
+                        upper_bound=upper_bound, num_partitions=num_partitions)
+    return spark.read.format("jdbc").options(**opts).load()
 
 
 def read_jdbc_query(spark: SparkSession, cfg: dict, query: str) -> DataFrame:
     """S5 against a remote database: the query runs there, its rows stream in."""
-    reader = spark.read.format("jdbc").option("url", connection_url(cfg)).option("query", query)
-    for k, v in _properties(cfg).items():
-        reader = reader.option(k, v)
-    return reader.load()
+    return spark.read.format("jdbc").options(**jdbc_options(cfg, query=query)).load()
 
 
 def read_jdbc_tables(spark: SparkSession, cfg: dict, tables: dict[str, dict | None]) -> dict[str, DataFrame]:
