@@ -844,3 +844,121 @@ def t4_stream_drop_repeats(spark, d):
     q, path = S.run_to_parquet(spark, s, "drop_repeats")
     q.awaitTermination()
     return spark.read.parquet(path).select("user_id", "event_type")
+
+
+# ============================================================ sources, sinks
+import uuid as _uuid  # noqa: E402
+
+from pyspark.sql import types as _T  # noqa: E402
+
+from sieve.session import checkpoint_subdir  # noqa: E402
+from sieve.sources import files as _files  # noqa: E402
+from sieve.sources import sinks as _sinks  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint dir for a sink round trip."""
+    return checkpoint_subdir(spark, f"sinks/{name}-{_uuid.uuid4().hex[:12]}")
+
+
+_ORDERS_CSV_SCHEMA = _T.StructType([
+    _T.StructField("o_orderkey", _T.LongType()), _T.StructField("o_custkey", _T.LongType()),
+    _T.StructField("o_totalprice", _T.DoubleType()), _T.StructField("o_orderpriority", _T.StringType()),
+])
+
+
+@register("s3_csv_source_range", """
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, CAST(NULL AS VARCHAR) AS _corrupt_record
+FROM orders WHERE o_totalprice > 300000""")
+def s3_csv_source_range(spark, d):
+    """Orders written as CSV, read back with an explicit schema (PERMISSIVE), then N3."""
+    path = _scratch(spark, "orders_csv")
+    _t(spark, d, "orders").select(*[f.name for f in _ORDERS_CSV_SCHEMA.fields]).write.option(
+        "header", True).csv(path)
+    df = _files.read_csv(spark, path, _ORDERS_CSV_SCHEMA)
+    return N.value_range(df, "o_totalprice", max_value=300000).violations
+
+
+@register("s3_csv_corrupt_rows", """
+SELECT CAST(0 AS BIGINT) AS corrupt_rows,
+       CAST(count_if(o_orderkey IS NULL OR o_custkey IS NULL OR o_totalprice IS NULL OR o_orderpriority IS NULL)
+            AS BIGINT) AS rows_with_nulls, CAST(count(*) AS BIGINT) AS total_rows FROM orders""")
+def s3_csv_corrupt_rows(spark, d):
+    path = _scratch(spark, "orders_csv")
+    _t(spark, d, "orders").select(*[f.name for f in _ORDERS_CSV_SCHEMA.fields]).write.option(
+        "header", True).csv(path)
+    df = _files.read_csv(spark, path, _ORDERS_CSV_SCHEMA)
+    return _files.corrupt_summary(df)
+
+
+@register("s6_report_sink", f"""
+SELECT rule_name, rule_type, severity, passed, violation_count FROM ({_SUITE_SQL}) r""")
+def s6_report_sink(spark, d):
+    rep = _fs.flagship_report(spark, d)
+    path = _scratch(spark, "report")
+    _sinks.write_report(rep, path)
+    return spark.read.json(path).select("rule_name", "rule_type", "severity", "passed",
+                                        F.col("violation_count").cast("bigint").alias("violation_count"))
+
+
+@register("s7_summary_sink", f"""
+SELECT CAST(count(*) AS BIGINT) AS total_rules, CAST(count_if(passed) AS BIGINT) AS passed,
+       CAST(count_if(NOT passed) AS BIGINT) AS failed,
+       CAST(count_if(NOT passed AND severity = 'critical') AS BIGINT) AS critical_count,
+       CAST(count_if(NOT passed AND severity = 'high') AS BIGINT) AS high_failures,
+       CAST(string_agg(CASE WHEN NOT passed THEN rule_name END, ',' ORDER BY severity_rank, rule_name) AS VARCHAR)
+         AS failed_rules
+FROM ({_SUITE_SQL}) r""")
+def s7_summary_sink(spark, d):
+    rep = _fs.flagship_report(spark, d)
+    path = _scratch(spark, "summary")
+    _sinks.write_summary(rep, path)
+    s = spark.read.json(path)
+    return s.select(*[F.col(c).cast("bigint").alias(c) for c in ("total_rules", "passed", "failed", "critical_count")],
+                    F.col("failures_by_severity.high").cast("bigint").alias("high_failures"),
+                    F.array_join(F.transform("failed_rules", lambda r: r["name"]), ",").alias("failed_rules"))
+
+
+@register("s8_history_sink", f"""
+WITH r AS ({_SUITE_SQL}), one AS (
+  SELECT CAST(count(*) AS BIGINT) AS total, CAST(count_if(passed) AS BIGINT) AS passed,
+         CAST(count_if(NOT passed) AS BIGINT) AS failed,
+         CAST(count_if(NOT passed AND severity = 'critical') AS BIGINT) AS critical,
+         CAST(count_if(NOT passed AND severity = 'high') AS BIGINT) AS high FROM r)
+SELECT * FROM one UNION ALL SELECT * FROM one""")
+def s8_history_sink(spark, d):
+    """Two runs appended to one history dataset, read back."""
+    path = _scratch(spark, "history")
+    for _ in range(2):
+        _sinks.append_history(_fs.flagship_report(spark, d), path)
+    return _sinks.read_history(spark, path).select("total", "passed", "failed", "critical", "high")
+
+
+_S9_COUNTS = [
+    ("lineitem_required", "SELECT count(*) FROM lineitem WHERE l_orderkey IS NULL OR l_partkey IS NULL "
+     "OR l_suppkey IS NULL OR l_returnflag IS NULL OR l_returnflag = ''"),
+    ("lineitem_order_fk", "SELECT count(*) FROM lineitem l WHERE l.l_orderkey IS NOT NULL AND NOT EXISTS "
+     "(SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)"),
+    ("lineitem_unique_line", "SELECT COALESCE(SUM(c), 0) FROM (SELECT count(*) c FROM lineitem "
+     "GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)"),
+    ("customer_name_unique", "SELECT COALESCE(SUM(c), 0) FROM (SELECT count(*) c FROM customer "
+     "WHERE c_name IS NOT NULL GROUP BY c_name HAVING count(*) > 1)"),
+]
+
+
+def _s9_oracle() -> str:
+    member_rules = {n for n, _ in _S9_COUNTS}
+    parts = [f"SELECT '{n}' AS rule_name, CAST(({sql}) AS BIGINT) AS violation_rows"
+             for n, kind, sev, sql in _fs.FLAGSHIP_COUNTS_SQL if n not in member_rules]
+    parts += [f"SELECT '{n}', CAST(({sql}) AS BIGINT)" for n, sql in _S9_COUNTS]
+    return "SELECT * FROM (\n" + "\nUNION ALL\n".join(parts) + "\n) v WHERE violation_rows > 0"
+
+
+@register("s9_violation_sink", _s9_oracle())
+def s9_violation_sink(spark, d):
+    """Every violating row of every failed rule (duplicates: all member rows), written and counted back."""
+    rep = _fs.flagship_report(spark, d)
+    path = _scratch(spark, "violations")
+    _sinks.write_violations(rep, path)
+    return (spark.read.parquet(path).groupBy("rule_name")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("violation_rows")))

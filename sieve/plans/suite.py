@@ -23,6 +23,7 @@ import json
 import time
 import uuid
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -34,7 +35,8 @@ from sieve.operators.base import Outcome
 from sieve.plans.rules import SEVERITY_RANK, compile_rule, validate_rules
 from sieve.sources.tables import register_views
 
-DEFAULT_SETTINGS = {"sample_size": 5, "stop_on_critical": False, "fuse": True}
+DEFAULT_SETTINGS = {"sample_size": 5, "stop_on_critical": False, "fuse": True,
+                    "parallel_execution": True, "max_workers": 4}
 
 RESULTS_SCHEMA = T.StructType([
     T.StructField("rule_name", T.StringType(), False),
@@ -105,17 +107,42 @@ def _result(rule: dict, passed: bool, count: int = 0, sample=None, error: str |
     }
 
 
+def _pmap(spark: SparkSession, settings: dict, fn, items: list, label) -> list:
+    """Apply ``fn`` to every item, submitting the Spark jobs of independent
+    items from separate driver threads so Spark runs them side by side (the
+    cluster is shared by many small jobs instead of idling between them).
+    Results come back in input order."""
+    def run(item):
+        spark.sparkContext.setJobDescription(f"sieve: {label(item)}")
+        try:
+            return fn(item)
+        finally:
+            spark.sparkContext.setJobDescription(None)
+
+    workers = int(settings.get("max_workers", 4)) if settings.get("parallel_execution", True) else 1
+    if workers <= 1 or len(items) <= 1:
+        return [run(i) for i in items]
+    with ThreadPoolExecutor(max_workers=min(workers, len(items))) as pool:
+        return list(pool.map(run, items))
+
+
 def _evaluate(spark: SparkSession, tables: dict, rules: list[dict], settings: dict,
               outcomes: dict) -> dict[str, dict]:
     results: dict[str, dict] = {}
-    compiled: dict[str, tuple[dict, Outcome, float]] = {}
-    for rule in rules:
+
+    def compile_one(rule):
         t0 = time.perf_counter()
         try:
-            compiled[rule["name"]] = (rule, compile_rule(spark, tables, rule), (time.perf_counter() - t0) * 1e3)
+            return rule, compile_rule(spark, tables, rule), (time.perf_counter() - t0) * 1e3, None
         except Exception as e:  # noqa: BLE001 - E4: one failed result, run continues
-            results[rule["name"]] = _result(rule, False, error=f"Validator error: {e}",
-                                            elapsed_ms=(time.perf_counter() - t0) * 1e3)
+            return rule, None, (time.perf_counter() - t0) * 1e3, e
+
+    compiled: dict[str, tuple[dict, Outcome, float]] = {}
+    for rule, out, ms, err in _pmap(spark, settings, compile_one, rules, lambda r: r["name"]):
+        if err is not None:
+            results[rule["name"]] = _result(rule, False, error=f"Validator error: {err}", elapsed_ms=ms)
+        else:
+            compiled[rule["name"]] = (rule, out, ms)
 
     counts: dict[str, tuple[int, dict, float]] = {}
     if settings.get("fuse", True):
@@ -123,21 +150,25 @@ def _evaluate(spark: SparkSession, tables: dict, rules: list[dict], settings: di
         for name, (_, out, _) in compiled.items():
             if out.predicate is not None and out.source is not None:
                 groups[id(out.source)].append(name)
-        for names in groups.values():
-            if len(names) < 2:
-                continue
+
+        def fused(names):
             src = compiled[names[0]][1].source
             t0 = time.perf_counter()
             try:  # E6: one scan for every row rule on this table
                 row = src.agg(*[F.count_if(compiled[n][1].predicate).alias(f"c{i}")
                                 for i, n in enumerate(names)]).first()
-            except Exception:  # noqa: BLE001 - re-run these rules singly below
-                continue
-            share = (time.perf_counter() - t0) * 1e3 / len(names)
-            for i, n in enumerate(names):
-                counts[n] = (int(row[f"c{i}"] or 0), {"fused_scan": len(names)}, share)
-
-    for name, (rule, out, t_compile) in compiled.items():
+            except Exception:  # noqa: BLE001 - these rules are re-run singly below
+                return names, None, 0.0
+            return names, row, (time.perf_counter() - t0) * 1e3 / len(names)
+
+        multi = [names for names in groups.values() if len(names) > 1]
+        for names, row, share in _pmap(spark, settings, fused, multi, lambda ns: "fused " + ",".join(ns)):
+            if row is not None:
+                for i, n in enumerate(names):
+                    counts[n] = (int(row[f"c{i}"] or 0), {"fused_scan": len(names)}, share)
+
+    def finish(name):
+        rule, out, t_compile = compiled[name]
         t0 = time.perf_counter()
         # intermediate results several jobs of this rule read (e.g. duplicate
         # groups): kept for the rule's jobs only; lost blocks are recomputed
@@ -156,23 +187,25 @@ def _evaluate(spark: SparkSession, tables: dict, rules: list[dict], settings: di
             sample = []
             if count > 0:
                 n = int(settings["sample_size"])
-                kind = str(rule["type"]).lower()
-                if kind in ("duplicates", "uniqueness"):
+                if str(rule["type"]).lower() in ("duplicates", "uniqueness"):
                     n *= 2
-                    groups_df = out.extras["groups"](10)
-                    meta["duplicate_groups"] = [r.asDict() for r in groups_df.collect()]
+                    meta["duplicate_groups"] = [r.asDict() for r in out.extras["groups"](10).collect()]
                 if "orphan_values" in out.extras:
                     meta["orphan_values"] = [r["orphan_value"] for r in out.extras["orphan_values"](20).collect()]
                 sample = _sample(out, n)
             elapsed = t_compile + t_scan + (time.perf_counter() - t0) * 1e3
-            results[name] = _result(rule, count == 0, count, sample, None, elapsed, meta)
-            outcomes[name] = out
+            return name, _result(rule, count == 0, count, sample, None, elapsed, meta), out
         except Exception as e:  # noqa: BLE001
-            results[name] = _result(rule, False, error=f"Query execution failed: {e}",
-                                    elapsed_ms=t_compile + (time.perf_counter() - t0) * 1e3)
+            return name, _result(rule, False, error=f"Query execution failed: {e}",
+                                 elapsed_ms=t_compile + (time.perf_counter() - t0) * 1e3), None
         finally:
             for df in shared:
                 df.unpersist()
+
+    for name, res, out in _pmap(spark, settings, finish, list(compiled), lambda n: n):
+        results[name] = res
+        if out is not None:
+            outcomes[name] = out
     return results
 
 

@@ -29,6 +29,20 @@ def corrupt_rows(df: DataFrame, corrupt_column: str = CORRUPT) -> DataFrame:
     return df.filter(F.col(corrupt_column).isNotNull())
 
 
+def corrupt_summary(df: DataFrame, corrupt_column: str = CORRUPT) -> DataFrame:
+    """One row: ``corrupt_rows`` (lines that did not parse), ``rows_with_nulls``
+    (any data field NULL - parse failures and genuine NULLs alike) and
+    ``total_rows``. One scan. (Spark also refuses a query over raw CSV that
+    reads nothing but the corrupt-record column; this one reads the data.)"""
+    data = [c for c in df.columns if c != corrupt_column]
+    any_null = F.lit(False)
+    for c in data:
+        any_null = any_null | F.col(c).isNull()
+    return df.agg(F.count_if(F.col(corrupt_column).isNotNull()).cast("bigint").alias("corrupt_rows"),
+                  F.count_if(any_null).cast("bigint").alias("rows_with_nulls"),
+                  F.count(F.lit(1)).cast("bigint").alias("total_rows"))
+
+
 def without_corrupt_column(df: DataFrame, corrupt_column: str = CORRUPT) -> DataFrame:
     return df.drop(corrupt_column)
 
