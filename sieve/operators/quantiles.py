@@ -24,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieve.session import ensure_checkpoint_dir
+
 DISTINCT_LIMIT = 2_000_000
 ACCURACY = 20_000
 MAX_ACCURACY = 200_000  # keeps every percentile_approx sketch small
@@ -56,7 +58,7 @@ def _disc(rank: int, m: int, lo: float | None = None, hi: float | None = None) -
 
 def order_statistics(values: DataFrame, ranks: list[int], n: int | None = None,
                      distinct: int | None = None, distinct_limit: int = DISTINCT_LIMIT,
-                     accuracy: int = ACCURACY) -> dict[int, float]:
+                     accuracy: int = ACCURACY, checkpoint_slices: bool = True) -> dict[int, float]:
     """Exact values at the given 0-based ranks of column ``v`` of ``values``."""
     if n is None or distinct is None:
         n, distinct = count_and_distinct(values)
@@ -102,6 +104,7 @@ def order_statistics(values: DataFrame, ranks: list[int], n: int | None = None,
             caggs.append(F.count_if(bracket).alias(f"i{r}"))
             caggs.append(F.approx_count_distinct(F.when(bracket, F.col("v")), 0.02).alias(f"d{r}"))
         crow = values.agg(*caggs).first()
+        narrowed = False
         for r, (lo, hi, k, m, _) in todo.items():
             a_lo, a_hi = (float(x) for x in arow[f"a{r}"])
             below, inside_n, inside_d = int(crow[f"b{r}"]), int(crow[f"i{r}"]), int(crow[f"d{r}"])
@@ -111,10 +114,23 @@ def order_statistics(values: DataFrame, ranks: list[int], n: int | None = None,
                 result[r] = a_lo  # the whole bracket is one value
             elif inside_n < m or inside_d <= distinct_limit:
                 state[r] = (a_lo, a_hi, k - below, inside_n, inside_d <= distinct_limit)
+                narrowed = narrowed or lo is None
             elif accuracy < MAX_ACCURACY:
                 accuracy = min(MAX_ACCURACY, accuracy * 8)  # heavy ties: a finer sketch
             else:
                 raise RuntimeError("order statistics: bracket does not shrink")
+        if narrowed and checkpoint_slices:
+            # Later rounds only need the values inside the brackets (about
+            # 4n/accuracy of them): write that slice to the shared checkpoint
+            # folder once instead of rescanning the whole column every round.
+            open_ = [s_ for r_, s_ in state.items() if r_ not in result and s_[0] is not None]
+            if open_:
+                inside_any = None
+                for lo_, hi_, *_ in open_:
+                    t_ = _between(lo_, hi_)
+                    inside_any = t_ if inside_any is None else inside_any | t_
+                ensure_checkpoint_dir(values.sparkSession)
+                values = values.filter(inside_any).checkpoint(eager=True)
     missing = [r for r in ranks if r not in result]
     if missing:
         raise RuntimeError(f"order statistics did not converge for ranks {missing}")

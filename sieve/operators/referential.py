@@ -1,10 +1,11 @@
 """Referential-integrity checks.
 
-Orphans are a ``left_anti`` join against the parent's key column only. The
-planner broadcasts the key side when its size estimate is under
+Orphans are found by a ``left_anti`` join against the parent's key column
+only. The planner broadcasts the key side when its size estimate is under
 ``spark.sql.autoBroadcastJoinThreshold`` and AQE re-plans from the real shuffle
-sizes; otherwise it is a sort-merge anti join shuffled on the key, which scales
-with both sides. No broadcast hint is forced, since the parent may be large.
+sizes; otherwise it is a sort-merge join shuffled on the key, and AQE splits a
+skewed key's partition. No broadcast hint is forced, since the parent may be
+large.
 """
 
 from __future__ import annotations
@@ -23,28 +24,60 @@ def _parent_keys(parent: DataFrame, parent_column: str) -> DataFrame:
     return parent.select(F.col(parent_column).alias(_K)).where(F.col(_K).isNotNull())
 
 
+def orphan_keys(child: DataFrame, column: str, parent: DataFrame, parent_column: str,
+                allow_null: bool = True) -> DataFrame:
+    """Distinct orphan keys with their row counts: ``(<column>, rows)``.
+
+    The child is first reduced to one row per key (partial aggregation on the
+    map side, so a key holding a third of the table costs one row per task),
+    then anti-joined with the parent keys: the join moves distinct keys, not
+    child rows.
+    """
+    src = child.filter(F.col(column).isNotNull()) if allow_null else child
+    per_key = src.groupBy(column).agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
+    keys = _parent_keys(parent, parent_column)
+    return per_key.join(keys, per_key[column] == keys[_K], "left_anti")
+
+
+BROADCAST_KEYS_LIMIT = 1_000_000
+
+
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str,
-            allow_null: bool = True) -> Outcome:
+            allow_null: bool = True, broadcast_limit: int = BROADCAST_KEYS_LIMIT) -> Outcome:
     """Child rows whose key has no parent.
 
     ``allow_null=True`` (default) skips NULL keys; with False a NULL key is a
     violation too (an anti join on ``=`` never matches NULL, so they stay).
+
+    One job counts the orphan rows and distinct orphan keys (``orphan_keys``).
+    The row listing is the child semi-joined with the orphan keys: broadcast
+    when that count proves them at most ``broadcast_limit`` keys (a map-only
+    scan of the child), a shuffled join beyond it.
     """
     src = child.filter(F.col(column).isNotNull()) if allow_null else child
-    keys = _parent_keys(parent, parent_column)
-    v = src.join(keys, src[column] == keys[_K], "left_anti")
+    ok = orphan_keys(child, column, parent, parent_column, allow_null)
+    row = ok.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("violation_count"),
+                 F.count(F.lit(1)).cast("bigint").alias("distinct_orphans")).first()
+    count, distinct = int(row["violation_count"]), int(row["distinct_orphans"])
+    k = ok.select(F.col(column).alias(_K))
+    if distinct <= broadcast_limit:
+        k = F.broadcast(k)
+    cond = (src[column] == k[_K]) if allow_null else src[column].eqNullSafe(k[_K])
+    v = src.join(k, cond, "left_semi")
+    summary = child.sparkSession.createDataFrame(
+        [(count, distinct)], "violation_count bigint, distinct_orphans bigint")
     return Outcome(
         violations=v,
-        summary=count_summary(v),
+        summary=summary,
         metadata={"source_column": column, "reference_column": parent_column, "allow_null": allow_null},
-        extras={"orphan_values": lambda limit=20: orphan_values(v, column, limit)},
+        extras={"orphan_values": lambda limit=20: orphan_values(ok, column, limit)},
         sample_order=[column],
     )
 
 
-def orphan_values(violations: DataFrame, column: str, limit: int | None = 20) -> DataFrame:
+def orphan_values(keys: DataFrame, column: str, limit: int | None = 20) -> DataFrame:
     """Distinct orphan keys, ascending; the report keeps the first ``limit``."""
-    vals = violations.select(F.col(column).alias("orphan_value")).distinct()
+    vals = keys.select(F.col(column).alias("orphan_value")).distinct()
     ordered = vals.orderBy(F.col("orphan_value").asc_nulls_first())
     return ordered.limit(limit) if limit else ordered
 
@@ -53,7 +86,7 @@ def orphan_counts(relationships: list[tuple[str, DataFrame, str, DataFrame, str]
                   allow_null: bool = True) -> DataFrame:
     """``relationship, orphan_count`` for each (label, child, col, parent, parent_col)."""
     parts = [
-        count_summary(orphans(c, col, p, pcol, allow_null).violations)
+        orphans(c, col, p, pcol, allow_null).summary
         .select(F.lit(label).alias("relationship"), F.col("violation_count").alias("orphan_count"))
         for label, c, col, p, pcol in relationships
     ]
