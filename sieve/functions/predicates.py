@@ -160,14 +160,18 @@ def cross_field(left: str, operator: str, right: str) -> Column:
 
 # -------------------------------------------------------------------- patterns
 def pattern_violation(column: str, pattern: str, inverse: bool = False,
-                      match_null: bool = True) -> Column:
+                      match_null: bool = True, must_contain: str | None = None) -> Column:
     """Value does not contain a match of the regex (anchors decide).
 
     ``inverse`` flags values that DO match. ``match_null=False`` makes NULL a
-    violation; by default NULL is never flagged.
+    violation; by default NULL is never flagged. ``must_contain``: a literal
+    the caller knows every match includes (e.g. '@' for e-mail); values
+    without it are decided by a cheap substring test before the regex runs.
     """
     c = F.col(column)
     hit = c.rlike(resolve_pattern(pattern))
+    if must_contain:
+        hit = c.contains(must_contain) & hit
     bad = hit if inverse else ~hit
     bad = c.isNotNull() & bad
     return bad if match_null else (bad | c.isNull())

@@ -43,7 +43,8 @@ def inactive_parents(parent: DataFrame, key: str, child: DataFrame, child_key: s
     """
     p = parent.filter(parent_filter) if parent_filter is not None else parent
     c = child.filter(child_filter) if child_filter is not None else child
-    keys = c.select(F.col(child_key).alias("__ck")).where(F.col("__ck").isNotNull())
+    # distinct child keys: a hot child key is collapsed map-side, the join sees each key once
+    keys = c.select(F.col(child_key).alias("__ck")).where(F.col("__ck").isNotNull()).distinct()
     v = p.join(keys, p[key] == keys["__ck"], "left_anti")
     return Outcome(violations=v, summary=count_summary(v), metadata={"key": key, "child_key": child_key})
 

@@ -10,12 +10,12 @@ from sieve.operators.base import Outcome, row_check
 
 
 def pattern(df: DataFrame, column: str, pattern: str, inverse: bool = False,
-            match_null: bool = True) -> Outcome:
+            match_null: bool = True, must_contain: str | None = None) -> Outcome:
     """Regex (find semantics) on a string column; named patterns resolved."""
     if not pattern:
         raise ValueError("pattern check needs 'pattern'")
     regex = resolve_pattern(pattern)
-    pred = P.pattern_violation(column, regex, inverse=inverse, match_null=match_null)
+    pred = P.pattern_violation(column, regex, inverse=inverse, match_null=match_null, must_contain=must_contain)
     return row_check(df, pred, metadata={"column": column, "pattern": regex, "inverse": inverse,
                                          "match_null": match_null})
 

@@ -455,7 +455,7 @@ SELECT doc_id, lang, source, n_chars FROM documents
 WHERE text IS NOT NULL AND regexp_matches(text, '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}')""")
 def p3_pattern_inverse(spark, d):
     docs = _t(spark, d, "documents")
-    out = PT.pattern(docs, "text", r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", inverse=True)
+    out = PT.pattern(docs, "text", r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", inverse=True, must_contain="@")
     return out.violations.select("doc_id", "lang", "source", "n_chars")
 
 

@@ -133,7 +133,8 @@ def _pattern(spark, tables, rule):
         return PT.like(df, rule["column"], rule["like"], rule.get("inverse", False), rule.get("match_null", True))
     if not rule.get("pattern"):
         raise ValueError("Pattern validation requires 'pattern' field")
-    return PT.pattern(df, rule["column"], rule["pattern"], rule.get("inverse", False), rule.get("match_null", True))
+    return PT.pattern(df, rule["column"], rule["pattern"], rule.get("inverse", False), rule.get("match_null", True),
+                      rule.get("must_contain"))
 
 
 def _outliers(spark, tables, rule):
