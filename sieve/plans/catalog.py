@@ -962,3 +962,96 @@ def s9_violation_sink(spark, d):
     _sinks.write_violations(rep, path)
     return (spark.read.parquet(path).groupBy("rule_name")
             .agg(F.count(F.lit(1)).cast("bigint").alias("violation_rows")))
+
+
+# ====================================================== suite behaviours
+# The flagship rules plus one failing critical rule in the middle.
+_CRIT_RULE = {"name": "orders_totalprice_cap", "table": "orders", "type": "range", "severity": "critical",
+              "column": "o_totalprice", "max": 300000}
+_CRIT_SQL = ("orders_totalprice_cap", "range", "critical",
+             "SELECT count(*) FROM orders WHERE o_totalprice > 300000")
+_CRIT_AT = 5
+
+
+def _crit_rules():
+    r = list(_fs.FLAGSHIP_RULES)
+    return r[:_CRIT_AT] + [_CRIT_RULE] + r[_CRIT_AT:]
+
+
+def _crit_rows_sql() -> str:
+    rows = list(_fs.FLAGSHIP_COUNTS_SQL)
+    rows = rows[:_CRIT_AT] + [_CRIT_SQL] + rows[_CRIT_AT:]
+    parts = [f"SELECT {i} AS pos, '{n}' AS rule_name, '{k}' AS rule_type, '{s}' AS severity, "
+             f"CAST({_fs._RANK[s]} AS INTEGER) AS severity_rank, CAST(({q}) AS BIGINT) = 0 AS passed, "
+             f"CAST(({q}) AS BIGINT) AS violation_count" for i, (n, k, s, q) in enumerate(rows)]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("e3_stop_on_critical", f"""
+WITH r AS ({_crit_rows_sql()}),
+cut AS (SELECT min(pos) AS p FROM r WHERE severity = 'critical' AND NOT passed)
+SELECT rule_name, rule_type, severity, severity_rank, passed, violation_count FROM r, cut
+WHERE cut.p IS NULL OR r.pos <= cut.p""")
+def e3_stop_on_critical(spark, d):
+    from sieve.plans.suite import run_suite
+    tables = read_tables(spark, d, _fs.FLAGSHIP_TABLES)
+    return run_suite(spark, tables, _crit_rules(), {"stop_on_critical": True}).results.select(*_SUITE_COLUMNS)
+
+
+@register("g4_critical_failures", f"""
+WITH r AS ({_crit_rows_sql()})
+SELECT rule_name, violation_count FROM r WHERE NOT passed AND severity = 'critical'""")
+def g4_critical_failures(spark, d):
+    from sieve.plans.suite import run_suite
+    tables = read_tables(spark, d, _fs.FLAGSHIP_TABLES)
+    res = run_suite(spark, tables, _crit_rules()).results
+    return G.critical_failures(res).select("rule_name", "violation_count")
+
+
+_BROKEN_RULES = [
+    {"name": "broken_unknown_type", "type": "freshness", "table": "orders", "severity": "low"},
+    {"name": "broken_unknown_column", "type": "range", "table": "orders", "column": "o_nope", "min": 0,
+     "severity": "medium"},
+    {"name": "broken_sql", "type": "custom_sql", "query": "SELEC * FORM orders", "severity": "high"},
+    {"name": "broken_no_bounds", "type": "range", "table": "lineitem", "column": "l_tax", "severity": "low"},
+]
+
+
+@register("e4_error_isolation", f"""
+SELECT rule_name, passed, violation_count, false AS has_error FROM ({_SUITE_SQL}) r
+UNION ALL SELECT 'broken_unknown_type', false, CAST(0 AS BIGINT), true
+UNION ALL SELECT 'broken_unknown_column', false, CAST(0 AS BIGINT), true
+UNION ALL SELECT 'broken_sql', false, CAST(0 AS BIGINT), true
+UNION ALL SELECT 'broken_no_bounds', false, CAST(0 AS BIGINT), true""")
+def e4_error_isolation(spark, d):
+    """Broken rules give one failed result each; the other rules are untouched."""
+    from sieve.plans.suite import run_suite
+    tables = read_tables(spark, d, _fs.FLAGSHIP_TABLES)
+    res = run_suite(spark, tables, _fs.FLAGSHIP_RULES + _BROKEN_RULES).results
+    return res.select("rule_name", "passed", "violation_count", F.col("error_message").isNotNull().alias("has_error"))
+
+
+# ============================================================ outliers
+@register("o3_zscore_top_sample", """
+WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS sd FROM events WHERE value IS NOT NULL)
+SELECT e.*, round((e.value - s.m) / s.sd, 4) AS zscore FROM events e, s
+WHERE e.value IS NOT NULL AND abs((e.value - s.m) / s.sd) > 3
+ORDER BY abs(round((e.value - s.m) / s.sd, 4)) DESC, e.event_id LIMIT 5""")
+def o3_zscore_top_sample(spark, d):
+    """The report's sample: the 5 strongest outliers (|z| desc, id as tie-break)."""
+    v = O.zscore(_t(spark, d, "events"), "value", 3).violations
+    return v.orderBy(F.abs(F.col("zscore")).desc(), F.col("event_id")).limit(5)
+
+
+@register("o4_zscore_no_variance", """
+SELECT 'zscore' AS method, CAST(3 AS DOUBLE) AS threshold, 'both' AS direction, CAST(count(*) AS BIGINT) AS n,
+       CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std_dev, CAST(NULL AS DOUBLE) AS q1,
+       CAST(NULL AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS q3, CAST(NULL AS DOUBLE) AS iqr,
+       CAST(NULL AS DOUBLE) AS lower_bound, CAST(NULL AS DOUBLE) AS upper_bound,
+       'No variance in data or insufficient records' AS note
+FROM orders WHERE o_orderpriority IS NOT NULL""")
+def o4_zscore_no_variance(spark, d):
+    """A column with one value (every order has a priority -> 1.0): the check passes with a note."""
+    o = _t(spark, d, "orders").select(
+        F.when(F.col("o_orderpriority").isNotNull(), F.lit(1.0)).alias("has_priority"))
+    return O.zscore(o, "has_priority", 3).extras["stats"]
