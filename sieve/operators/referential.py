@@ -53,12 +53,29 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
     ``allow_null=True`` (default) skips NULL keys; with False a NULL key is a
     violation too (an anti join on ``=`` never matches NULL, so they stay).
 
-    One job counts the orphan rows and distinct orphan keys (``orphan_keys``).
-    The row listing is the child semi-joined with the orphan keys: broadcast
-    when that count proves them at most ``broadcast_limit`` keys (a map-only
-    scan of the child), a shuffled join beyond it.
+    Plan choice, behind a size check (one job counting the distinct parent keys):
+
+    * at most ``broadcast_limit`` parent keys: they are broadcast and the child
+      is anti-joined map-side - one scan, no shuffle, so no skew either;
+    * more: the child is reduced to (key, rows) by partial aggregation and
+      anti-joined on keys (``orphan_keys``); the row listing semi-joins the
+      child with the orphan keys, broadcast when their count proves them at
+      most ``broadcast_limit``, shuffled beyond it.
     """
     src = child.filter(F.col(column).isNotNull()) if allow_null else child
+    pk = _parent_keys(parent, parent_column)
+    n_parent = pk.count()
+    meta = {"source_column": column, "reference_column": parent_column, "allow_null": allow_null,
+            "parent_keys": n_parent}
+    if n_parent <= broadcast_limit:
+        v = src.join(F.broadcast(pk), src[column] == pk[_K], "left_anti")
+        return Outcome(
+            violations=v,
+            summary=count_summary(v),
+            metadata=dict(meta, plan="broadcast parent keys"),
+            extras={"orphan_values": lambda limit=20: orphan_values(v, column, limit)},
+            sample_order=[column],
+        )
     ok = orphan_keys(child, column, parent, parent_column, allow_null)
     row = ok.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("violation_count"),
                  F.count(F.lit(1)).cast("bigint").alias("distinct_orphans")).first()
@@ -73,7 +90,7 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
     return Outcome(
         violations=v,
         summary=summary,
-        metadata={"source_column": column, "reference_column": parent_column, "allow_null": allow_null},
+        metadata=dict(meta, plan="pre-aggregated child keys"),
         extras={"orphan_values": lambda limit=20: orphan_values(ok, column, limit)},
         sample_order=[column],
     )

@@ -152,3 +152,16 @@ def test_nan_is_ignored(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),)], "x double")
     m = O.zscore(df, "x", 0.5).metadata
     assert not math.isnan(m["mean"]) and m["n"] == 3
+
+
+def test_orphans_both_plans_agree(spark, fk):
+    child, parent = fk
+    for allow_null in (True, False):
+        small = R.orphans(child, "k", parent, "k", allow_null=allow_null)
+        large = R.orphans(child, "k", parent, "k", allow_null=allow_null, broadcast_limit=0)
+        assert small.metadata["plan"] != large.metadata["plan"]
+        ids = lambda o: sorted(r["id"] for r in o.violations.collect())
+        assert ids(small) == ids(large)
+        assert n(small) == n(large)
+        vals = lambda o: [r["orphan_value"] for r in o.extras["orphan_values"](20).collect()]
+        assert vals(small) == vals(large)
