@@ -53,7 +53,7 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
     ``allow_null=True`` (default) skips NULL keys; with False a NULL key is a
     violation too (an anti join on ``=`` never matches NULL, so they stay).
 
-    Plan choice, behind a size check (one job counting the distinct parent keys):
+    Plan choice, behind a size check (one map-only job counting the parent's keys):
 
     * at most ``broadcast_limit`` parent keys: they are broadcast and the child
       is anti-joined map-side - one scan, no shuffle, so no skew either;
@@ -63,10 +63,11 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
       most ``broadcast_limit``, shuffled beyond it.
     """
     src = child.filter(F.col(column).isNotNull()) if allow_null else child
-    pk = _parent_keys(parent, parent_column)
+    # the non-NULL parent key count bounds the distinct keys: a map-only job
+    pk = parent.select(F.col(parent_column).alias(_K)).where(F.col(_K).isNotNull())
     n_parent = pk.count()
     meta = {"source_column": column, "reference_column": parent_column, "allow_null": allow_null,
-            "parent_keys": n_parent}
+            "parent_key_rows": n_parent}
     if n_parent <= broadcast_limit:
         v = src.join(F.broadcast(pk), src[column] == pk[_K], "left_anti")
         return Outcome(
