@@ -28,7 +28,7 @@ def custom_sql(spark: SparkSession, query: str, count_query: str | None = None)
         # an empty count result reads as 0 (the suite treats a missing row as 0)
         summary = c.limit(1).select(expr.alias("violation_count"))
     else:
-        summary = count_summary(v)
+        summary = lambda: count_summary(v)
     return Outcome(violations=v, summary=summary,
                    metadata={"query": query, "custom_query": True, "has_count_query": bool(count_query)})
 

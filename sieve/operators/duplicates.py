@@ -84,12 +84,13 @@ def duplicates(df: DataFrame, columns: list[str], case_sensitive: bool = True,
     for c in columns:
         df.schema[c]
     g = _groups_keyed(df, columns, case_sensitive, ignore_null)
-    summary = g.agg(
-        F.coalesce(F.sum(F.col("duplicate_count") - 1), F.lit(0)).cast("bigint").alias("violation_count"),
-        F.count(F.lit(1)).cast("bigint").alias("group_count"),
-        F.coalesce(F.sum("duplicate_count"), F.lit(0)).cast("bigint").alias("member_rows"),
-    )
-    members = duplicate_members(df, columns, case_sensitive, ignore_null)
+    def summary() -> DataFrame:
+        return g.agg(
+            F.coalesce(F.sum(F.col("duplicate_count") - 1), F.lit(0)).cast("bigint").alias("violation_count"),
+            F.count(F.lit(1)).cast("bigint").alias("group_count"),
+            F.coalesce(F.sum("duplicate_count"), F.lit(0)).cast("bigint").alias("member_rows"),
+        )
+
     order = [F.col("duplicate_count").desc(), *[F.col(f"__k{i}").asc_nulls_first() for i in range(len(columns))]]
 
     def top(n: int = 10) -> DataFrame:
@@ -113,7 +114,7 @@ def duplicates(df: DataFrame, columns: list[str], case_sensitive: bool = True,
                  .orderBy(F.col(columns[0]).asc_nulls_first()).limit(n))
 
     return Outcome(
-        violations=members,
+        violations=lambda: duplicate_members(df, columns, case_sensitive, ignore_null),
         summary=summary,
         metadata={"columns_checked": list(columns), "case_sensitive": case_sensitive,
                   "ignore_null": ignore_null},

@@ -69,12 +69,13 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
     meta = {"source_column": column, "reference_column": parent_column, "allow_null": allow_null,
             "parent_key_rows": n_parent}
     if n_parent <= broadcast_limit:
-        v = src.join(F.broadcast(pk), src[column] == pk[_K], "left_anti")
+        def listing() -> DataFrame:
+            return src.join(F.broadcast(pk), src[column] == pk[_K], "left_anti")
         return Outcome(
-            violations=v,
-            summary=count_summary(v),
+            violations=listing,
+            summary=lambda: count_summary(listing()),
             metadata=dict(meta, plan="broadcast parent keys"),
-            extras={"orphan_values": lambda limit=20: orphan_values(v, column, limit)},
+            extras={"orphan_values": lambda limit=20: orphan_values(listing(), column, limit)},
             sample_order=[column],
         )
     ok = orphan_keys(child, column, parent, parent_column, allow_null)

@@ -568,7 +568,7 @@ SELECT 'zscore' AS method, CAST(3 AS DOUBLE) AS threshold, 'both' AS direction,
        round(avg(value) + 3 * stddev_samp(value), 4) AS upper_bound, CAST(NULL AS VARCHAR) AS note
 FROM events WHERE value IS NOT NULL""")
 def o7_zscore_stats(spark, d):
-    return O.zscore(_t(spark, d, "events"), "value", 3).extras["stats"]
+    return O.zscore(_t(spark, d, "events"), "value", 3).extras["stats"]()
 
 
 @register("o7_iqr_stats", """
@@ -581,7 +581,7 @@ SELECT 'iqr' AS method, CAST(1.5 AS DOUBLE) AS threshold, 'high' AS direction, C
        CAST(NULL AS VARCHAR) AS note
 FROM q""")
 def o7_iqr_stats(spark, d):
-    return O.iqr(_t(spark, d, "events"), "value", 1.5, "high").extras["stats"]
+    return O.iqr(_t(spark, d, "events"), "value", 1.5, "high").extras["stats"]()
 
 
 @register("o8_iqr_approx_events")
@@ -1054,4 +1054,4 @@ def o4_zscore_no_variance(spark, d):
     """A column with one value (every order has a priority -> 1.0): the check passes with a note."""
     o = _t(spark, d, "orders").select(
         F.when(F.col("o_orderpriority").isNotNull(), F.lit(1.0)).alias("has_priority"))
-    return O.zscore(o, "has_priority", 3).extras["stats"]
+    return O.zscore(o, "has_priority", 3).extras["stats"]()
