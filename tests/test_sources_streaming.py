@@ -76,3 +76,36 @@ def test_stream_orphans_equal_batch(spark):
     q, path = S.run_to_parquet(spark, S.stream_orphans(_events_stream(spark), "user_id", cust, "c_custkey"), "t")
     q.awaitTermination()
     assert spark.read.parquet(path).count() == R.orphans(ev, "user_id", cust, "c_custkey").violations.count()
+
+
+def test_windowed_trend_equals_batch(spark):
+    ev = read_table(spark, SF_SMALL, "events")
+    trend = S.windowed_trend(_events_stream(spark), "ts", {"errors": F.col("event_type") == "error"})
+    q, path = S.run_to_parquet(spark, trend, "trend", output_mode="complete")
+    q.awaitTermination()
+    got = {r["d"]: (r["records_checked"], r["errors"]) for r in
+           spark.read.parquet(path).select(F.to_date("window.start").alias("d"), "records_checked", "errors").collect()}
+    want = {r["d"]: (r["n"], r["e"]) for r in ev.groupBy(F.to_date("ts").alias("d")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("e")).collect()}
+    assert got == want
+
+
+def test_drop_repeats_keeps_each_key_once(spark):
+    ev = read_table(spark, SF_SMALL, "events")
+    s = S.drop_repeats(_events_stream(spark), ["user_id", "event_type"], "ts", "1 hour")
+    q, path = S.run_to_parquet(spark, s, "repeats")
+    q.awaitTermination()
+    out = spark.read.parquet(path)
+    assert out.count() == ev.select("user_id", "event_type").distinct().count()
+
+
+def test_batch_duplicates_per_micro_batch(spark):
+    from sieve.operators.duplicates import duplicates
+    ev = read_table(spark, SF_SMALL, "events")
+    schema = ev.schema
+    stream = S.file_stream(spark, SF_SMALL, schema, file_glob="events.parquet", max_files_per_trigger=1)
+    q, path = S.run_batch_duplicates(spark, stream, ["user_id", "event_type"])
+    q.awaitTermination()
+    got = spark.read.parquet(path).collect()
+    assert len(got) == 1 and got[0]["batch_id"] == 0
+    assert got[0]["violation_count"] == duplicates(ev, ["user_id", "event_type"]).summary.first()["violation_count"]
