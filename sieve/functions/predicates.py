@@ -70,11 +70,7 @@ def first_missing(df: DataFrame, columns: list[str], **opts) -> Column:
 
 # ---------------------------------------------------------------------- ranges
 def _literal(value) -> Column:
-    if isinstance(value, Column):
-        return value
-    if isinstance(value, _dt.datetime):
-        return F.lit(value)
-    return F.lit(value)
+    return value if isinstance(value, Column) else F.lit(value)
 
 
 def _present(df: DataFrame | None, column: str) -> Column:

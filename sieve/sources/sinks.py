@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.plans import report as G
 from sieve.plans.suite import SuiteReport
 
 
