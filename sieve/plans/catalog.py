@@ -1055,3 +1055,25 @@ def o4_zscore_no_variance(spark, d):
     o = _t(spark, d, "orders").select(
         F.when(F.col("o_orderpriority").isNotNull(), F.lit(1.0)).alias("has_priority"))
     return O.zscore(o, "has_priority", 3).extras["stats"]()
+
+
+# ====================================================== named patterns
+from sieve.functions.patterns import NAMED_PATTERNS as _NP  # noqa: E402
+
+
+@register("p2_named_pattern_date_iso", f"""
+SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS order_day FROM orders
+WHERE NOT regexp_matches(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '{_NP["date_iso"]}')""")
+def p2_named_pattern_date_iso(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("order_day"))
+    return PT.pattern(o, "order_day", "date_iso").violations
+
+
+@register("p2_named_pattern_email", f"""
+SELECT c_custkey, lower(c_name) || '@' || lower(c_mktsegment) || '.example' AS contact FROM customer
+WHERE NOT regexp_matches(lower(c_name) || '@' || lower(c_mktsegment) || '.example', '{_NP["email"]}')""")
+def p2_named_pattern_email(spark, d):
+    """An address built from the name: '#' is not allowed before '@', so every row fails."""
+    c = _t(spark, d, "customer")
+    contact = F.concat(F.lower("c_name"), F.lit("@"), F.lower("c_mktsegment"), F.lit(".example"))
+    return PT.pattern(c.select("c_custkey", contact.alias("contact")), "contact", "email").violations

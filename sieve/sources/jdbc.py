@@ -85,6 +85,17 @@ def read_jdbc_query(spark: SparkSession, cfg: dict, query: str) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(cfg, query=query)).load()
 
 
+def read_jdbc_partitioned(spark: SparkSession, cfg: dict, table: str, partition_column: str,
+                          num_partitions: int) -> DataFrame:
+    """Parallel read without known bounds: one pushed-down ``min/max`` query on
+    the remote side fixes them, then ``num_partitions`` range reads follow."""
+    bounds = read_jdbc_query(spark, cfg, f"SELECT MIN({partition_column}) AS lo, MAX({partition_column}) AS hi "
+                                         f"FROM {table}").first()
+    if bounds is None or bounds["lo"] is None:
+        return read_jdbc_table(spark, cfg, table)
+    return read_jdbc_table(spark, cfg, table, partition_column, bounds["lo"], bounds["hi"], num_partitions)
+
+
 def read_jdbc_tables(spark: SparkSession, cfg: dict, tables: dict[str, dict | None]) -> dict[str, DataFrame]:
     """Several tables at once: name -> partitioning options (or None)."""
     return {name: read_jdbc_table(spark, cfg, name, **(opts or {})) for name, opts in tables.items()}

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +49,13 @@ def tag_rows(df: DataFrame, predicates: dict[str, Column], column: str = "failed
     return df.withColumn(column, F.array_compact(F.array(*tags)))
 
 
+def _write_batch(df: DataFrame, path: str) -> None:
+    """foreachBatch is at-least-once: each batch owns its ``batch_id`` partition
+    and a retried batch overwrites it instead of appending a second copy."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("batch_id").parquet(path))
+
+
 def _new_dir(spark: SparkSession, name: str) -> str:
     return checkpoint_subdir(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
 
@@ -66,9 +74,13 @@ def run_row_checks(spark: SparkSession, stream: DataFrame, predicates: dict[str,
     tagged = tag_rows(stream, predicates)
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        b.filter(F.size("failed_rules") > 0).write.mode("append").parquet(bad)
-        b.filter(F.size("failed_rules") == 0).drop("failed_rules").write.mode("append").parquet(good)
+        # both writes read the same tagged batch: keep it instead of reading the source twice
+        b = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            _write_batch(b.filter(F.size("failed_rules") > 0), bad)
+            _write_batch(b.filter(F.size("failed_rules") == 0).drop("failed_rules"), good)
+        finally:
+            b.unpersist()
 
     w = tagged.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
@@ -109,7 +121,7 @@ def run_batch_duplicates(spark: SparkSession, stream: DataFrame, keys: list[str]
     path = f"{out_dir}/summary"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch_duplicates(batch, keys, batch_id).write.mode("append").parquet(path)
+        _write_batch(batch_duplicates(batch, keys, batch_id), path)
 
     q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
