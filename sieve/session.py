@@ -48,7 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
-    path = tempfile.mkdtemp(prefix="sieve-ckpt-")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster (e.g. on HDFS or S3); "
+                           "a machine-local folder does not survive executor loss")
+    path = tempfile.mkdtemp(prefix="sieve-ckpt-")  # local mode only (tests)
     spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -58,3 +61,29 @@ def checkpoint_subdir(spark: SparkSession, name: str) -> str:
     """A named folder under the checkpoint dir (stream checkpoints, staged tables)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def scale_conf(input_bytes: int, executor_cores_total: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Session settings sized for ``input_bytes`` of (compressed) input.
+
+    * scan splits of ``maxPartitionBytes`` (at least two waves over the cores,
+      at most 512 MB);
+    * shuffles start with one partition per ``target_partition_bytes`` of input
+      (shuffled data is smaller than the input after pruning and partial
+      aggregation) and AQE coalesces them towards the advisory size;
+    * AQE skew join splits a partition 5x the median and above 512 MB.
+    """
+    cores = max(1, int(executor_cores_total))
+    split = max(32 << 20, min(512 << 20, input_bytes // (2 * cores) or (32 << 20)))
+    shuffle = max(cores, min(200_000, input_bytes // target_partition_bytes or cores))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(int(shuffle)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(target_partition_bytes)),
+        "spark.sql.shuffle.partitions": str(int(shuffle)),
+        "spark.sql.files.maxPartitionBytes": str(int(split)),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    }

@@ -122,3 +122,13 @@ def test_flagship_runs_on_small_tables(spark):
     rows = rep.results.collect()
     assert len(rows) == len(FLAGSHIP_RULES)
     assert all(r["error_message"] is None for r in rows)
+
+
+def test_scale_conf_sizes():
+    from sieve.session import scale_conf
+    big = scale_conf(100 << 40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+    assert int(big["spark.sql.files.maxPartitionBytes"]) == 512 << 20
+    small = scale_conf(10 << 20, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 8
+    assert int(small["spark.sql.files.maxPartitionBytes"]) == 32 << 20
