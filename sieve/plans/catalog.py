@@ -1077,3 +1077,16 @@ def p2_named_pattern_email(spark, d):
     c = _t(spark, d, "customer")
     contact = F.concat(F.lower("c_name"), F.lit("@"), F.lower("c_mktsegment"), F.lit(".example"))
     return PT.pattern(c.select("c_custkey", contact.alias("contact")), "contact", "email").violations
+
+
+_Q1_NOT_IN = """
+SELECT c.c_custkey, c.c_name, c.c_mktsegment FROM customer c
+WHERE c.c_mktsegment = 'BUILDING'
+  AND c.c_custkey NOT IN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-06-01')"""
+
+
+@register("q1_custom_sql_not_in", _Q1_NOT_IN)
+def q1_custom_sql_not_in(spark, d):
+    """A user's business rule written with NOT IN, run as given (Spark plans a null-aware anti join)."""
+    _views(spark, d, ["customer", "orders"])
+    return Q.custom_sql(spark, _Q1_NOT_IN).violations

@@ -132,3 +132,14 @@ def test_scale_conf_sizes():
     small = scale_conf(10 << 20, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 8
     assert int(small["spark.sql.files.maxPartitionBytes"]) == 32 << 20
+
+
+def test_runtime_error_inside_fused_scan_is_isolated(spark, fixture_tables):
+    """A predicate that fails only at run time (ANSI cast of 'Alice' to a number) breaks the
+    fused aggregate; its table's rules are re-run singly and only the broken one fails."""
+    rules = RULES + [{"name": "name_as_number", "type": "range", "table": "customers", "column": "name",
+                      "min": 0, "severity": "low"}]
+    res = by_name(run_suite(spark, fixture_tables, rules))
+    assert res["name_as_number"]["passed"] is False and res["name_as_number"]["error_message"]
+    assert res["email_required"]["violation_count"] == 1 and res["age_range"]["violation_count"] == 1
+    assert "fused_scan" not in res["email_required"]["metadata"]
