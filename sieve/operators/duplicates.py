@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sieve.functions.predicates import is_string
 from sieve.operators.base import Outcome
+from sieve.operators.skew import join_groups
 
 
 def _keys(df: DataFrame, columns: list[str], case_sensitive: bool) -> list[tuple[str, object]]:
@@ -56,19 +57,18 @@ def top_duplicate_groups(df: DataFrame, columns: list[str], n: int = 10, **opts)
 
 
 def duplicate_members(df: DataFrame, columns: list[str], case_sensitive: bool = True,
-                      ignore_null: bool = True) -> DataFrame:
-    """D3: every row of every duplicated group, with ``group_size`` (join-back)."""
+                      ignore_null: bool = True, **join_opts) -> DataFrame:
+    """D3: every row of every duplicated group, with ``group_size``.
+
+    A join back to the duplicated groups, split by group size so a key holding
+    a third of the table is joined map-side (see ``operators.skew``)."""
     g = _groups_keyed(df, columns, case_sensitive, ignore_null).select(
         *[f"__k{i}" for i in range(len(columns))], F.col("duplicate_count").alias("group_size"))
     src = _source(df, columns, ignore_null)
-    keyed = src.select("*", *[e.alias(k) for k, e in _keys(df, columns, case_sensitive)])
-    cond = None
-    for i in range(len(columns)):
-        a, b = keyed[f"__k{i}"], g[f"__k{i}"]
-        term = (a == b) if ignore_null else a.eqNullSafe(b)
-        cond = term if cond is None else cond & term
-    joined = keyed.join(g, cond, "inner")
-    return joined.select(*[keyed[c] for c in src.columns], g["group_size"])
+    keyed = src.select("*", *[e.alias(f"__r{i}") for i, (_, e) in enumerate(_keys(df, columns, case_sensitive))])
+    on = [(f"__r{i}", f"__k{i}") for i in range(len(columns))]
+    joined = join_groups(keyed, g, on, "group_size", "inner", null_safe=not ignore_null, **join_opts)
+    return joined.select(*src.columns, "group_size")
 
 
 def duplicates(df: DataFrame, columns: list[str], case_sensitive: bool = True,
@@ -142,8 +142,10 @@ def fuzzy_duplicates(df: DataFrame, id_column: str, phonetic_columns: list[str],
     blocks = (keyed.groupBy(*bnames)
                    .agg(F.min("match_id").alias("anchor_id"), F.count(F.lit(1)).cast("bigint").alias("block_size"))
                    .filter(F.col("block_size") > 1))
-    members = (keyed.join(blocks, bnames, "inner")
-                    .filter(F.col("match_id") != F.col("anchor_id")))
+    members = (join_groups(keyed, blocks.select(*[F.col(b).alias(f"__b_{b}") for b in bnames], "anchor_id",
+                                                 "block_size"),
+                           [(b, f"__b_{b}") for b in bnames], "block_size", "inner")
+               .filter(F.col("match_id") != F.col("anchor_id")))
     shown = ([F.col(f"__sx_{c}").alias(f"soundex_{c}") for c in phonetic_columns]
              + [F.col(f"__eq_{c}").alias(c) for c in exact_columns])
     violations = members.select("anchor_id", "match_id", *shown, "block_size")

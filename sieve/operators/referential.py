@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieve.operators.base import Outcome, count_summary
+from sieve.operators.skew import join_groups
 
 _K = "__ref_key"
 
@@ -82,15 +83,16 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
     row = ok.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("violation_count"),
                  F.count(F.lit(1)).cast("bigint").alias("distinct_orphans")).first()
     count, distinct = int(row["violation_count"]), int(row["distinct_orphans"])
-    k = ok.select(F.col(column).alias(_K))
-    if distinct <= broadcast_limit:
-        k = F.broadcast(k)
-    cond = (src[column] == k[_K]) if allow_null else src[column].eqNullSafe(k[_K])
-    v = src.join(k, cond, "left_semi")
+    # rows of the orphan keys: split by key size, so a hot orphan key is joined map-side
+    k = ok.select(F.col(column).alias(_K), "rows")
+
+    def listing() -> DataFrame:
+        return join_groups(src, k, [(column, _K)], "rows", "left_semi", null_safe=not allow_null,
+                           broadcast_limit=broadcast_limit)
     summary = child.sparkSession.createDataFrame(
         [(count, distinct)], "violation_count bigint, distinct_orphans bigint")
     return Outcome(
-        violations=v,
+        violations=listing,
         summary=summary,
         metadata=dict(meta, plan="pre-aggregated child keys"),
         extras={"orphan_values": lambda limit=20: orphan_values(ok, column, limit)},
@@ -119,19 +121,22 @@ def orphan_counts(relationships: list[tuple[str, DataFrame, str, DataFrame, str]
 def multi_parent_orphans(child: DataFrame, links: list[tuple[str, DataFrame, str]]) -> Outcome:
     """Rows where any optional foreign key is set but has no parent.
 
-    Each link is (child_column, parent, parent_column). Every parent is reduced
-    to its distinct keys plus a match flag and left-joined, so a child row is
-    never multiplied; the row is a violation if some set key found no match.
+    Each link is (child_column, parent, parent_column). Per link the orphan keys
+    are found on pre-aggregated child keys (``orphan_keys``) and left-joined back
+    as a flag, split by key size (``operators.skew``): orphan keys are usually
+    few and broadcast, and a hot key never lands in one task. A row is a
+    violation if some set key is an orphan; rows are never multiplied.
     """
-    out = child
-    flags = []
-    for i, (column, parent, parent_column) in enumerate(links):
-        flag = f"__m{i}"
-        keys = (_parent_keys(parent, parent_column)
-                .withColumnRenamed(_K, f"__k{i}").withColumn(flag, F.lit(True)))
-        out = out.join(keys, out[column] == keys[f"__k{i}"], "left").drop(f"__k{i}")
-        flags.append(F.col(column).isNotNull() & F.col(flag).isNull())
-    pred = reduce(lambda a, b: a | b, flags)
-    v = out.filter(pred).drop(*[f"__m{i}" for i in range(len(links))])
-    return Outcome(violations=v, summary=count_summary(v),
+    def violations() -> DataFrame:
+        out = child
+        flags = []
+        for i, (column, parent, parent_column) in enumerate(links):
+            ok = orphan_keys(child, column, parent, parent_column, allow_null=True)
+            g = ok.select(F.col(column).alias(f"__o{i}"), F.col("rows").alias(f"__n{i}"),
+                          F.lit(True).alias(f"__m{i}"))
+            out = join_groups(out, g, [(column, f"__o{i}")], f"__n{i}", "left").drop(f"__n{i}")
+            flags.append(F.col(f"__m{i}").isNotNull())
+        return out.filter(reduce(lambda a, b: a | b, flags)).drop(*[f"__m{i}" for i in range(len(links))])
+
+    return Outcome(violations=violations, summary=lambda: count_summary(violations()),
                    metadata={"links": [(c, pc) for c, _, pc in links]})

@@ -41,13 +41,19 @@ def high_failures(results: DataFrame) -> DataFrame:
 
 
 def with_match_flag(df: DataFrame, column: str, parent: DataFrame, parent_column: str, flag: str) -> DataFrame:
-    """Add boolean ``flag``: the row's key has a parent. A left join to the
-    parent's distinct keys - the hand rewrite of ``key NOT IN (subquery)``
-    inside a CASE, which Spark would plan as a broadcast nested-loop join."""
-    keys = (parent.select(F.col(parent_column).alias("__fk")).where(F.col("__fk").isNotNull()).distinct()
-            .withColumn(flag, F.lit(True)))
-    out = df.join(keys, df[column] == keys["__fk"], "left").drop("__fk")
-    return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    """Add boolean ``flag``: the row's key has a parent - the hand rewrite of
+    ``key NOT IN (subquery)`` inside a CASE, which Spark would plan as a
+    broadcast nested-loop join. The orphan keys (found on pre-aggregated keys)
+    are left-joined back as a marker, split by key size; a NULL key has no
+    parent."""
+    from sieve.operators.referential import orphan_keys
+    from sieve.operators.skew import join_groups
+
+    ok = orphan_keys(df, column, parent, parent_column).select(
+        F.col(column).alias("__ok"), F.col("rows").alias("__okn"), F.lit(True).alias("__orphan"))
+    out = join_groups(df, ok, [(column, "__ok")], "__okn", "left").drop("__okn")
+    has = F.col(column).isNotNull() & F.col("__orphan").isNull()
+    return out.withColumn(flag, has).drop("__orphan")
 
 
 def quality_score(table_name: str, df: DataFrame, issue: Column) -> DataFrame:
