@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import io
+import os
 import uuid
+import zipfile
+from pathlib import Path
 
+import sieve
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +19,24 @@ from sieve.session import ensure_checkpoint_dir
 _STAGED: list[str] = []
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this library where their path does not have it already (a session started from another folder)."""
+    root = Path(sieve.__file__).resolve().parent.parent
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    context = spark.sparkContext
+    if any(p and Path(p).resolve() == root for p in known) or getattr(context, "_sieve_shipped", False):
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(root.glob("sieve/**/*.py")):
+            z.write(f, f.relative_to(root))
+    path = f"{scratch_path(spark, 'package')}/sieve.zip"
+    with open_output(as_uri(path)) as f:
+        f.write(data.getvalue())
+    context.addPyFile(path)
+    context._sieve_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the cluster's shared ``spark.checkpoint.dir``."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -44,13 +44,21 @@ ESCAPE = 15
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bits each id needs (0 for 0)."""
-    out = np.zeros(len(ids), np.int64)
-    v = ids.astype(np.uint64)
-    for step in (32, 16, 8, 4, 2, 1):
-        high = v >= np.uint64(1 << step)
-        out += step * high
-        v = np.where(high, v >> np.uint64(step), v)
-    return out + (v > 0)
+    exact = np.uint64(1 << 53)
+    if not len(ids) or ids.max() < exact:
+        return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    high = ids >> np.uint64(32)
+    return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]).astype(np.uint8)
+
+
+def _widest(bits: np.ndarray) -> dict[int, np.ndarray]:
+    """For each count of a selector, the widest of that many ids from each place on (255 past the end)."""
+    widest = {1: bits}
+    for count, a, b in ((2, 1, 1), (3, 2, 1), (4, 2, 2), (5, 3, 2), (6, 3, 3), (8, 4, 4), (10, 5, 5), (12, 6, 6), (15, 10, 5),
+                        (20, 10, 10), (30, 15, 15), (60, 30, 30), (120, 60, 60), (240, 120, 120)):
+        widest[count] = np.full_like(bits, 255)
+        np.maximum(widest[a][:, :-a], widest[b][:, a:], out=widest[count][:, :-a])
+    return widest
 
 
 def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -63,17 +71,13 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndar
     grid = np.zeros(blocks * BLOCK, np.uint64)
     grid[:n] = ids
     bits = _bits(grid).reshape(blocks, BLOCK)
+    bits[-1, n - (blocks - 1) * BLOCK:] = 255
     ends = np.full(blocks, BLOCK)
     ends[-1] = n - (blocks - 1) * BLOCK
-    place = np.arange(BLOCK)
-    left = ends[:, None] - place[None, :]
+    widest = _widest(bits)
     choice = np.full((blocks, BLOCK), ESCAPE, np.int8)
-    # From narrow to wide: a selector fits where the next count ids all exist and are narrow enough; the first fit holds most ids.
-    for sel in range(14, -1, -1):
-        count, width = int(COUNTS[sel]), int(WIDTHS[sel])
-        wide = np.where(bits > width, place, BLOCK * 2)
-        next_wide = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1]
-        choice[(next_wide - place >= count) & (left >= count)] = sel
+    for sel in range(14, -1, -1):  # from few ids to many: the last that fits holds most
+        np.putmask(choice, widest[int(COUNTS[sel])] <= WIDTHS[sel], sel)
     at, rows = np.zeros(blocks, np.int64), np.arange(blocks)
     picked = []
     while len(rows):

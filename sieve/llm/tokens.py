@@ -12,14 +12,16 @@ Special tokens' strings in a text are ordinary text.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept per Python worker (about 100 MB); when full the cache starts anew.
-CACHE_PIECES = 400_000
-#: Text bytes encoded at once.
-BATCH_BYTES = 8 << 20
+#: Pieces kept per Python worker (about 150 MB); when full, those not met in the last batches go.
+CACHE_PIECES = 800_000
+#: Text bytes encoded at once, and pieces given to the library in one string.
+BATCH_BYTES, JOINED = 4 << 20, 20_000
 #: White space, as Unicode names it, other than space and line feed; or two in a row; or a space at the end.
 ODD_SPACE = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]{2}| $|^ "
 
@@ -37,7 +39,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, int] = {}
         self._reset()
 
     @classmethod
@@ -48,41 +49,78 @@ class Encoder:
         return cls._loaded[path]
 
     def _reset(self) -> None:
-        self.known = {}
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.known: tuple[dict, dict] = ({}, {})  # word -> place, as a piece without and with a space before it
+        self.size, self.used, self.turn = 0, 0, 0
+        self.starts, self.lengths, self.met = (np.zeros(1 << 16, np.int32) for _ in range(3))
+        self.flat = np.zeros(1 << 18, np.uint32)
+        for piece in ("", "\n"):
+            self._add(np.array(self._whole([piece])[0], np.uint32), np.array([len(self._whole([piece])[0])], np.int64))
+            self.known[0][piece] = self.size - 1
+
+    def _add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        total, n = len(flat), len(lengths)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.size + n > len(self.starts):
+            self.starts, self.lengths, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.met))
+        self.flat[self.used:self.used + total] = flat
+        self.starts[self.size:self.size + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.size:self.size + n] = lengths
+        self.size, self.used = self.size + n, self.used + total
+
+    def _evict(self) -> None:
+        """Start anew with the pieces met last, half of all at most."""
+        met, starts, lengths, flat, known = self.met[:self.size], self.starts, self.lengths, self.flat, self.known
+        self._reset()
+        least = np.sort(met)[-(CACHE_PIECES // 2):][0]
+        for spaced in (0, 1):
+            words, place = list(known[spaced]), np.fromiter(known[spaced].values(), np.int64, len(known[spaced]))
+            keep = np.flatnonzero((met[place] > least) & (lengths[place] > 0))
+            at, n = starts[place[keep]], lengths[place[keep]].astype(np.int64)
+            ends, first = np.cumsum(n), self.size
+            total = int(ends[-1]) if len(ends) else 0
+            self._add(flat[np.arange(total) + np.repeat(at - (ends - n), n)], n)
+            self.known[spaced].update(zip([words[i] for i in keep.tolist()], range(first, self.size), strict=True))
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        """Place of each piece in the cache; unknown ones are encoded first."""
-        if len(self.known) + len(pieces) > CACHE_PIECES:
-            self._reset()
-        known = self.known
-        missing = [p for p in pieces if p not in known]
-        if missing:
-            ids = self._whole(missing)
-            lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-            total, base = int(lengths.sum()), len(known)
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while base + len(ids) > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.flat[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-            self.starts[base:base + len(ids)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[base:base + len(ids)] = lengths
-            self.used += total
-            known.update(zip(missing, range(base, base + len(ids)), strict=True))
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and each piece's number of them. Pieces hold no line feed and do not end in white space, so line feeds between them
+        are pre-tokens of their own and tell the pieces' ids apart."""
+        feed = self._whole(["\n"])[0]
+        if len(feed) != 1:
+            ids = self._whole(pieces)
+            return np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, sizes = [], []
+        for at in range(0, len(pieces), JOINED):
+            ids = np.array(self._whole(["\n".join(pieces[at:at + JOINED])])[0], np.uint32)
+            cut = ids == feed[0]
+            ends = np.flatnonzero(cut)
+            sizes.append(np.diff(np.r_[-1, ends, len(ids)]) - 1)
+            flat.append(ids[~cut])
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _numbers(self, words: list[str], spaced: int) -> np.ndarray:
+        """Place of each word's piece in the cache; unknown ones are encoded first."""
+        known = self.known[spaced]
+        place = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            missing, first = [words[i] for i in new.tolist()], self.size
+            self._add(*self._pieces([f" {w}" for w in missing] if spaced else missing))
+            known.update(zip(missing, range(first, self.size), strict=True))
+            place[new] = np.arange(first, self.size)
+        self.turn += 1
+        self.met[place] = self.turn
+        return place
 
     def _by_piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.list_flatten(split).dictionary_encode()
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        feed = np.fromiter((w == "\n" for w in words), bool, len(words))[code]
+        words, code = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
+        feed = code == pc.index(coded.dictionary, "\n").as_py()
         first = np.zeros(len(code), bool)
         first[np.cumsum(counts) - counts] = True
         spaced = ~(first | feed)
@@ -90,12 +128,16 @@ class Encoder:
         key = 2 * code + spaced
         seen = np.zeros(2 * len(words), bool)
         seen[key] = True
-        used, place = np.flatnonzero(seen), np.zeros(2 * len(words), np.int64)
-        place[used] = self._numbers([" " + words[k >> 1] if k & 1 else words[k >> 1] for k in used.tolist()])
-        starts, lengths = self.starts[place[key]], self.lengths[place[key]].astype(np.int64)
+        if self.size + int(seen.sum()) > CACHE_PIECES:
+            self._evict()
+        place = np.zeros(2 * len(words), np.int64)
+        for lead in (0, 1):
+            used = np.flatnonzero(seen[lead::2])
+            place[2 * used + lead] = self._numbers(words[used].tolist(), lead)
+        starts, lengths = self.starts[place[key]], self.lengths[place[key]]
         ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-        sizes = np.add.reduceat(lengths, np.cumsum(counts) - counts) if len(counts) else np.zeros(0, np.int64)
+        at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat((starts - (ends - lengths)).astype(np.int32), lengths)
+        sizes = np.add.reduceat(lengths, np.cumsum(counts) - counts, dtype=np.int64) if len(counts) else np.zeros(0, np.int64)
         return self.flat[at], sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
