@@ -113,24 +113,32 @@ def _typed(df: DataFrame | None, column: str, value) -> Column:
 def outside_dates(df: DataFrame | None, column: str, start=None, end=None) -> Column:
     """date_range - before ``start`` or after ``end`` (typed literals, not arithmetic).
 
-    ``end`` defaults to nothing; callers that mean "now" pass an explicit
-    ``as_of`` timestamp so results are reproducible.
+    ``end`` may be ``now``, the time the query runs; an explicit timestamp makes
+    results reproducible.
     """
     c = F.col(column)
     terms = []
     if start is not None:
         terms.append(c < _typed(df, column, start))
     if end is not None:
-        terms.append(c > _typed(df, column, end))
+        terms.append(c > _bound(df, column, end))
     if not terms:
         raise ValueError("date_range check needs 'min' or 'max'")
     return c.isNotNull() & any_of(terms)
 
 
-def after(df: DataFrame | None, column: str, as_of) -> Column:
-    """Future dates - strictly later than ``as_of``."""
+def after(df: DataFrame | None, column: str, as_of=None) -> Column:
+    """Future dates - strictly later than ``as_of``, by default now."""
     c = F.col(column)
-    return c.isNotNull() & (c > _typed(df, column, as_of))
+    return c.isNotNull() & (c > _bound(df, column, as_of))
+
+
+def _bound(df: DataFrame | None, column: str, value) -> Column:
+    """A date bound; None and ``now`` are the time the query runs, as the column's own type."""
+    if value is None or (isinstance(value, str) and value.lower() == "now"):
+        now = F.current_timestamp()
+        return now if df is None else now.cast(_field_type(df, column))
+    return _typed(df, column, value)
 
 
 _COMPARATORS = {

@@ -22,22 +22,31 @@ class Outcome:
                      fuse many such checks into one scan.
     ``source``       the DataFrame ``predicate`` applies to.
     ``sample_order`` ordering for the bounded sample.
+    ``annotate``     columns ``violations`` adds to the rows the predicate selects.
 
-    ``violations`` and ``summary`` may be given as zero-argument callables:
+    ``violations``, ``summary`` and ``metadata`` may be given as zero-argument callables:
     PySpark analyses every DataFrame when it is created, so a suite that only
     needs the fused count never pays for plans it does not run.
     """
 
-    def __init__(self, violations: Lazy, summary: Lazy, metadata: dict | None = None,
+    def __init__(self, violations: Lazy, summary: Lazy, metadata: dict | Callable[[], dict] | None = None,
                  predicate: Column | None = None, source: DataFrame | None = None,
-                 sample_order: list | None = None, extras: dict | None = None):
+                 sample_order: list | None = None, extras: dict | None = None,
+                 annotate: dict[str, Column] | None = None):
         self._violations = violations
         self._summary = summary
-        self.metadata = metadata or {}
+        self._metadata = metadata or {}
         self.predicate = predicate
         self.source = source
         self.sample_order = list(sample_order or [])
         self.extras = extras or {}
+        self.annotate = annotate or {}
+
+    @property
+    def metadata(self) -> dict:
+        if callable(self._metadata):
+            self._metadata = self._metadata()
+        return self._metadata
 
     @property
     def violations(self) -> DataFrame:
@@ -75,4 +84,5 @@ def row_check(source: DataFrame, predicate: Column, metadata: dict | None = None
         predicate=predicate,
         source=source,
         sample_order=list(sample_order or []),
+        annotate=annotate,
     )

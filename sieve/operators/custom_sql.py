@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieve.operators.base import Outcome, count_summary
+from sieve.operators.skew import join_groups
 
 COUNT_COLUMNS = ("violation_count", "count", "cnt", "total")
 
@@ -18,7 +22,7 @@ def custom_sql(spark: SparkSession, query: str, count_query: str | None = None)
     """
     query = (query or "").strip()
     if not query:
-        raise ValueError("Custom SQL validation requires 'query' field")
+        raise ValueError("a custom_sql rule is nothing without its 'query'")
     v = spark.sql(query)
     if count_query and count_query.strip():
         c = spark.sql(count_query.strip())
@@ -40,13 +44,29 @@ def inactive_parents(parent: DataFrame, key: str, child: DataFrame, child_key: s
 
     A ``left_anti`` join, not ``NOT IN``: a NULL child key cannot empty the
     result, and the plan is not limited to a broadcast null-aware anti join.
+    Child keys are reduced to distinct ones and written once, so a parent key that
+    many parents share, or many NULLs, can be split (see ``operators.skew``).
     """
     p = parent.filter(parent_filter) if parent_filter is not None else parent
     c = child.filter(child_filter) if child_filter is not None else child
-    # distinct child keys: a hot child key is collapsed map-side, the join sees each key once
     keys = c.select(F.col(child_key).alias("__ck")).where(F.col("__ck").isNotNull()).distinct()
-    v = p.join(keys, p[key] == keys["__ck"], "left_anti")
-    return Outcome(violations=v, summary=count_summary(v), metadata={"key": key, "child_key": child_key})
+
+    @cache
+    def violations() -> DataFrame:
+        return join_groups(p, keys, [(key, "__ck")], "left_anti")
+
+    return Outcome(violations=violations, summary=lambda: count_summary(violations()),
+                   metadata={"key": key, "child_key": child_key})
+
+
+def since(df: DataFrame, column: str, within: str, as_of=None) -> Column:
+    """Rows whose date lies in the window of length ``within`` (``180 days``, ``6 months``) before ``as_of``, by default now."""
+    found = re.fullmatch(r"\s*(\d+)\s*(hour|day|week|month|year)s?\s*", within.lower())
+    if not found:
+        raise ValueError(f"no time span {within!r}: give a number and hours, days, weeks, months or years")
+    end = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+    start = end - F.expr(f"INTERVAL {found[1]} {found[2].upper()}")
+    return F.col(column) >= start.cast(df.schema[column].dataType)
 
 
 def child_after_parent_event(child: DataFrame, child_key: str, child_date: str, parent: DataFrame,

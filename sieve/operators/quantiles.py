@@ -123,8 +123,8 @@ def order_statistics(values: DataFrame, ranks: list[int], n: int | None = None,
             # Later rounds only need the values inside the brackets (about
             # 4n/accuracy of them): write that slice to the shared checkpoint
             # folder once instead of rescanning the whole column every round.
-            open_ = [s_ for r_, s_ in state.items() if r_ not in result and s_[0] is not None]
-            if open_:
+            open_ = [s_ for r_, s_ in state.items() if r_ not in result]
+            if open_ and all(s_[0] is not None for s_ in open_):  # a rank without a bracket still needs all rows
                 inside_any = None
                 for lo_, hi_, *_ in open_:
                     t_ = _between(lo_, hi_)

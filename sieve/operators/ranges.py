@@ -36,9 +36,9 @@ def date_range(df: DataFrame, column: str, start=None, end=None) -> Outcome:
     return row_check(df, pred, metadata={"column": column, "min": str(start), "max": str(end)})
 
 
-def future_dates(df: DataFrame, column: str, as_of) -> Outcome:
-    """Dates later than ``as_of`` (a parameter, so runs are reproducible)."""
-    return row_check(df, P.after(df, column, as_of), metadata={"column": column, "as_of": str(as_of)})
+def future_dates(df: DataFrame, column: str, as_of=None) -> Outcome:
+    """Dates later than ``as_of``, by default the time the query runs (give one for reproducible runs)."""
+    return row_check(df, P.after(df, column, as_of), metadata={"column": column, "as_of": str(as_of or "now")})
 
 
 def cross_field(df: DataFrame, left: str, operator: str, right: str) -> Outcome:

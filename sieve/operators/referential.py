@@ -1,101 +1,106 @@
 """Referential-integrity checks.
 
-Orphans are found by a ``left_anti`` join against the parent's key column
-only. The planner broadcasts the key side when its size estimate is under
-``spark.sql.autoBroadcastJoinThreshold`` and AQE re-plans from the real shuffle
-sizes; otherwise it is a sort-merge join shuffled on the key, and AQE splits a
-skewed key's partition. No broadcast hint is forced, since the parent may be
-large.
+Two plans, chosen when the check first runs and behind a measured size: parent keys that fit a
+broadcast are broadcast, and the child is scanned once without a shuffle; others meet the
+child's distinct keys (one row per key after partial aggregation), and child rows are joined back to the keys
+found (``operators.skew``). Building a check starts no job.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieve.operators.base import Outcome, count_summary
-from sieve.operators.skew import join_groups
+from sieve.operators.skew import BROADCAST_BYTES, join_groups, key_bytes
 
 _K = "__ref_key"
 
+#: Parent keys beyond this number are not broadcast either, however narrow.
+BROADCAST_KEYS_LIMIT = 1_000_000
+
 
 def _parent_keys(parent: DataFrame, parent_column: str) -> DataFrame:
-    """Distinct non-NULL parent keys. AQE can split only the probe (child) side
-    of an anti join, so a parent key repeated a billion times is collapsed by
-    map-side combine first; with a sort-merge join the aggregate's hash
-    partitioning is reused, so this costs no extra exchange."""
-    return parent.select(F.col(parent_column).alias(_K)).where(F.col(_K).isNotNull()).distinct()
+    """Non-NULL parent keys."""
+    return parent.select(F.col(parent_column).alias(_K)).where(F.col(_K).isNotNull())
+
+
+def parent_fits(parent: DataFrame, parent_column: str, broadcast_limit: int = BROADCAST_KEYS_LIMIT) -> tuple[bool, int]:
+    """Whether the parent's keys may be broadcast, and their number: one map-only job counts rows and bytes, which
+    bound the distinct keys from above."""
+    keys = _parent_keys(parent, parent_column)
+    row = keys.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(key_bytes(keys, [_K])), F.lit(0)).alias("bytes")).first()
+    return row["n"] <= broadcast_limit and row["bytes"] <= BROADCAST_BYTES, int(row["n"])
 
 
 def orphan_keys(child: DataFrame, column: str, parent: DataFrame, parent_column: str,
                 allow_null: bool = True) -> DataFrame:
     """Distinct orphan keys with their row counts: ``(<column>, rows)``.
 
-    The child is first reduced to one row per key (partial aggregation on the
-    map side, so a key holding a third of the table costs one row per task),
-    then anti-joined with the parent keys: the join moves distinct keys, not
-    child rows.
-    """
+    The child is first reduced to one row per key, then anti-joined with the distinct parent
+    keys: the join moves distinct keys, not child rows."""
     src = child.filter(F.col(column).isNotNull()) if allow_null else child
     per_key = src.groupBy(column).agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
-    keys = _parent_keys(parent, parent_column)
+    keys = _parent_keys(parent, parent_column).distinct()
     return per_key.join(keys, per_key[column] == keys[_K], "left_anti")
 
 
-BROADCAST_KEYS_LIMIT = 1_000_000
+def flag_orphans(rows: DataFrame, column: str, parent: DataFrame, parent_column: str, flag: str,
+                 broadcast_limit: int = BROADCAST_KEYS_LIMIT) -> DataFrame:
+    """``rows`` with boolean ``flag``: the key is set and has no parent (a NULL key is not an orphan)."""
+    if parent_fits(parent, parent_column, broadcast_limit)[0]:
+        keys = _parent_keys(parent, parent_column).distinct().withColumn("__there", F.lit(True))
+        joined = rows.join(F.broadcast(keys), rows[column] == keys[_K], "left")
+        return joined.select(*[rows[c] for c in rows.columns], (rows[column].isNotNull() & F.col("__there").isNull()).alias(flag))
+    missing = orphan_keys(rows, column, parent, parent_column).select(F.col(column).alias(_K), F.lit(True).alias("__gone"))
+    joined = join_groups(rows, missing, [(column, _K)], "left", shuffle=broadcast_limit == 0)
+    return joined.withColumn(flag, F.col("__gone").isNotNull()).drop("__gone")
 
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str,
             allow_null: bool = True, broadcast_limit: int = BROADCAST_KEYS_LIMIT) -> Outcome:
     """Child rows whose key has no parent.
 
-    ``allow_null=True`` (default) skips NULL keys; with False a NULL key is a
-    violation too (an anti join on ``=`` never matches NULL, so they stay).
+    ``allow_null=True`` (default) skips NULL keys; with False a NULL key is a violation too.
+    ``broadcast_limit=0`` forces the plan for large parents."""
+    src = child.filter(F.col(column).isNotNull())
+    unset = child.filter(F.col(column).isNull())
 
-    Plan choice, behind a size check (one map-only job counting the parent's keys):
+    @cache
+    def fits() -> tuple[bool, int]:
+        return parent_fits(parent, parent_column, broadcast_limit)
 
-    * at most ``broadcast_limit`` parent keys: they are broadcast and the child
-      is anti-joined map-side - one scan, no shuffle, so no skew either;
-    * more: the child is reduced to (key, rows) by partial aggregation and
-      anti-joined on keys (``orphan_keys``); the row listing semi-joins the
-      child with the orphan keys, broadcast when their count proves them at
-      most ``broadcast_limit``, shuffled beyond it.
-    """
-    src = child.filter(F.col(column).isNotNull()) if allow_null else child
-    # the non-NULL parent key count bounds the distinct keys: a map-only job
-    pk = parent.select(F.col(parent_column).alias(_K)).where(F.col(_K).isNotNull())
-    n_parent = pk.count()
-    meta = {"source_column": column, "reference_column": parent_column, "allow_null": allow_null,
-            "parent_key_rows": n_parent}
-    if n_parent <= broadcast_limit:
-        def listing() -> DataFrame:
-            return src.join(F.broadcast(pk), src[column] == pk[_K], "left_anti")
-        return Outcome(
-            violations=listing,
-            summary=lambda: count_summary(listing()),
-            metadata=dict(meta, plan="broadcast parent keys"),
-            extras={"orphan_values": lambda limit=20: orphan_values(listing(), column, limit)},
-            sample_order=[column],
-        )
-    ok = orphan_keys(child, column, parent, parent_column, allow_null)
-    row = ok.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("violation_count"),
-                 F.count(F.lit(1)).cast("bigint").alias("distinct_orphans")).first()
-    count, distinct = int(row["violation_count"]), int(row["distinct_orphans"])
-    # rows of the orphan keys: split by key size, so a hot orphan key is joined map-side
-    k = ok.select(F.col(column).alias(_K), "rows")
+    @cache
+    def keys() -> DataFrame:
+        return orphan_keys(child, column, parent, parent_column, allow_null)
 
     def listing() -> DataFrame:
-        return join_groups(src, k, [(column, _K)], "rows", "left_semi", null_safe=not allow_null,
-                           broadcast_limit=broadcast_limit)
-    summary = child.sparkSession.createDataFrame(
-        [(count, distinct)], "violation_count bigint, distinct_orphans bigint")
+        if fits()[0]:
+            pk = _parent_keys(parent, parent_column)
+            rows = child if not allow_null else src
+            return rows.join(F.broadcast(pk), rows[column] == pk[_K], "left_anti")
+        gone = keys().where(F.col(column).isNotNull()).select(F.col(column).alias(_K))
+        found = join_groups(src, gone, [(column, _K)], "left_semi", shuffle=broadcast_limit == 0)
+        return found if allow_null else found.unionByName(unset)  # NULL keys need no join
+
+    def summary() -> DataFrame:
+        if fits()[0]:
+            return count_summary(listing())
+        return keys().agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("violation_count"))
+
+    def metadata() -> dict:
+        small, n = fits()
+        return {"source_column": column, "reference_column": parent_column, "allow_null": allow_null, "parent_key_rows": n,
+                "plan": "broadcast parent keys" if small else "pre-aggregated child keys"}
+
     return Outcome(
         violations=listing,
         summary=summary,
-        metadata=dict(meta, plan="pre-aggregated child keys"),
-        extras={"orphan_values": lambda limit=20: orphan_values(ok, column, limit)},
+        metadata=metadata,
+        extras={"orphan_values": lambda limit=20: orphan_values(listing() if fits()[0] else keys(), column, limit)},
         sample_order=[column],
     )
 
@@ -118,25 +123,17 @@ def orphan_counts(relationships: list[tuple[str, DataFrame, str, DataFrame, str]
     return reduce(DataFrame.unionByName, parts)
 
 
-def multi_parent_orphans(child: DataFrame, links: list[tuple[str, DataFrame, str]]) -> Outcome:
+def multi_parent_orphans(child: DataFrame, links: list[tuple[str, DataFrame, str]],
+                         broadcast_limit: int = BROADCAST_KEYS_LIMIT) -> Outcome:
     """Rows where any optional foreign key is set but has no parent.
 
-    Each link is (child_column, parent, parent_column). Per link the orphan keys
-    are found on pre-aggregated child keys (``orphan_keys``) and left-joined back
-    as a flag, split by key size (``operators.skew``): orphan keys are usually
-    few and broadcast, and a hot key never lands in one task. A row is a
-    violation if some set key is an orphan; rows are never multiplied.
-    """
+    Each link is (child_column, parent, parent_column); every link adds a flag to the rows
+    (``flag_orphans``), so parents that fit cost one scan in all and rows are never multiplied."""
     def violations() -> DataFrame:
         out = child
-        flags = []
         for i, (column, parent, parent_column) in enumerate(links):
-            ok = orphan_keys(child, column, parent, parent_column, allow_null=True)
-            g = ok.select(F.col(column).alias(f"__o{i}"), F.col("rows").alias(f"__n{i}"),
-                          F.lit(True).alias(f"__m{i}"))
-            out = join_groups(out, g, [(column, f"__o{i}")], f"__n{i}", "left").drop(f"__n{i}")
-            flags.append(F.col(f"__m{i}").isNotNull())
-        return out.filter(reduce(lambda a, b: a | b, flags)).drop(*[f"__m{i}" for i in range(len(links))])
+            out = flag_orphans(out, column, parent, parent_column, f"__o{i}", broadcast_limit)
+        return out.filter(reduce(or_, [F.col(f"__o{i}") for i in range(len(links))])).select(*child.columns)
 
     return Outcome(violations=violations, summary=lambda: count_summary(violations()),
                    metadata={"links": [(c, pc) for c, _, pc in links]})

@@ -1,59 +1,59 @@
 """Joining rows back to per-key groups when one key may hold a third of the rows.
 
-The groups side (one row per key, with the key's row count) comes out of an
-aggregate, so the join reuses its hash partitioning and AQE's skew-join split
-does not apply. Since the counts are known, hot keys are split off exactly:
-
-* groups at most ``broadcast_limit`` (counted first): broadcast them all, the
-  row side is never shuffled;
-* otherwise keys with more than ``hot_rows`` rows are *hot*. There are at most
-  total / hot_rows of them (a proven bound), so they are broadcast and their
-  rows joined map-side; all other rows drop the hot keys map-side and take a
-  shuffled join in which no key has more than ``hot_rows`` rows.
-
-Nothing is sampled or capped: both parts together are the whole join.
+The groups side (one row per key) comes out of an aggregate. Joined as it is, it
+would lend the join its own partitioning, and AQE could not split a hot key of the
+rows. So the groups are written once to the shared folder and read back: computed
+once however many jobs use them, and a plain exchange (or, where their files are below
+the session's broadcast threshold, a broadcast) in the join. AQE then splits the
+partition of any hot key of the rows - one that has a group or one that has none -
+and reads its one group row several times.
+
+Rows with a NULL key cannot match under ``=``. They are spread over the partitions by a
+salt that no group carries, instead of meeting in one.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT = 1_000_000
-MIN_HOT_ROWS = 100_000
-
-
-def _cond(rows: DataFrame, on: list[str], null_safe: bool) -> Column:
-    terms = [rows[a].eqNullSafe(F.col(f"__gk{i}")) if null_safe else rows[a] == F.col(f"__gk{i}")
-             for i, a in enumerate(on)]
-    return reduce(lambda x, y: x & y, terms)
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[tuple[str, str]], count_col: str,
-                how: str = "inner", null_safe: bool = False, broadcast_limit: int = BROADCAST_LIMIT,
-                hot_rows: int | None = None) -> DataFrame:
-    """``rows`` joined (``inner``, ``left`` or ``left_semi``) with ``groups`` on
-    ``on`` pairs (row column, group column); ``groups`` has one row per key and
-    the key's row count in ``count_col``. The result has the row columns plus,
-    for ``inner`` and ``left``, the non-key group columns."""
-    row_keys = [a for a, _ in on]
-    payload = [c for c in groups.columns if c not in {b for _, b in on}]
-    g = groups.select(*[F.col(b).alias(f"__gk{i}") for i, (_, b) in enumerate(on)], *payload)
-    out_cols = list(rows.columns) + (payload if how in ("inner", "left") else [])
-
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, _cond(left, row_keys, null_safe), how).select(*out_cols)
-
-    stats = g.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(count_col), F.lit(0)).alias("total")).first()
-    if stats["n"] <= broadcast_limit:
-        return joined(rows, F.broadcast(g))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    threshold = hot_rows if hot_rows is not None else max(MIN_HOT_ROWS, int(stats["total"]) // max(parts, 1))
-    hot = g.filter(F.col(count_col) > threshold)
-    cold = g.filter(F.col(count_col) <= threshold)
-    hot_part = joined(rows, F.broadcast(hot))
-    hot_keys = F.broadcast(hot.select(*[f"__gk{i}" for i in range(len(on))]))
-    rest = rows.join(hot_keys, _cond(rows, row_keys, null_safe), "left_anti")
-    return hot_part.unionByName(joined(rest, cold))
+from sieve.staging import stage
+
+#: Broadcast hints are given for sides measured to be at most this large.
+BROADCAST_BYTES = 64 << 20
+SALTS = 1024
+
+
+def key_bytes(df: DataFrame, columns: list[str]) -> Column:
+    """About the bytes a row's key takes: its strings, and 16 for each column."""
+    texts = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, kind in df.select(*columns).dtypes if kind in ("string", "binary")]
+    return reduce(lambda a, b: a + b, texts, F.lit(16 * len(columns)))
+
+
+def _match(rows: DataFrame, groups: DataFrame, on: list[tuple[str, str]], null_safe: bool) -> Column:
+    pairs = [(rows[a], groups[f"__gk{i}"]) for i, (a, _) in enumerate(on)]
+    return reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[tuple[str, str]], how: str = "inner", *,
+                null_safe: bool = False, written: bool = False, shuffle: bool = False) -> DataFrame:
+    """``rows`` joined (``inner``, ``left``, ``left_semi`` or ``left_anti``) with ``groups`` on ``on`` pairs
+    (row column, group column); ``groups`` has one row per key, so rows are never multiplied.
+
+    The result has the row columns plus, for ``inner`` and ``left``, the non-key group columns, whose names must not be
+    row columns. ``written``: the groups are a stored table already. ``shuffle``: no broadcast, whatever their size."""
+    g = groups if written else stage(groups, "groups")
+    payload = [c for c in g.columns if c not in {b for _, b in on}]
+    g = g.select(*[F.col(b).alias(f"__gk{i}") for i, (_, b) in enumerate(on)], *payload)
+    out = list(rows.columns) + (payload if how in ("inner", "left") else [])
+    if shuffle:
+        g = g.hint("merge")
+    if null_safe or how in ("inner", "left_semi"):  # Spark drops NULL keys of these before it shuffles
+        return rows.join(g, _match(rows, g, on, null_safe), how).select(*out)
+    unset = reduce(or_, [F.col(a).isNull() for a, _ in on])
+    salted = rows.withColumn("__salt", F.when(unset, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + 1).otherwise(F.lit(0)))
+    g = g.withColumn("__gsalt", F.lit(0).cast("long"))
+    return salted.join(g, _match(salted, g, on, False) & (salted["__salt"] == g["__gsalt"]), how).select(*out)

@@ -144,40 +144,48 @@ def r1_orphans_documents_labels(spark, d):
     return R.orphans(_t(spark, d, "documents"), "doc_id", _t(spark, d, "labels"), "doc_id").violations
 
 
-@register("r1_orphans_orders_customer", """
-SELECT o.* FROM orders o WHERE o.o_custkey IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_acctbal > 0 AND c.c_custkey = o.o_custkey)""")
+# Orphans are derived on the child's key by a value mapping; parents are read whole.
+_CUST_REF = "CASE WHEN o_orderkey % 10 = 3 THEN -o_custkey ELSE o_custkey END"
+_USER_REF = "CASE WHEN event_id % 7 = 2 THEN -1 - user_id ELSE user_id END"
+_ORDERS_REF_SQL = f"(SELECT * REPLACE ({_CUST_REF} AS o_custkey) FROM orders)"
+_EVENTS_REF_SQL = f"(SELECT * REPLACE ({_USER_REF} AS user_id) FROM events)"
+
+
+def _orders_ref(spark, d) -> DataFrame:
+    return _t(spark, d, "orders").withColumn("o_custkey", F.expr(_CUST_REF))
+
+
+@register("r1_orphans_orders_customer", f"""
+SELECT o.* FROM {_ORDERS_REF_SQL} o WHERE o.o_custkey IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)""")
 def r1_orphans_orders_customer(spark, d):
-    cust = _t(spark, d, "customer").filter(F.col("c_acctbal") > 0)
-    return R.orphans(_t(spark, d, "orders"), "o_custkey", cust, "c_custkey").violations
+    return R.orphans(_orders_ref(spark, d), "o_custkey", _t(spark, d, "customer"), "c_custkey").violations
 
 
-@register("r1_orphans_events_customer", """
-SELECT e.* FROM events e WHERE e.user_id IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_mktsegment <> 'AUTOMOBILE' AND c.c_custkey = e.user_id)""")
+@register("r1_orphans_events_customer", f"""
+SELECT e.* FROM {_EVENTS_REF_SQL} e WHERE e.user_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id)""")
 def r1_orphans_events_customer(spark, d):
-    cust = _t(spark, d, "customer").filter(F.col("c_mktsegment") != "AUTOMOBILE")
-    return R.orphans(_t(spark, d, "events"), "user_id", cust, "c_custkey").violations
+    ev = _t(spark, d, "events").withColumn("user_id", F.expr(_USER_REF))
+    return R.orphans(ev, "user_id", _t(spark, d, "customer"), "c_custkey").violations
 
 
-@register("r2_orphans_null_keys", """
-SELECT t.* FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END AS cust_ref
+@register("r2_orphans_null_keys", f"""
+SELECT t.* FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN {_CUST_REF} END AS cust_ref
                  FROM orders) t
-WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_acctbal > 0 AND c.c_custkey = t.cust_ref)""")
+WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = t.cust_ref)""")
 def r2_orphans_null_keys(spark, d):
     o = _t(spark, d, "orders").select(
-        "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("cust_ref"))
-    cust = _t(spark, d, "customer").filter(F.col("c_acctbal") > 0)
-    return R.orphans(o, "cust_ref", cust, "c_custkey", allow_null=False).violations
+        "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.expr(_CUST_REF)).alias("cust_ref"))
+    return R.orphans(o, "cust_ref", _t(spark, d, "customer"), "c_custkey", allow_null=False).violations
 
 
-@register("r3_orphan_values", """
-SELECT DISTINCT o.o_custkey AS orphan_value FROM orders o WHERE o.o_custkey IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_acctbal > 0 AND c.c_custkey = o.o_custkey)
+@register("r3_orphan_values", f"""
+SELECT DISTINCT o.o_custkey AS orphan_value FROM {_ORDERS_REF_SQL} o WHERE o.o_custkey IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)
 ORDER BY orphan_value LIMIT 20""")
 def r3_orphan_values(spark, d):
-    cust = _t(spark, d, "customer").filter(F.col("c_acctbal") > 0)
-    return R.orphans(_t(spark, d, "orders"), "o_custkey", cust, "c_custkey").extras["orphan_values"](20)
+    return R.orphans(_orders_ref(spark, d), "o_custkey", _t(spark, d, "customer"), "c_custkey").extras["orphan_values"](20)
 
 
 @register("r4_orphan_counts", """
@@ -202,17 +210,22 @@ def r4_orphan_counts(spark, d):
     ])
 
 
-@register("r5_multi_parent_orphans", """
-SELECT l.* FROM lineitem l
-LEFT JOIN (SELECT DISTINCT p_partkey FROM part WHERE p_size <= 40) p ON l.l_partkey = p.p_partkey
-LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal > 0) s ON l.l_suppkey = s.s_suppkey
-WHERE (l.l_partkey IS NOT NULL AND p.p_partkey IS NULL)
-   OR (l.l_suppkey IS NOT NULL AND s.s_suppkey IS NULL)""")
+_PART_REF = "CASE WHEN l_linenumber = 6 THEN -l_partkey ELSE l_partkey END"
+_SUPP_REF = "CASE WHEN l_orderkey % 11 = 5 THEN -1 - l_suppkey WHEN l_orderkey % 13 = 5 THEN NULL ELSE l_suppkey END"
+
+
+@register("r5_multi_parent_orphans", f"""
+SELECT l.* FROM (SELECT * REPLACE ({_PART_REF} AS l_partkey, {_SUPP_REF} AS l_suppkey) FROM lineitem) l
+WHERE (l.l_partkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey))
+   OR (l.l_suppkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = l.l_suppkey))""")
 def r5_multi_parent_orphans(spark, d):
-    part = _t(spark, d, "part").filter(F.col("p_size") <= 40)
-    supp = _t(spark, d, "supplier").filter(F.col("s_acctbal") > 0)
-    return R.multi_parent_orphans(_t(spark, d, "lineitem"),
-                                  [("l_partkey", part, "p_partkey"), ("l_suppkey", supp, "s_suppkey")]).violations
+    return _multi_parent(spark, d).violations
+
+
+def _multi_parent(spark, d, **opts):
+    li = _t(spark, d, "lineitem").withColumns({"l_partkey": F.expr(_PART_REF), "l_suppkey": F.expr(_SUPP_REF)})
+    return R.multi_parent_orphans(li, [("l_partkey", _t(spark, d, "part"), "p_partkey"),
+                                       ("l_suppkey", _t(spark, d, "supplier"), "s_suppkey")], **opts)
 
 
 # ================================================================= duplicates
@@ -438,16 +451,15 @@ def p1_pattern_brand(spark, d):
     return PT.pattern(_t(spark, d, "part"), "p_brand", r"^Brand#[0-9]$").violations
 
 
-@register("p1_pattern_customer_name", """
-SELECT * FROM customer WHERE c_name IS NOT NULL AND NOT regexp_matches(c_name, '^Customer#[0-9]{9}$')""")
-def p1_pattern_customer_name(spark, d):
-    return PT.pattern(_t(spark, d, "customer"), "c_name", r"^Customer#[0-9]{9}$").violations
+_NAME_VALUE = "CASE WHEN c_custkey % 6 = 1 THEN replace(c_name, '#', '') ELSE c_name END"
 
 
-@register("p2_named_pattern_url", r"""
-SELECT page_id, url FROM pages WHERE url IS NOT NULL AND NOT regexp_matches(url, '^https?://[^\s/$.?#].[^\s]*$')""")
-def p2_named_pattern_url(spark, d):
-    return PT.pattern(_t(spark, d, "pages").select("page_id", "url"), "url", "url").violations
+@register("p1_pattern_customer_name", f"""
+SELECT * FROM (SELECT c_custkey, {_NAME_VALUE} AS name FROM customer) t
+WHERE name IS NOT NULL AND NOT regexp_matches(name, '^Customer#[0-9]{{9}}$')""")
+def p1_pattern_customer_name(spark, d):
+    names = _t(spark, d, "customer").select("c_custkey", F.expr(_NAME_VALUE).alias("name"))
+    return PT.pattern(names, "name", r"^Customer#[0-9]{9}$").violations
 
 
 @register("p3_pattern_inverse", r"""
@@ -584,10 +596,31 @@ def o7_iqr_stats(spark, d):
     return O.iqr(_t(spark, d, "events"), "value", 1.5, "high").extras["stats"]()
 
 
-@register("o8_iqr_approx_events")
+@register("o8_iqr_approx_events", """
+WITH q AS (SELECT quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM events WHERE value IS NOT NULL)
+SELECT e.* FROM events e, q WHERE e.value IS NOT NULL
+  AND (e.value < q.q1 - 1.5 * (q.q3 - q.q1) OR e.value > q.q3 + 1.5 * (q.q3 - q.q1))""")
 def o8_iqr_approx_events(spark, d):
-    """Approximate quartiles: no exact oracle (rank error at most n / accuracy)."""
-    return O.iqr(_t(spark, d, "events"), "value", 1.5, quartiles="approx").violations
+    """An accuracy above the number of rows of a small table makes its sketch exact (rank error n / accuracy < 1)."""
+    return O.iqr(_t(spark, d, "events"), "value", 1.5, quartiles="approx", accuracy=1_000_000).violations
+
+
+@register("o8_approx_rank_error", """
+SELECT p AS probability, CAST(count(*) AS BIGINT) AS n, true AS within_bound
+FROM events, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) t(p) WHERE value IS NOT NULL GROUP BY p""")
+def o8_approx_rank_error(spark, d):
+    """Whether each sketched quartile's exact rank lies within n / accuracy of the wanted rank."""
+    from sieve.operators import quantiles as QQ
+
+    values, probs, accuracy = QQ.clean_values(_t(spark, d, "events"), "value"), [0.25, 0.5, 0.75], 200
+    marks, _ = QQ.quantiles_approx(values, probs, accuracy)
+    n = F.count(F.lit(1))
+    rows = values.agg(n.alias("n"), *[F.struct(F.count_if(F.col("v") < F.lit(m)).alias("below"),
+                                               F.count_if(F.col("v") <= F.lit(m)).alias("upto")).alias(f"m{i}") for i, m in enumerate(marks)])
+    each = [F.struct(F.lit(p).alias("probability"), F.col("n").cast("bigint").alias("n"),
+                     ((F.col(f"m{i}.below") - F.col("n") / accuracy <= F.col("n") * p)
+                      & (F.col(f"m{i}.upto") + F.col("n") / accuracy >= F.col("n") * p)).alias("within_bound")) for i, p in enumerate(probs)]
+    return rows.select(F.explode(F.array(*each)).alias("r")).select("r.*")
 
 
 # ================================================================= custom SQL
@@ -597,12 +630,12 @@ def _views(spark, d, names):
 
 @register("q1_custom_sql", """
 SELECT o.o_orderkey, o.o_custkey, o.o_totalprice FROM orders o
-WHERE o.o_totalprice > (SELECT 2 * avg(o_totalprice) FROM orders)""")
+WHERE o.o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders)""")
 def q1_custom_sql(spark, d):
     _views(spark, d, ["orders"])
     return Q.custom_sql(spark, """
         SELECT o.o_orderkey, o.o_custkey, o.o_totalprice FROM orders o
-        WHERE o.o_totalprice > (SELECT 2 * avg(o_totalprice) FROM orders)""").violations
+        WHERE o.o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders)""").violations
 
 
 @register("q2_count_query", """
@@ -713,20 +746,20 @@ def g4_high_failures(spark, d):
     return G.high_failures(_fs.flagship_results(spark, d)).select("rule_name", "violation_count")
 
 
-@register("g5_quality_score", """
-SELECT 'orders' AS table_name, CAST(count(*) AS BIGINT) AS total_records,
-       CAST(count_if(o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
-                     OR o_totalprice > 300000) AS BIGINT) AS records_with_issues,
-       CAST(100.0 - count_if(o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
-                             OR o_totalprice > 300000) * 100.0 / count(*) AS DECIMAL(5,2)) AS quality_score
-FROM orders
+def _g5_sql(orders: str) -> str:
+    issue = "o_custkey NOT IN (SELECT c_custkey FROM customer) OR o_totalprice > 300000"
+    return f"""
+SELECT 'orders' AS table_name, CAST(count(*) AS BIGINT) AS total_records, CAST(count_if({issue}) AS BIGINT) AS records_with_issues,
+       CAST(100.0 - count_if({issue}) * 100.0 / count(*) AS DECIMAL(5,2)) AS quality_score
+FROM {orders} o
 UNION ALL
 SELECT 'lineitem', count(*), count_if(l_quantity > 45 OR l_discount > 0.08),
        CAST(100.0 - count_if(l_quantity > 45 OR l_discount > 0.08) * 100.0 / count(*) AS DECIMAL(5,2))
-FROM lineitem""")
-def g5_quality_score(spark, d):
-    o = G.with_match_flag(_t(spark, d, "orders"), "o_custkey",
-                          _t(spark, d, "customer").filter(F.col("c_acctbal") > 0), "c_custkey", "has_customer")
+FROM lineitem"""
+
+
+def _g5(spark, d, orders, **opts) -> DataFrame:
+    o = G.with_match_flag(orders, "o_custkey", _t(spark, d, "customer"), "c_custkey", "has_customer", **opts)
     li = _t(spark, d, "lineitem")
     return G.quality_scores([
         ("orders", o, ~F.col("has_customer") | (F.col("o_totalprice") > 300000)),
@@ -734,6 +767,11 @@ def g5_quality_score(spark, d):
     ])
 
 
+@register("g5_quality_score", _g5_sql(_ORDERS_REF_SQL))
+def g5_quality_score(spark, d):
+    return _g5(spark, d, _orders_ref(spark, d))
+
+
 @register("g6_quality_trend", """
 SELECT CAST(ts AS DATE) AS check_date, CAST(count(*) AS BIGINT) AS records_checked,
        CAST(count_if(value > 300) AS BIGINT) AS high_value, CAST(count_if(event_type = 'error') AS BIGINT) AS errors
@@ -822,8 +860,9 @@ def t2_stream_window_trend(spark, d):
 @register("t3_stream_orphans", ORACLE["r1_orphans_events_customer"])
 def t3_stream_orphans(spark, d):
     stream = _events_stream(spark, d)
-    cust = _t(spark, d, "customer").filter(F.col("c_mktsegment") != "AUTOMOBILE")
-    q, path = S.run_to_parquet(spark, S.stream_orphans(stream, "user_id", cust, "c_custkey"), "orphans")
+    stream = stream.withColumn("user_id", F.expr(_USER_REF))
+    orphans = S.stream_orphans(stream, "user_id", _t(spark, d, "customer"), "c_custkey")
+    q, path = S.run_to_parquet(spark, orphans, "orphans")
     q.awaitTermination()
     return spark.read.parquet(path)
 
@@ -839,13 +878,22 @@ def t4_stream_batch_duplicates(spark, d):
 @register("t4_stream_drop_repeats", """
 SELECT DISTINCT user_id, event_type FROM events""")
 def t4_stream_drop_repeats(spark, d):
-    """Repeats within the watermark dropped; in one batch each key is kept once."""
-    s = S.drop_repeats(_events_stream(spark, d), ["user_id", "event_type"], "ts", "1 hour")
+    """Several batches; the watermark is longer than the data's span, so every repeat is met whatever the batches are."""
+    stream = _events_in_files(spark, d, max_files=1)
+    s = S.drop_repeats(stream, ["user_id", "event_type"], "ts", "3650 days")
     q, path = S.run_to_parquet(spark, s, "drop_repeats")
     q.awaitTermination()
     return spark.read.parquet(path).select("user_id", "event_type")
 
 
+def _events_in_files(spark, d, max_files: int, files: int = 4) -> DataFrame:
+    """The events table as a stream over several files, written in no particular order."""
+    ev = _t(spark, d, "events")
+    path = checkpoint_subdir(spark, f"streams/events-{_uuid.uuid4().hex[:12]}")
+    ev.repartition(files).write.parquet(path)
+    return S.file_stream(spark, path, ev.schema, file_glob="*.parquet", max_files_per_trigger=max_files)
+
+
 # ============================================================ sources, sinks
 import uuid as _uuid  # noqa: E402
 
@@ -880,15 +928,16 @@ def s3_csv_source_range(spark, d):
 
 
 @register("s3_csv_corrupt_rows", """
-SELECT CAST(0 AS BIGINT) AS corrupt_rows,
-       CAST(count_if(o_orderkey IS NULL OR o_custkey IS NULL OR o_totalprice IS NULL OR o_orderpriority IS NULL)
+SELECT CAST(count_if(o_orderkey % 9 = 4) AS BIGINT) AS corrupt_rows,
+       CAST(count_if(o_orderkey % 9 = 4 OR o_custkey IS NULL OR o_totalprice IS NULL OR o_orderpriority IS NULL)
             AS BIGINT) AS rows_with_nulls, CAST(count(*) AS BIGINT) AS total_rows FROM orders""")
 def s3_csv_corrupt_rows(spark, d):
+    """Orders written as CSV with a price that is no number in every ninth row or so."""
     path = _scratch(spark, "orders_csv")
-    _t(spark, d, "orders").select(*[f.name for f in _ORDERS_CSV_SCHEMA.fields]).write.option(
+    price = F.when(F.col("o_orderkey") % 9 == 4, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    _t(spark, d, "orders").select("o_orderkey", "o_custkey", price.alias("o_totalprice"), "o_orderpriority").write.option(
         "header", True).csv(path)
-    df = _files.read_csv(spark, path, _ORDERS_CSV_SCHEMA)
-    return _files.corrupt_summary(df)
+    return _files.corrupt_summary(_files.read_csv(spark, path, _ORDERS_CSV_SCHEMA))
 
 
 @register("s6_report_sink", f"""
@@ -1009,22 +1058,22 @@ def g4_critical_failures(spark, d):
 
 
 _BROKEN_RULES = [
-    {"name": "broken_unknown_type", "type": "freshness", "table": "orders", "severity": "low"},
+    {"name": "broken_unknown_table", "type": "completeness", "table": "no_such_table", "columns": ["x"], "severity": "low"},
     {"name": "broken_unknown_column", "type": "range", "table": "orders", "column": "o_nope", "min": 0,
      "severity": "medium"},
     {"name": "broken_sql", "type": "custom_sql", "query": "SELEC * FORM orders", "severity": "high"},
-    {"name": "broken_no_bounds", "type": "range", "table": "lineitem", "column": "l_tax", "severity": "low"},
+    {"name": "broken_cast", "type": "range", "table": "orders", "column": "o_orderpriority", "min": 0, "severity": "low"},
 ]
 
 
 @register("e4_error_isolation", f"""
 SELECT rule_name, passed, violation_count, false AS has_error FROM ({_SUITE_SQL}) r
-UNION ALL SELECT 'broken_unknown_type', false, CAST(0 AS BIGINT), true
+UNION ALL SELECT 'broken_unknown_table', false, CAST(0 AS BIGINT), true
 UNION ALL SELECT 'broken_unknown_column', false, CAST(0 AS BIGINT), true
 UNION ALL SELECT 'broken_sql', false, CAST(0 AS BIGINT), true
-UNION ALL SELECT 'broken_no_bounds', false, CAST(0 AS BIGINT), true""")
+UNION ALL SELECT 'broken_cast', false, CAST(0 AS BIGINT), true""")
 def e4_error_isolation(spark, d):
-    """Broken rules give one failed result each; the other rules are untouched."""
+    """Rules that fail on the data give one failed result each; the other rules are untouched."""
     from sieve.plans.suite import run_suite
     tables = read_tables(spark, d, _fs.FLAGSHIP_TABLES)
     res = run_suite(spark, tables, _fs.FLAGSHIP_RULES + _BROKEN_RULES).results
@@ -1048,7 +1097,7 @@ SELECT 'zscore' AS method, CAST(3 AS DOUBLE) AS threshold, 'both' AS direction,
        CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std_dev, CAST(NULL AS DOUBLE) AS q1,
        CAST(NULL AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS q3, CAST(NULL AS DOUBLE) AS iqr,
        CAST(NULL AS DOUBLE) AS lower_bound, CAST(NULL AS DOUBLE) AS upper_bound,
-       'No variance in data or insufficient records' AS note
+       'All values are equal, or there are too few to tell' AS note
 FROM orders WHERE o_orderpriority IS NOT NULL""")
 def o4_zscore_no_variance(spark, d):
     """A column with one value (every order has a priority -> 1.0): the check passes with a note."""
@@ -1061,32 +1110,48 @@ def o4_zscore_no_variance(spark, d):
 from sieve.functions.patterns import NAMED_PATTERNS as _NP  # noqa: E402
 
 
-@register("p2_named_pattern_date_iso", f"""
-SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS order_day FROM orders
-WHERE NOT regexp_matches(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '{_NP["date_iso"]}')""")
-def p2_named_pattern_date_iso(spark, d):
-    o = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("order_day"))
-    return PT.pattern(o, "order_day", "date_iso").violations
+# Values with good and bad forms, derived from whole tables by expressions both engines read alike.
+_NAMED_VALUES = {
+    "email": ("customer", "c_custkey", "'user.' || c_custkey || '@' || lower(c_mktsegment) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '.com' END"),
+    "us_phone": ("orders", "o_orderkey", "'(' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || ') ' || lpad(CAST(o_custkey % 1000 AS STRING), 3, '0') "
+                 "|| '-' || lpad(CAST(o_orderkey % 10000 AS STRING), CASE WHEN o_orderkey % 4 = 1 THEN 3 ELSE 4 END, '0')"),
+    "us_zip": ("customer", "c_custkey", "lpad(CAST(c_custkey % 100000 AS STRING), 5, '0') || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '-0123' ELSE '-12' END"),
+    "ca_postal": ("customer", "c_custkey", "'R' || c_custkey % 10 || 'A' || CASE c_custkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN '-' WHEN 2 THEN '' ELSE '  ' END "
+                  "|| c_custkey % 10 || 'B' || c_custkey % 7"),
+    "ssn": ("customer", "c_custkey", "lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || CASE WHEN c_custkey % 5 = 2 THEN '.' ELSE '-' END || '45-' "
+            "|| lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')"),
+    "url": ("pages", "page_id", "CASE WHEN page_id % 5 = 0 THEN replace(url, 'http', 'ftp') ELSE url END"),
+    "ipv4": ("events", "event_id", "'10.' || event_id % 256 || '.' || user_id % 256 || CASE WHEN event_id % 6 = 0 THEN '' ELSE '.7' END"),
+    "date_iso": ("orders", "o_orderkey", "CASE WHEN o_orderkey % 4 = 2 THEN replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', '/') "
+                 "ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END"),
+    "uuid": ("customer", "c_custkey", "substr(md5(c_name), 1, 8) || '-' || substr(md5(c_name), 9, 4) || '-' || substr(md5(c_name), 13, 4) || '-' "
+             "|| substr(md5(c_name), 17, 4) || CASE WHEN c_custkey % 3 = 1 THEN '' ELSE '-' || substr(md5(c_name), 21, 12) END"),
+}
+
 
+def _named_pattern(pattern: str, table: str, key: str, value: str) -> None:
+    @register(f"p2_named_pattern_{pattern}", f"""
+SELECT * FROM (SELECT {key}, {value} AS value FROM {table}) t
+WHERE value IS NOT NULL AND NOT regexp_matches(value, '{_NP[pattern]}')""")
+    def query(spark, d):
+        return PT.pattern(_t(spark, d, table).select(key, F.expr(value).alias("value")), "value", pattern).violations
 
-@register("p2_named_pattern_email", f"""
-SELECT c_custkey, lower(c_name) || '@' || lower(c_mktsegment) || '.example' AS contact FROM customer
-WHERE NOT regexp_matches(lower(c_name) || '@' || lower(c_mktsegment) || '.example', '{_NP["email"]}')""")
-def p2_named_pattern_email(spark, d):
-    """An address built from the name: '#' is not allowed before '@', so every row fails."""
-    c = _t(spark, d, "customer")
-    contact = F.concat(F.lower("c_name"), F.lit("@"), F.lower("c_mktsegment"), F.lit(".example"))
-    return PT.pattern(c.select("c_custkey", contact.alias("contact")), "contact", "email").violations
 
+for _name, _spec in _NAMED_VALUES.items():
+    _named_pattern(_name, *_spec)
 
-_Q1_NOT_IN = """
+
+_Q1_NOT_EXISTS = """
 SELECT c.c_custkey, c.c_name, c.c_mktsegment FROM customer c
-WHERE c.c_mktsegment = 'BUILDING'
-  AND c.c_custkey NOT IN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-06-01')"""
+WHERE c.c_mktsegment = 'BUILDING' AND NOT EXISTS (
+  SELECT 1 FROM orders o WHERE o.o_orderdate >= TIMESTAMP '2000-06-01' AND o.o_custkey = c.c_custkey)"""
 
 
-@register("q1_custom_sql_not_in", _Q1_NOT_IN)
-def q1_custom_sql_not_in(spark, d):
-    """A user's business rule written with NOT IN, run as given (Spark plans a null-aware anti join)."""
+@register("q1_custom_sql_not_exists", _Q1_NOT_EXISTS)
+def q1_custom_sql_not_exists(spark, d):
+    """A user's business rule as SQL. (With NOT IN, Spark would broadcast the subquery whatever its size.)"""
     _views(spark, d, ["customer", "orders"])
-    return Q.custom_sql(spark, _Q1_NOT_IN).violations
+    return Q.custom_sql(spark, _Q1_NOT_EXISTS).violations
+
+
+from sieve.plans import catalog_more  # noqa: E402, F401  (registers further queries)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieve.operators.base import Outcome
@@ -24,7 +24,12 @@ def fused_counts(source: DataFrame, checks: dict[str, Outcome]) -> DataFrame:
     return source.agg(*aggs)
 
 
+def tag_rows(df: DataFrame, predicates: dict[str, Column], column: str = "failed_rules") -> DataFrame:
+    """Every row with the names of the predicates it fails, in rule order."""
+    tags = [F.when(p, F.lit(name)) for name, p in predicates.items()]
+    return df.withColumn(column, F.array_compact(F.array(*tags)))
+
+
 def tag_failed_rules(source: DataFrame, checks: dict[str, Outcome], column: str = "failed_rules") -> DataFrame:
     """Every row with the names of the row checks it fails (empty array if none)."""
-    tags = [F.when(out.predicate, F.lit(name)) for name, out in checks.items()]
-    return source.withColumn(column, F.array_compact(F.array(*tags)))
+    return tag_rows(source, {name: out.predicate for name, out in checks.items()}, column)

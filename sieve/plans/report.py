@@ -40,27 +40,22 @@ def high_failures(results: DataFrame) -> DataFrame:
     return results.filter(~F.col("passed") & (F.col("severity") == "high"))
 
 
-def with_match_flag(df: DataFrame, column: str, parent: DataFrame, parent_column: str, flag: str) -> DataFrame:
-    """Add boolean ``flag``: the row's key has a parent - the hand rewrite of
+def with_match_flag(df: DataFrame, column: str, parent: DataFrame, parent_column: str, flag: str,
+                    **opts) -> DataFrame:
+    """Add boolean ``flag``: the row's key is not an orphan - the hand rewrite of
     ``key NOT IN (subquery)`` inside a CASE, which Spark would plan as a
-    broadcast nested-loop join. The orphan keys (found on pre-aggregated keys)
-    are left-joined back as a marker, split by key size; a NULL key has no
-    parent."""
-    from sieve.operators.referential import orphan_keys
-    from sieve.operators.skew import join_groups
+    broadcast nested-loop join. As there, a NULL key is not counted against the row."""
+    from sieve.operators.referential import flag_orphans
 
-    ok = orphan_keys(df, column, parent, parent_column).select(
-        F.col(column).alias("__ok"), F.col("rows").alias("__okn"), F.lit(True).alias("__orphan"))
-    out = join_groups(df, ok, [(column, "__ok")], "__okn", "left").drop("__okn")
-    has = F.col(column).isNotNull() & F.col("__orphan").isNull()
-    return out.withColumn(flag, has).drop("__orphan")
+    out = flag_orphans(df, column, parent, parent_column, "__orphan", **opts)
+    return out.withColumn(flag, ~F.col("__orphan")).drop("__orphan")
 
 
 def quality_score(table_name: str, df: DataFrame, issue: Column) -> DataFrame:
-    """total_records, records_with_issues, quality_score DECIMAL(5,2)."""
+    """total_records, records_with_issues, quality_score DECIMAL(5,2) (NULL for an empty table)."""
     total = F.count(F.lit(1))
     bad = F.count_if(issue)
-    score = (F.lit(100.0) - bad * F.lit(100.0) / total).cast("decimal(5,2)")
+    score = F.when(total > 0, F.lit(100.0) - bad * F.lit(100.0) / F.greatest(total, F.lit(1))).cast("decimal(5,2)")
     return df.agg(F.lit(table_name).alias("table_name"), total.cast("bigint").alias("total_records"),
                   bad.cast("bigint").alias("records_with_issues"), score.alias("quality_score"))
 

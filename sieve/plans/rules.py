@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sieve.operators import completeness as C
 from sieve.operators import custom_sql as Q
@@ -30,11 +31,15 @@ class RuleError(ValueError):
 
 CheckFn = Callable[[SparkSession, dict, dict], Outcome]
 _REGISTRY: dict[str, CheckFn] = {}
+#: Fields a rule of each type must have; of a tuple, one at least.
+_REQUIRED: dict[str, tuple] = {}
 
 
-def register_check(rule_type: str, fn: CheckFn) -> None:
-    """Extension point: ``fn(spark, tables, rule) -> Outcome``."""
+def register_check(rule_type: str, fn: CheckFn, required: tuple = ()) -> None:
+    """Extension point: ``fn(spark, tables, rule) -> Outcome``. ``required``: fields a rule of this type must have
+    (of a tuple among them, one at least)."""
     _REGISTRY[rule_type.lower()] = fn
+    _REQUIRED[rule_type.lower()] = tuple(required)
 
 
 def rule_types() -> list[str]:
@@ -43,19 +48,11 @@ def rule_types() -> list[str]:
 
 def _table(tables: dict, rule: dict, key: str = "table") -> DataFrame:
     name = rule.get(key)
-    if not name:
-        raise ValueError(f"rule '{rule['name']}' needs '{key}'")
     if name not in tables:
         raise ValueError(f"unknown table {name!r}")
     return tables[name]
 
 
-def _require(rule: dict, *fields: str) -> None:
-    for f in fields:
-        if rule.get(f) in (None, "", []):
-            raise ValueError(f"rule '{rule['name']}' ({rule['type']}) requires '{f}' field")
-
-
 def _columns_exist(df: DataFrame, cols) -> None:
     have = set(df.columns)
     for c in cols:
@@ -64,7 +61,6 @@ def _columns_exist(df: DataFrame, cols) -> None:
 
 
 def _completeness(spark, tables, rule):
-    _require(rule, "columns")
     df = _table(tables, rule)
     _columns_exist(df, rule["columns"])
     return C.completeness(df, list(rule["columns"]), rule.get("check_empty_strings", True),
@@ -72,7 +68,6 @@ def _completeness(spark, tables, rule):
 
 
 def _referential(spark, tables, rule):
-    _require(rule, "column", "reference_table", "reference_column")
     df, ref = _table(tables, rule), _table(tables, rule, "reference_table")
     _columns_exist(df, [rule["column"]])
     _columns_exist(ref, [rule["reference_column"]])
@@ -80,16 +75,13 @@ def _referential(spark, tables, rule):
 
 
 def _duplicates(spark, tables, rule):
-    cols = rule.get("columns") or ([rule["column"]] if rule.get("column") else None)
-    if not cols:
-        raise ValueError(f"rule '{rule['name']}' ({rule['type']}) requires 'columns' field")
+    cols = rule.get("columns") or [rule["column"]]
     df = _table(tables, rule)
     _columns_exist(df, cols)
     return D.duplicates(df, list(cols), rule.get("case_sensitive", True), rule.get("ignore_null", True))
 
 
 def _fuzzy(spark, tables, rule):
-    _require(rule, "id_column", "phonetic_columns")
     df = _table(tables, rule)
     cols = [rule["id_column"], *rule["phonetic_columns"], *rule.get("exact_columns", [])]
     _columns_exist(df, cols)
@@ -98,47 +90,42 @@ def _fuzzy(spark, tables, rule):
 
 
 def _range(spark, tables, rule):
-    _require(rule, "column")
     df = _table(tables, rule)
     _columns_exist(df, [rule["column"]])
-    if rule.get("min") is None and rule.get("max") is None:
-        raise ValueError("Range validation requires at least 'min' or 'max' to be specified")
     return N.value_range(df, rule["column"], rule.get("min"), rule.get("max"), rule.get("inclusive", True))
 
 
 def _date_range(spark, tables, rule):
-    _require(rule, "column")
     df = _table(tables, rule)
     _columns_exist(df, [rule["column"]])
     hi = rule.get("max")
     if hi == "now":
-        hi = rule.get("as_of")
-        if hi is None:
-            raise ValueError("date_range with max 'now' needs 'as_of'")
+        hi = rule.get("as_of", "now")
     return N.date_range(df, rule["column"], rule.get("min"), hi)
 
 
+def _future_dates(spark, tables, rule):
+    df = _table(tables, rule)
+    _columns_exist(df, [rule["column"]])
+    return N.future_dates(df, rule["column"], rule.get("as_of"))
+
+
 def _cross_field(spark, tables, rule):
-    _require(rule, "left", "operator", "right")
     df = _table(tables, rule)
     _columns_exist(df, [rule["left"], rule["right"]])
     return N.cross_field(df, rule["left"], rule["operator"], rule["right"])
 
 
 def _pattern(spark, tables, rule):
-    _require(rule, "column")
     df = _table(tables, rule)
     _columns_exist(df, [rule["column"]])
     if rule.get("like"):
         return PT.like(df, rule["column"], rule["like"], rule.get("inverse", False), rule.get("match_null", True))
-    if not rule.get("pattern"):
-        raise ValueError("Pattern validation requires 'pattern' field")
     return PT.pattern(df, rule["column"], rule["pattern"], rule.get("inverse", False), rule.get("match_null", True),
                       rule.get("must_contain"))
 
 
 def _outliers(spark, tables, rule):
-    _require(rule, "column")
     df = _table(tables, rule)
     _columns_exist(df, [rule["column"]])
     kw = {}
@@ -149,50 +136,97 @@ def _outliers(spark, tables, rule):
 
 
 def _custom_sql(spark, tables, rule):
-    if not (rule.get("query") or "").strip():
-        raise ValueError("Custom SQL validation requires 'query' field")
     return Q.custom_sql(spark, rule["query"], rule.get("count_query"))
 
 
-for _t, _fn in {
-    "completeness": _completeness,
-    "referential_integrity": _referential,
-    "duplicates": _duplicates,
-    "uniqueness": _duplicates,
-    "fuzzy_duplicates": _fuzzy,
-    "range": _range,
-    "date_range": _date_range,
-    "cross_field": _cross_field,
-    "pattern": _pattern,
-    "outliers": _outliers,
-    "custom_sql": _custom_sql,
-}.items():
-    register_check(_t, _fn)
+def _multi_parent(spark, tables, rule):
+    df, links = _table(tables, rule), []
+    for link in rule["links"]:
+        parent = _table(tables, link, "reference_table")
+        _columns_exist(df, [link["column"]])
+        _columns_exist(parent, [link["reference_column"]])
+        links.append((link["column"], parent, link["reference_column"]))
+    return R.multi_parent_orphans(df, links)
+
+
+def _condition(rule, field):
+    return F.expr(rule[field]) if rule.get(field) else None
+
+
+def _inactive_parents(spark, tables, rule):
+    parent, child = _table(tables, rule), _table(tables, rule, "child_table")
+    _columns_exist(parent, [rule["key"]])
+    _columns_exist(child, [rule["child_key"]])
+    recent = _condition(rule, "child_filter")
+    if rule.get("within"):
+        _columns_exist(child, [rule["child_date"]])
+        window = Q.since(child, rule["child_date"], rule["within"], rule.get("as_of"))
+        recent = window if recent is None else recent & window
+    return Q.inactive_parents(parent, rule["key"], child, rule["child_key"], _condition(rule, "filter"), recent)
+
+
+def _child_after_parent(spark, tables, rule):
+    child, parent = _table(tables, rule), _table(tables, rule, "parent_table")
+    _columns_exist(child, [rule["child_key"], rule["child_date"]])
+    _columns_exist(parent, [rule["parent_key"], rule["parent_date"]])
+    return Q.child_after_parent_event(child, rule["child_key"], rule["child_date"], parent, rule["parent_key"],
+                                      rule["parent_date"], _condition(rule, "parent_filter"))
+
+
+for _t, _fn, _need in (
+    ("completeness", _completeness, ("table", "columns")),
+    ("referential_integrity", _referential, ("table", "column", "reference_table", "reference_column")),
+    ("multi_parent", _multi_parent, ("table", "links")),
+    ("duplicates", _duplicates, ("table", ("columns", "column"))),
+    ("uniqueness", _duplicates, ("table", ("columns", "column"))),
+    ("fuzzy_duplicates", _fuzzy, ("table", "id_column", "phonetic_columns")),
+    ("range", _range, ("table", "column", ("min", "max"))),
+    ("date_range", _date_range, ("table", "column", ("min", "max"))),
+    ("future_dates", _future_dates, ("table", "column")),
+    ("cross_field", _cross_field, ("table", "left", "operator", "right")),
+    ("pattern", _pattern, ("table", "column", ("pattern", "like"))),
+    ("outliers", _outliers, ("table", "column")),
+    ("custom_sql", _custom_sql, ("query",)),
+    ("inactive_parents", _inactive_parents, ("table", "key", "child_table", "child_key")),
+    ("child_after_parent", _child_after_parent,
+     ("table", "child_key", "child_date", "parent_table", "parent_key", "parent_date")),
+):
+    register_check(_t, _fn, _need)
+
+
+def _missing_fields(rule: dict) -> list[str]:
+    """Required fields the rule lacks; alternatives are named together."""
+    def there(field: str) -> bool:
+        value = rule.get(field)
+        return value is not None and value != [] and not (isinstance(value, str) and not value.strip())
+
+    need = [f if isinstance(f, tuple) else (f,) for f in _REQUIRED[str(rule["type"]).lower()]]
+    return [" or ".join(alternatives) for alternatives in need if not any(there(f) for f in alternatives)]
 
 
 def validate_rules(rules: list[dict]) -> None:
-    """E5 (structure): every rule has name, type and a known severity; names are unique.
+    """E5: every rule has a unique name, a known type with the fields that type needs, and a known severity.
 
-    Unknown types and unknown tables/columns are not raised here: they become
-    one failed result each at run time, leaving the other rules alone (E4).
-    """
+    Checked for all rules before any job runs. What depends on the data (unknown tables or columns, SQL that does
+    not run) becomes one failed result at run time and leaves the other rules alone (E4)."""
     seen = set()
     for i, rule in enumerate(rules):
         if not isinstance(rule, dict):
-            raise RuleError(f"rule at index {i} is not a mapping")
+            raise RuleError(f"rule number {i + 1} is no mapping")
         for f in ("name", "type", "severity"):
             if f not in rule:
-                raise RuleError(f"Rule at index {i} missing required field: {f}")
+                raise RuleError(f"rule number {i + 1} has no {f!r}")
+        name = rule["name"]
         if str(rule["severity"]).lower() not in SEVERITIES:
-            raise RuleError(f"Rule '{rule['name']}' has invalid severity: {rule['severity']}. "
-                            f"Must be one of: {list(SEVERITIES)}")
-        if rule["name"] in seen:
-            raise RuleError(f"duplicate rule name {rule['name']!r}")
-        seen.add(rule["name"])
+            raise RuleError(f"rule {name!r}: severity {rule['severity']!r} is none of {', '.join(SEVERITIES)}")
+        if str(rule["type"]).lower() not in _REGISTRY:
+            raise RuleError(f"rule {name!r}: type {rule['type']!r} is none of {', '.join(rule_types())}")
+        if lacking := _missing_fields(rule):
+            raise RuleError(f"rule {name!r} ({rule['type']}) lacks {', '.join(lacking)}")
+        if name in seen:
+            raise RuleError(f"two rules are named {name!r}")
+        seen.add(name)
 
 
 def compile_rule(spark: SparkSession, tables: dict, rule: dict) -> Outcome:
-    fn = _REGISTRY.get(str(rule["type"]).lower())
-    if fn is None:
-        raise ValueError(f"Unknown validator type: {rule['type']}")
-    return fn(spark, tables, rule)
+    return _REGISTRY[str(rule["type"]).lower()](spark, tables, rule)

@@ -11,7 +11,7 @@ Planning:
 * other rules run their own one-row summary aggregate;
 * only failing rules pay for a second, bounded job: a sample of at most
   ``sample_size`` violating rows, plus (referential) the first 20 orphan keys
-  or (duplicates) the 10 largest groups.
+  or (duplicates) the 10 largest groups and the first member rows by key.
 
 Only counts and bounded samples reach the driver.
 """
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieve.operators.base import Outcome
+from sieve.plans.fused import fused_counts
 from sieve.plans.rules import SEVERITY_RANK, compile_rule, validate_rules
 from sieve.sources.tables import register_views
 
@@ -140,7 +141,7 @@ def _evaluate(spark: SparkSession, tables: dict, rules: list[dict], settings: di
     compiled: dict[str, tuple[dict, Outcome, float]] = {}
     for rule, out, ms, err in _pmap(spark, settings, compile_one, rules, lambda r: r["name"]):
         if err is not None:
-            results[rule["name"]] = _result(rule, False, error=f"Validator error: {err}", elapsed_ms=ms)
+            results[rule["name"]] = _result(rule, False, error=f"rule cannot be built: {err}", elapsed_ms=ms)
         else:
             compiled[rule["name"]] = (rule, out, ms)
 
@@ -155,8 +156,7 @@ def _evaluate(spark: SparkSession, tables: dict, rules: list[dict], settings: di
             src = compiled[names[0]][1].source
             t0 = time.perf_counter()
             try:  # E6: one scan for every row rule on this table
-                row = src.agg(*[F.count_if(compiled[n][1].predicate).alias(f"c{i}")
-                                for i, n in enumerate(names)]).first()
+                row = fused_counts(src, {f"c{i}": compiled[n][1] for i, n in enumerate(names)}).first()
             except Exception:  # noqa: BLE001 - these rules are re-run singly below
                 return names, None, 0.0
             return names, row, (time.perf_counter() - t0) * 1e3 / len(names)
@@ -196,7 +196,7 @@ def _evaluate(spark: SparkSession, tables: dict, rules: list[dict], settings: di
             elapsed = t_compile + t_scan + (time.perf_counter() - t0) * 1e3
             return name, _result(rule, count == 0, count, sample, None, elapsed, meta), out
         except Exception as e:  # noqa: BLE001
-            return name, _result(rule, False, error=f"Query execution failed: {e}",
+            return name, _result(rule, False, error=f"rule failed while running: {e}",
                                  elapsed_ms=t_compile + (time.perf_counter() - t0) * 1e3), None
         finally:
             for df in shared:

@@ -9,6 +9,7 @@ so re-running a failed job adds a new run instead of corrupting an old one.
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from sieve.plans.suite import SuiteReport
 
+#: Parts a rule's violations are dealt to before they are written.
+SALTS = 64
+
 
 def _run_columns(report: SuiteReport) -> list:
     return [
@@ -91,16 +95,22 @@ def read_history(spark, path: str) -> DataFrame:
 def violations_frame(report: SuiteReport, rule_names: list[str] | None = None) -> DataFrame | None:
     """Every violating row of every (failed) rule, as ``rule_name, record`` where
     ``record`` is the row as JSON - one dataset for rules of different shapes."""
-    parts = []
-    res = {r["rule_name"]: r for r in report.results.select("rule_name", "passed").collect()}
-    for name, out in report.outcomes.items():
-        if rule_names is not None and name not in rule_names:
-            continue
-        if res.get(name) is not None and res[name]["passed"]:
-            continue
-        v = out.violations
-        parts.append(v.select(F.lit(name).alias("rule_name"),
-                              F.to_json(F.struct(*[v[c] for c in v.columns])).alias("record")))
+    passed = {r["rule_name"] for r in report.results.where("passed").select("rule_name").collect()}
+    wanted = {n: o for n, o in report.outcomes.items() if n not in passed and (rule_names is None or n in rule_names)}
+    parts, scans = [], defaultdict(dict)
+    for name, out in wanted.items():
+        if out.predicate is not None and out.source is not None:
+            scans[id(out.source)][name] = out
+        else:
+            v = out.violations
+            parts.append(v.select(F.lit(name).alias("rule_name"),
+                                  F.to_json(F.struct(*[v[c] for c in v.columns])).alias("record")))
+    for rules in scans.values():  # one scan for all row rules of a table
+        source = next(iter(rules.values())).source
+        found = [F.when(out.predicate, F.struct(F.lit(name).alias("rule_name"), F.to_json(F.struct(
+            *[source[c] for c in source.columns], *[e.alias(c) for c, e in out.annotate.items()])).alias("record")))
+            for name, out in rules.items()]
+        parts.append(source.select(F.explode(F.array_compact(F.array(*found))).alias("v")).select("v.rule_name", "v.record"))
     if not parts:
         return None
     return reduce(DataFrame.unionByName, parts).select(*_run_columns(report), "rule_name", "record")
@@ -110,6 +120,8 @@ def write_violations(report: SuiteReport, path: str, rule_names: list[str] | Non
     """All violating rows (never capped), Parquet partitioned by run date and rule."""
     df = violations_frame(report, rule_names)
     if df is not None:
+        # a rule's rows meet in SALTS partitions, so that not every task writes a file for every rule
+        df = df.repartition("run_date", "rule_name", F.pmod(F.xxhash64("record"), F.lit(SALTS)))
         df.write.mode("append").partitionBy("run_date", "rule_name").parquet(path)
 
 

@@ -5,8 +5,9 @@
   into two datasets.
 * T2 ``windowed_trend``: G6 per event-time window with a watermark.
 * T3 ``stream_orphans``: stream-static ``left_anti`` against a parent table.
-* T4 ``batch_duplicates`` (D1 per micro-batch) and ``drop_repeats`` (repeats
-  within the watermark removed; excess = rows in - rows out).
+* T4 ``batch_duplicates`` (D1 per micro-batch), ``run_excess`` (D1 over all
+  batches: rows in - distinct keys) and ``drop_repeats`` (repeats within the
+  watermark removed).
 
 Streams here read a file source; on a cluster the same code takes Kafka or
 any other streaming source. Checkpoints and outputs go under the shared
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sieve.plans.fused import tag_rows
 from sieve.session import checkpoint_subdir
 
 
@@ -43,12 +45,6 @@ def event_time(df: DataFrame, column: str) -> DataFrame:
     return df
 
 
-def tag_rows(df: DataFrame, predicates: dict[str, Column], column: str = "failed_rules") -> DataFrame:
-    """``failed_rules`` = names of the predicates the row fails, in rule order."""
-    tags = [F.when(p, F.lit(name)) for name, p in predicates.items()]
-    return df.withColumn(column, F.array_compact(F.array(*tags)))
-
-
 def _write_batch(df: DataFrame, path: str) -> None:
     """foreachBatch is at-least-once: each batch owns its ``batch_id`` partition
     and a retried batch overwrites it instead of appending a second copy."""
@@ -128,6 +124,31 @@ def run_batch_duplicates(spark: SparkSession, stream: DataFrame, keys: list[str]
     return q, path
 
 
+def run_excess(spark: SparkSession, stream: DataFrame, keys: list[str], out_dir: str | None = None,
+               checkpoint: str | None = None):
+    """T4 (across batches): rows per key so far, kept as state. Each batch writes the keys it has changed with
+    their new counts; ``excess_summary`` reads the last count of each key. Returns (query, path)."""
+    out_dir = out_dir or _new_dir(spark, "excess")
+    checkpoint = checkpoint or f"{out_dir}/_checkpoint"
+    path = f"{out_dir}/counts"
+    counts = stream.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")), path)
+
+    q = (counts.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    return q, path
+
+
+def excess_summary(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """rows_in, rows_out (distinct keys) and violation_count = rows in - rows out, over all batches written so far."""
+    last = spark.read.parquet(path).groupBy(*keys).agg(F.max("rows").alias("rows"))
+    return last.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("rows_in"),
+                    F.count(F.lit(1)).cast("bigint").alias("rows_out"),
+                    F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).cast("bigint").alias("violation_count"))
+
+
 def drop_repeats(stream: DataFrame, keys: list[str], ts_column: str, watermark: str = "1 hour") -> DataFrame:
     """T4 (across batches): drop rows repeating a key seen within the watermark.
     State per key expires with the watermark, so it stays bounded."""

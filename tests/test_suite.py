@@ -53,14 +53,13 @@ def test_unfused_equals_fused(spark, fixture_tables):
 
 def test_error_isolation(spark, fixture_tables):
     bad = RULES + [
-        {"name": "unknown_type", "type": "magic", "table": "customers", "severity": "low"},
+        {"name": "unknown_table", "type": "completeness", "table": "nowhere", "columns": ["x"], "severity": "low"},
         {"name": "unknown_column", "type": "range", "table": "customers", "column": "nope", "min": 1,
          "severity": "low"},
         {"name": "bad_sql", "type": "custom_sql", "query": "SELEC nonsense", "severity": "low"},
-        {"name": "no_bounds", "type": "range", "table": "customers", "column": "age", "severity": "low"},
     ]
     res = by_name(run_suite(spark, fixture_tables, bad))
-    for name in ("unknown_type", "unknown_column", "bad_sql", "no_bounds"):
+    for name in ("unknown_table", "unknown_column", "bad_sql"):
         assert res[name]["passed"] is False and res[name]["error_message"], name
     assert res["email_required"]["violation_count"] == 1
 
@@ -72,6 +71,39 @@ def test_rule_structure_errors_fail_fast(spark, fixture_tables):
         run_suite(spark, fixture_tables, [{"name": "x", "type": "range", "severity": "urgent"}])
 
 
+@pytest.mark.parametrize("rule", [
+    {"type": "magic", "table": "customers"},
+    {"type": "range", "table": "customers", "column": "age"},
+    {"type": "range", "column": "age", "min": 1},
+    {"type": "duplicates", "table": "customers", "columns": []},
+    {"type": "custom_sql", "query": " "},
+    {"type": "pattern", "table": "customers", "column": "name"},
+    {"type": "inactive_parents", "table": "customers", "key": "id"},
+])
+def test_types_and_fields_fail_fast(spark, fixture_tables, rule):
+    with pytest.raises(RuleError):
+        run_suite(spark, fixture_tables, RULES + [{"name": "bad", "severity": "low", **rule}])
+
+
+def test_register_check(spark, fixture_tables):
+    from pyspark.sql import functions as F
+
+    from sieve import register_check, rule_types
+    from sieve.operators.base import row_check
+
+    register_check("even_ids", lambda spark, tables, rule: row_check(tables[rule["table"]], F.col(rule["column"]) % 2 == 0),
+                   required=("table", "column"))
+    try:
+        assert "even_ids" in rule_types()
+        rule = {"name": "even", "type": "even_ids", "table": "customers", "column": "id", "severity": "low"}
+        assert by_name(run_suite(spark, fixture_tables, [rule]))["even"]["violation_count"] == 3
+        with pytest.raises(RuleError):
+            run_suite(spark, fixture_tables, [{"name": "even", "type": "even_ids", "table": "customers", "severity": "low"}])
+    finally:
+        from sieve.plans import rules
+        rules._REGISTRY.pop("even_ids"), rules._REQUIRED.pop("even_ids")
+
+
 def test_severity_filter_and_names(spark, fixture_tables):
     rep = run_suite(spark, fixture_tables, RULES, severity_filter=["CRITICAL", "high"])
     assert [r["rule_name"] for r in rep.results.collect()] == ["email_required", "valid_customer"]
