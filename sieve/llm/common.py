@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import contextlib
 import io
 import os
-import uuid
 import zipfile
 from pathlib import Path
 
 import sieve
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sieve.session import ensure_checkpoint_dir
+from sieve.staging import release_staged, scratch_path, stage
 
-_STAGED: list[str] = []
+__all__ = ["as_uri", "attempt_name", "buckets_for", "join_staged", "open_input", "open_output", "release_staged", "scratch_path", "ship_package", "stage"]
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -37,35 +34,6 @@ def ship_package(spark: SparkSession) -> None:
     context._sieve_shipped = True
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the cluster's shared ``spark.checkpoint.dir``."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    This cuts the lineage (a lost executor costs only the reading tasks), keeps a
-    table that several branches read from being computed again, and, unlike
-    ``checkpoint()``, forgets the partitioning: both sides of a later join are then
-    plain exchanges, which AQE can split where one key is hot."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release_staged(spark: SparkSession) -> None:
-    """Remove what ``stage`` and ``scratch_path`` made; call it once the results that read it are written."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        with contextlib.suppress(Exception):
-            path.getFileSystem(conf).delete(path, True)
-
-
 def join_staged(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join ``rows`` with a staged table that has one row per key.
 
@@ -104,10 +72,6 @@ def attempt_name(prefix: str, suffix: str) -> str:
     return f"{prefix}-{ctx.partitionId():06d}-{ctx.taskAttemptId()}{suffix}"
 
 
-def text_or_empty(col: str):
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
-
-
 def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 256) -> int:
     """How many order-preserving buckets a distributed ranking needs so that each sorts a bounded number of rows."""
     return max(least, -(-rows // per_bucket))

@@ -39,7 +39,7 @@ def words_of(text: str) -> list[str]:
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    marked = f"<{word}>"
+    marked = f"<{word}>" if n > 1 else word
     return [marked[i:i + n] for i in range(len(marked) - n + 1)]
 
 
@@ -131,7 +131,8 @@ class Predictor:
         words = words_of(text) if text else []
         if not self.model.languages or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        total = self.scores[self._places(words)].sum(axis=0, dtype=np.float64)
+        places = self._places(words)
+        total = self.scores[places].sum(axis=0, dtype=np.float64)
         odds = np.exp((total - total.max()) * (min(len(words), TRUSTED) / len(words)))
         best = int(total.argmax())
         return self.model.languages[best], float(odds[best] / odds.sum())
