@@ -189,15 +189,16 @@ def ball_links(points: DataFrame, rows: int, max_bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, max_bits: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns (doc_id among them), ``fp``, and ``component_id``: the smallest doc_id reachable."""
+    """``keep`` columns (doc_id among them), ``fp``, ``root`` (the component's smallest fingerprint), and ``component_id``: the
+    smallest doc_id reachable."""
     marked = stage(fingerprints(docs, shingle=shingle, keep=keep), "fingerprints")
     points = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "points")
     links = ball_links(points, points.count(), max_bits)
     labels = stage(components(links).withColumnRenamed("node", "fp"), "labels")
     rooted = stage(join_staged(points, labels, ["fp"]).select("fp", "first_doc", F.coalesce("root", "fp").alias("root")), "rooted")
     named = stage(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")), "named")
-    classes = stage(join_staged(rooted, named, ["root"], "inner").select("fp", "component_id"), "classes")
-    return join_staged(marked, classes, ["fp"], "inner").select(*keep, "fp", "component_id")
+    classes = stage(join_staged(rooted, named, ["root"], "inner").select("fp", "root", "component_id"), "classes")
+    return join_staged(marked, classes, ["fp"], "inner").select(*keep, "fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -209,11 +210,9 @@ def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4) ->
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest doc_id (rows that repeat it: one of them)."""
     mark = F.xxhash64(*docs.columns)
-    # A component of documents without ids is named by none; each of its fingerprints then keeps a document.
     found = near_duplicates(docs.withColumn("__nd_row", mark), shingle=shingle, max_bits=max_bits, keep=("doc_id", "__nd_row"))
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp:"), F.col("fp").cast("string")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", F.col("__nd_row").alias("row")))
-    kept = found.groupBy(group.alias("g")).agg(best.alias("k")).select(F.col("k.row").alias("__nd_row")).distinct()
+    kept = found.groupBy("root").agg(best.alias("k")).select(F.col("k.row").alias("__nd_row")).distinct()
     copies = found.groupBy("__nd_row").agg(F.count(F.lit(1)).alias("__nd_n"))
     kept = stage(kept.join(copies, "__nd_row"), "kept")
     rows = join_staged(docs.withColumn("__nd_row", mark), kept, ["__nd_row"], "inner")
