@@ -53,7 +53,8 @@ def interleave(df: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     keyed = df.select(*keep, key.alias("__sh_key"), F.col(source_col).isNull().alias("__sh_null"),
                       F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__sh_src"))
     unit = (F.col("__sh_key").cast("double") + F.lit(TWO63)) / F.lit(2 * TWO63)
-    keyed = keyed.withColumn("__sh_b", F.least(F.floor(unit * n), F.lit(n - 1)))
+    # Written before it is read twice: a row keeps its key even if its place in the input is not the same in every run of a scan.
+    keyed = stage(keyed.withColumn("__sh_b", F.least(F.floor(unit * n), F.lit(n - 1))), "shard-keys")
     ties = [F.col(c).asc_nulls_first() for c in (id_col, *tie_cols)]
     ranked = _rank(keyed, ["__sh_null", "__sh_src"], "__sh_b", [F.col("__sh_key"), *ties], "__sh_total", "__sh_rank")
     ranked = stage(ranked.withColumn("__sh_frac", (F.col("__sh_rank") - 0.5) / F.col("__sh_total"))

@@ -54,7 +54,8 @@ def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.monotonically_increasing_id().alias("capture"), F.col("page_id").cast("long").alias("page_id"),
                         F.col("url").cast("string").alias("url"), payload.alias("html"))
-    rows = rows.withColumn("digest", base32_of_hex(F.sha1(F.col("html").cast("binary"))))
+    # Written once: the digests are grouped and the rows joined with the groups, and both must see the same capture numbers.
+    rows = stage(rows.withColumn("digest", base32_of_hex(F.sha1(F.col("html").cast("binary")))), "captures")
     order = F.struct(F.col("page_id").isNull().alias("late"), "page_id", "capture")
     equal = (rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
              .where("n > 1").select("digest", F.col("first.page_id").alias("first_page"), F.col("first.capture").alias("first_capture")))
