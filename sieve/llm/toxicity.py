@@ -7,7 +7,7 @@ overlapping windows, so no part of a long text is left out.
 
 Learned from a bounded sample of labelled rows (``ROWS`` of each label): word odds are counted by Spark, each sampled document gives
 its most toxic window as the odds have it (documents that are not toxic give others as well), and the network is fitted to those windows, then
-to the highest windows as the network itself sees them.
+to the highest windows as the network itself sees them. Documents kept from the fit set the bias.
 Weights and word table are a small broadcast. Per unique word the input projections are computed once and looked up.
 
 Cases: null and empty texts, and texts without a word, are a window without words, which is fitted as not toxic; without labelled rows of both kinds the
@@ -17,7 +17,6 @@ score is the share of toxic rows (0 without any); repeated rows score alike; an
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,8 @@ VOCABULARY = 20_000
 WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 6, 4096
 ROUNDS = 3
+#: One sampled document in FOLDS is kept from the fit and sets where a score of 0.5 lies, by at most SHIFT.
+FOLDS, SHIFT = 5, 3.0
 EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.015, 0.02
 #: A small sample is gone through more often than EPOCHS times, up to this many steps.
 STEPS = 500
@@ -45,9 +46,12 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def char_buckets(word: str) -> list[int]:
-    marked = f"<{word}>"
-    return [zlib.crc32(marked[i:i + 3].encode()) % CHAR_BUCKETS for i in range(len(marked) - 2)]
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character trigrams of all words, their ends marked, one word after the other; and each word's number of them."""
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    first = np.repeat(2 * np.arange(len(words)), counts) + np.arange(counts.sum())  # a word and its marks: two places more
+    return ((codes[first] * 31 + codes[first + 1]) * 31 + codes[first + 2]) % CHAR_BUCKETS, counts
 
 
 def window_starts(n: int) -> range:
@@ -105,6 +109,18 @@ def training_windows(sample: DataFrame, judge: dict[str, float] | Network) -> pd
     return sample.select("text", "toxic").mapInArrow(cut, "words string, toxic int").toPandas().drop_duplicates().sort_values(["words", "toxic"])
 
 
+def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The value that tells most of the labels apart; of several the middle one, and none without both labels."""
+    if len(np.unique(labels)) < 2:
+        return 0.0
+    order = np.argsort(logits)
+    x, y = logits[order], labels[order]
+    right = np.r_[0, np.cumsum(y == 0)] + np.r_[np.cumsum((y == 1)[::-1])[::-1], 0]
+    cuts = np.r_[x[0] - 1, (x[1:] + x[:-1]) / 2, x[-1] + 1]
+    best = cuts[right == right.max()]
+    return float(np.clip(best[len(best) // 2], -SHIFT, SHIFT))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
@@ -125,13 +141,11 @@ class Network:
         }
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def char_mean(self, buckets: list[int]) -> np.ndarray:
-        return self.w["chars"][buckets].mean(axis=0)
-
     def projections(self, words: list[str]) -> np.ndarray:
         """(words, 2, 3 HIDDEN): what the gates get from each word."""
         emb = self.w["emb"][[self.index.get(x, 0) for x in words]]
-        chars = np.array([self.char_mean(char_buckets(x)) for x in words], np.float32).reshape(-1, CHAR_DIM)
+        buckets, counts = trigrams(words)
+        chars = np.add.reduceat(self.w["chars"][buckets], np.cumsum(counts) - counts, axis=0) / counts[:, None].astype(np.float32)
         x = np.concatenate([emb, chars], axis=1)
         return np.einsum("dgi,ni->ndg", self.w["wx"], x) + self.w["bx"][None, :, :, 0]
 
@@ -139,7 +153,7 @@ class Network:
         """``gates`` (steps, 2, 3 HIDDEN, batch): projections, the backward direction's already in its own order; ``real``
         (steps, 2, 1, batch): whether a step has a word. Returns logits (batch,) and, if asked, what backward() needs."""
         h, steps, b = HIDDEN, gates.shape[0], gates.shape[-1]
-        state, states, cache = np.zeros((2, h, b), np.float32), np.empty((steps, 2, h, b), np.float32), []
+        state, states, cache = np.zeros((2, h, b), gates.dtype), np.empty((steps, 2, h, b), gates.dtype), []
         for t in range(steps):
             rec = self.w["u"] @ state
             zr = sigmoid(gates[t, :, :2 * h] + rec[:, :2 * h])
@@ -175,7 +189,7 @@ class Network:
         d_both = d_both + w["wa"].T @ d_att
         d_states = np.stack([d_both[:, :h], d_both[::-1, h:]], axis=1)
         g["u"] = np.zeros_like(w["u"])
-        d_gates, d_next = np.zeros((steps, 2, 3 * h, real.shape[-1]), np.float32), np.zeros_like(d_states[0])
+        d_gates, d_next = np.zeros((steps, 2, 3 * h, real.shape[-1]), both.dtype), np.zeros_like(d_states[0])
         for t in range(steps - 1, -1, -1):
             before, z, r, n, rec_n = cache[t]
             d = d_states[t] + d_next
@@ -193,10 +207,10 @@ class Network:
         """Adam on the logistic loss; the rarer label weighs more, by the square root of its rarity."""
         rng, w = np.random.default_rng(seed), self.w
         vocab = sorted({x for win in windows for x in win})
-        place, buckets = {x: i for i, x in enumerate(vocab)}, [char_buckets(x) for x in vocab]
+        place = {x: i for i, x in enumerate(vocab)}
+        flat, counts = trigrams(vocab)
         rows = np.array([self.index.get(x, 0) for x in vocab], np.int64)
-        flat, owner = np.array([b for bs in buckets for b in bs], np.int64), np.repeat(np.arange(len(vocab)), [len(b) for b in buckets])
-        inverse = (1 / np.maximum(1, np.bincount(owner, minlength=len(vocab)))).astype(np.float32)
+        owner, inverse = np.repeat(np.arange(len(vocab)), counts), (1 / np.maximum(1, counts)).astype(np.float32)
         ids, real = window_matrix([[place[x] for x in win] for win in windows])
         balance = np.sqrt(np.where(labels == 1, len(labels) / (2 * max(1, labels.sum())), len(labels) / (2 * max(1, (1 - labels).sum()))))
         first, second, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
@@ -297,10 +311,11 @@ class Scorer:
         return sigmoid(np.maximum.reduceat(logits, np.cumsum(counts) - counts).astype(np.float64))
 
 
-def train(labelled: DataFrame, *, id_col: str = "doc_id", rows: int = ROWS) -> Network | float:
-    """Learn from (id, text, toxic) rows; a constant score where the labels do not hold both kinds."""
-    known = labelled.where(F.col("toxic").isin(0, 1)).select(id_col, F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    sample = bounded_sample(known, "toxic", id_col, rows).persist()
+def train(labelled: DataFrame) -> Network | float:
+    """Learn from a bounded sample of (text, toxic) rows; a constant score where the labels do not hold both kinds."""
+    every = labelled.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).persist()
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
+    sample = every.where(fold > 0)
     try:
         kinds = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
         if len(kinds) < 2:
@@ -315,8 +330,11 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", rows: int = ROWS) -> N
             mined = training_windows(sample, network)
             clean = pd.concat([windows, mined])
             windows = pd.concat([mined[mined["toxic"] == 1], clean[clean["toxic"] == 0]]).drop_duplicates().sort_values(["words", "toxic"])
+        apart = score(every.where(fold == 0), network).select("score", "toxic").toPandas()
+        odds_of = np.clip(apart["score"].to_numpy(), 1e-9, 1 - 1e-9)
+        network.w["bo"] -= np.float32(best_cut(np.log(odds_of / (1 - odds_of)), apart["toxic"].to_numpy()))
     finally:
-        sample.unpersist()
+        every.unpersist()
     return network
 
 
@@ -343,10 +361,12 @@ def drop_toxic(docs: DataFrame, network: Network | float, least: float = 0.5) ->
     return score(docs, network, out="__tx").where(F.col("__tx") < least).select(*docs.columns)
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled documents that may be learned from; a label that is repeated counts once."""
-    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(~held_out(5, 0)).join(marks, "doc_id")
+def labelled_documents(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
+    """(text, toxic) of a sample of the labelled documents that may be learned from: about ``rows`` ids of each label. A label
+    that is repeated counts once. The sample is drawn from the labels, a bounded broadcast, so documents are not shuffled."""
+    marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(5, 0))
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.select("doc_id", "text").join(F.broadcast(bounded_sample(marks, "toxic", "doc_id", rows)), "doc_id").select("text", "toxic")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
