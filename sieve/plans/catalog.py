@@ -889,24 +889,22 @@ def t4_stream_drop_repeats(spark, d):
 def _events_in_files(spark, d, max_files: int, files: int = 4) -> DataFrame:
     """The events table as a stream over several files, written in no particular order."""
     ev = _t(spark, d, "events")
-    path = checkpoint_subdir(spark, f"streams/events-{_uuid.uuid4().hex[:12]}")
+    path = scratch_path(spark, "streams/events")
     ev.repartition(files).write.parquet(path)
     return S.file_stream(spark, path, ev.schema, file_glob="*.parquet", max_files_per_trigger=max_files)
 
 
 # ============================================================ sources, sinks
-import uuid as _uuid  # noqa: E402
-
 from pyspark.sql import types as _T  # noqa: E402
 
-from sieve.session import checkpoint_subdir  # noqa: E402
+from sieve.staging import scratch_path  # noqa: E402
 from sieve.sources import files as _files  # noqa: E402
 from sieve.sources import sinks as _sinks  # noqa: E402
 
 
 def _scratch(spark, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for a sink round trip."""
-    return checkpoint_subdir(spark, f"sinks/{name}-{_uuid.uuid4().hex[:12]}")
+    return scratch_path(spark, f"sinks/{name}")
 
 
 _ORDERS_CSV_SCHEMA = _T.StructType([

@@ -3,8 +3,6 @@ types, duplicates on long texts and over several stream batches, and late rows."
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +11,8 @@ from sieve.operators import referential as R
 from sieve.plans import catalog as _c
 from sieve.plans import flagship as _fs
 from sieve.plans.rules import RuleError
-from sieve.session import checkpoint_subdir
 from sieve.sources.tables import read_tables
+from sieve.staging import scratch_path
 from sieve.streaming import checks as S
 
 register, _t = _c.register, _c._t
@@ -181,7 +179,7 @@ def t2_stream_late_rows(spark, d):
     """Append mode, a file a batch: the events; their last ones again, a year later, twice, which lets all windows close; and
     all events once more, too late to count. The windows of the first file are what comes out."""
     ev = _t(spark, d, "events")
-    path = checkpoint_subdir(spark, f"streams/late-{uuid.uuid4().hex[:12]}")
+    path = scratch_path(spark, "streams/late")
     last = ev.agg(F.max("ts")).first()[0]
     later = ev.where(F.col("ts") == F.lit(last)).withColumn("ts", (F.col("ts") + F.expr("INTERVAL 400 DAYS")).cast(ev.schema["ts"].dataType))
     for part in (ev, later, later, ev):  # rows are late against the watermark of the batch before

@@ -60,12 +60,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def checkpoint_subdir(spark: SparkSession, name: str) -> str:
-    """A named folder under the checkpoint dir (stream checkpoints, staged tables)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
-
-
 def scale_conf(input_bytes: int, executor_cores_total: int, target_partition_bytes: int = 256 << 20) -> dict:
     """Session settings sized for ``input_bytes`` of (compressed) input.
 

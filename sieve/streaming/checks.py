@@ -16,15 +16,13 @@ any other streaming source. Checkpoints and outputs go under the shared
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieve.plans.fused import tag_rows
-from sieve.session import checkpoint_subdir
+from sieve.staging import scratch_path
 
 
 def file_stream(spark: SparkSession, directory: str, schema: T.StructType, file_glob: str | None = None,
@@ -53,7 +51,7 @@ def _write_batch(df: DataFrame, path: str) -> None:
 
 
 def _new_dir(spark: SparkSession, name: str) -> str:
-    return checkpoint_subdir(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
+    return scratch_path(spark, f"streams/{name}")
 
 
 def run_row_checks(spark: SparkSession, stream: DataFrame, predicates: dict[str, Column],

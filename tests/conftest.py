@@ -8,6 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import types as T  # noqa: E402
 
 from sieve.session import local_session  # noqa: E402
+from sieve.staging import release_staged  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_ORACLE = "/root/testdata/sf0.01"
@@ -17,6 +18,7 @@ SF_ORACLE = "/root/testdata/sf0.01"
 def spark():
     s = local_session("*", shuffle_partitions=8, app="sieve-tests")
     yield s
+    release_staged(s)
 
 
 CUSTOMERS_SCHEMA = T.StructType([
