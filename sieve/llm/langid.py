@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_LANGUAGE = 2000
+#: More labels than this are an error.
 LANGUAGES = 500
 WORDS, GRAMS, LONGEST = 20_000, 8_000, 5
 #: Words a text's confidence is based on at most: mean log odds times this many words.
@@ -46,9 +47,12 @@ def grams_of(word: str, n: int) -> list[str]:
 def bounded_sample(rows: DataFrame, by: str, id_col: str, most: int, seed: int = 5) -> DataFrame:
     """About ``most`` rows for each value of ``by`` (all, if fewer), chosen by a hash of the id and the row's place."""
     sizes = rows.groupBy(by).count().withColumn("share", F.lit(float(most)) / F.col("count")).drop("count")
-    sizes = F.broadcast(sizes.orderBy(F.desc("share"), by).limit(LANGUAGES))
+    found = sizes.limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of {by}: these are no labels")
+    shares = F.broadcast(rows.sparkSession.createDataFrame(found, sizes.schema))
     draw = (F.xxhash64(F.lit(seed), id_col, F.monotonically_increasing_id()).cast("double") / F.lit(2.0**64)) + 0.5
-    return rows.join(sizes, by).where(draw < F.col("share")).drop("share")
+    return rows.join(shares, by).where(draw < F.col("share")).drop("share")
 
 
 def count_grams(sample: DataFrame) -> pd.DataFrame:
@@ -157,9 +161,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
     return docs.withColumn(out, predict(F.col(text_col).cast("string")))
 
 
-def drop_unidentified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """``docs`` without those of no language: no letter, or a confidence below ``least``."""
+def drop_unidentified(docs: DataFrame, model: Model, lead: float = 1.2) -> DataFrame:
+    """``docs`` without those of no language: no letter, or words that leave the languages level (the best has less than ``lead``
+    times an even share of the confidence). A text that is merely short or mixed stays."""
     found = identify(docs, model, out="__li")
+    least = lead / max(1, len(model.languages)) if len(model.languages) > 1 else 0.0
     return found.where((F.col("__li.lang_pred") != UNKNOWN) & (F.col("__li.score") >= least)).select(*docs.columns)
 
 

@@ -63,6 +63,8 @@ def test_awkward_rows(spark):
     docs = awkward(spark)
     kept = L.drop_unidentified(docs, model())
     assert kept.columns == docs.columns and kept.where("text is null or trim(text) = ''").isEmpty()
+    unknown = spark.createDataFrame([(1, "漢字かな"), (2, "hello"), (3, "hello zebra zoo")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in L.drop_unidentified(unknown, model()).collect()) == [2, 3]
 
 
 def test_held_out_accuracy(spark):
