@@ -10,7 +10,7 @@ bucket's documents are sorted. Documents then need no shuffle: each is compared
 
 Cases: a null text has size 0; a null source is a source of its own, the last one; a document with a null id is keyed by its text;
 rows that repeat both id and text share one key and are cut together, in equal parts; an empty table gives an empty result; other columns pass through
-``mix`` untouched.
+``mix`` untouched, unless they have the name of one it adds.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from sieve.llm.common import buckets_for, join_staged, stage
 
 #: Sources are configured by name and weight; more than this is taken for a wrong column.
 MAX_SOURCES = 100_000
+#: The columns mix() adds; columns of the input with these names are replaced (``mixed_documents`` keeps them).
+OWN = ("size", "source_size", "target", "taken", "copies")
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by label: documents marked good are drawn as if twice, those marked bad as if half; the rest once.
 GOOD, BAD, UNKNOWN = 2.0, 0.5, 1.0
@@ -105,8 +107,7 @@ def mix(docs: DataFrame, *, quality: DataFrame | None = None, source_weights: tu
 
     cut: ``words`` takes of the last document of a source just the words still due; ``documents`` takes it whole or not at all,
     whichever ends nearer the budget. Without ``read_text`` the result leaves out ``text``."""
-    own = ["size", "source_size", "target", "taken", "copies"]
-    keep = [c for c in docs.columns if c not in own]
+    keep = [c for c in docs.columns if c.lower() not in OWN]
     weights = stage(quality_weights(quality), "mix-weights") if quality is not None else None
     rows = docs.select(*keep)
     if not read_text:
@@ -133,5 +134,7 @@ def mix(docs: DataFrame, *, quality: DataFrame | None = None, source_weights: tu
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: every document as often as it is taken, whole, with the columns of ``docs``."""
-    taken = mix(docs, cut="documents", **options).where(F.col("copies") > 0)
-    return taken.withColumn("__mx_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    aside = {c: f"__mx_own_{i}" for i, c in enumerate(docs.columns) if c.lower() in OWN}
+    taken = mix(docs.withColumnsRenamed(aside), cut="documents", **options).where(F.col("copies") > 0)
+    copied = taken.withColumn("__mx_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return copied.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

@@ -12,7 +12,7 @@ spread over as many tasks as any other rows.
 Cases: a null text counts as no bytes (size 1, checksum 0); null sources form one source
 of their own; rows with a null id are ordered by their place in the input; repeated rows
 are separate rows; an empty table gives an empty result; other columns of the input pass
-through ``interleave`` untouched (its own columns carry a ``__sh_`` prefix until the end).
+through ``interleave`` untouched, but for columns named ``shard`` and ``slot``, which are replaced.
 """
 
 from __future__ import annotations

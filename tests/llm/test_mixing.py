@@ -86,6 +86,7 @@ def test_mixed_documents_repeat_whole_documents(spark):
     mixed = M.mixed_documents(docs)
     assert mixed.columns == docs.columns
     copies = defaultdict(int)
+    assert mixed.where("size <> 'x' or taken <> 'x' or target <> 'x'").isEmpty()  # the input's own columns
     for r in mixed.collect():
         copies[r["doc_id"], r["text"]] += 1
     have = defaultdict(int)
