@@ -40,14 +40,15 @@ def quality_weights(labels: DataFrame, id_col: str = "doc_id", quality_col: str
 
 
 def _keyed(docs: DataFrame, weights: DataFrame | None, seed: int) -> DataFrame:
-    """All columns and: __mx_size, __mx_key, __mx_tie."""
+    """All columns and: __mx_size, __mx_key, __mx_tie. What depends on the text is computed before the join with the weights, so a
+    result that leaves the text out does not shuffle it."""
     ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
     unit = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), ident).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
     rows = docs.select("*", word_count("text").alias("__mx_size"), F.col("doc_id").alias("__mx_id"),
-                       F.xxhash64("doc_id", "text").alias("__mx_tie"))
+                       F.xxhash64("doc_id", "text").alias("__mx_tie"), (-F.log(unit)).alias("__mx_draw"))
     rows = join_staged(rows, weights, ["__mx_id"]) if weights is not None else rows.withColumn("__mx_w", F.lit(UNKNOWN))
     weight = F.coalesce(F.col("__mx_w"), F.lit(UNKNOWN))
-    return rows.withColumn("__mx_key", -F.log(unit) / weight).drop("__mx_id", "__mx_w")
+    return rows.withColumn("__mx_key", F.col("__mx_draw") / weight).drop("__mx_id", "__mx_w", "__mx_draw")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
