@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import sieve
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sieve.staging import release_staged, scratch_path, stage
 
-__all__ = ["as_uri", "attempt_name", "buckets_for", "join_staged", "open_input", "open_output", "release_staged", "scratch_path", "ship_package", "stage"]
+__all__ = ["as_uri", "attempt_name", "buckets_for", "join_staged", "kept_in_worker", "open_input", "open_output", "release_staged", "scratch_path", "ship_package", "stage"]
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -34,6 +35,18 @@ def ship_package(spark: SparkSession) -> None:
     context._sieve_shipped = True
 
 
+_KEPT: dict = {}
+
+
+def kept_in_worker(key: tuple, make: Callable):
+    """What ``make`` returns, made once for a key in each Python worker and kept between its tasks. A worker keeps one such
+    thing at a time, so the caches of one operator do not stand beside those of the next."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def join_staged(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join ``rows`` with a staged table that has one row per key.
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieve.llm.common import as_uri, attempt_name, open_input, open_output, scratch_path, stage
-from sieve.llm.tokens import Encoder, default_tokenizer, slices, with_end
+from sieve.llm.tokens import BATCH_BYTES, Encoder, default_tokenizer, slices, with_end
 
 MAGIC = b"TOK8"
 BLOCK = 1024
@@ -51,14 +51,15 @@ def _bits(ids: np.ndarray) -> np.ndarray:
     return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]).astype(np.uint8)
 
 
-def _widest(bits: np.ndarray) -> dict[int, np.ndarray]:
-    """For each count of a selector, the widest of that many ids from each place on (255 past the end)."""
-    widest = {1: bits}
+def _widest(bits: np.ndarray) -> Iterator[np.ndarray]:
+    """The widest of as many ids from each place on (255 past the end) as each selector holds, from one id to 240."""
+    made = {1: bits}
+    yield bits
     for count, a, b in ((2, 1, 1), (3, 2, 1), (4, 2, 2), (5, 3, 2), (6, 3, 3), (8, 4, 4), (10, 5, 5), (12, 6, 6), (15, 10, 5),
                         (20, 10, 10), (30, 15, 15), (60, 30, 30), (120, 60, 60), (240, 120, 120)):
-        widest[count] = np.full_like(bits, 255)
-        np.maximum(widest[a][:, :-a], widest[b][:, a:], out=widest[count][:, :-a])
-    return widest
+        made[count] = np.full_like(bits, 255)
+        np.maximum(made[a][:, :-a], made[b][:, a:], out=made[count][:, :-a])
+        yield made[count]
 
 
 def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -74,23 +75,22 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndar
     bits[-1, n - (blocks - 1) * BLOCK:] = 255
     ends = np.full(blocks, BLOCK)
     ends[-1] = n - (blocks - 1) * BLOCK
-    widest = _widest(bits)
     choice = np.full((blocks, BLOCK), ESCAPE, np.int8)
-    for sel in range(14, -1, -1):  # from few ids to many: the last that fits holds most
-        np.putmask(choice, widest[int(COUNTS[sel])] <= WIDTHS[sel], sel)
+    for sel, widest in zip(range(14, -1, -1), _widest(bits), strict=False):  # from few ids to many: the last that fits holds most
+        fits = widest <= WIDTHS[sel]
+        if not fits.any():
+            break  # more ids of fewer bits fit nowhere either
+        np.putmask(choice, fits, sel)
     at, rows = np.zeros(blocks, np.int64), np.arange(blocks)
-    picked = []
+    taken = np.full(blocks * BLOCK, -1, np.int8)  # the selector of the word that begins here
     while len(rows):
-        sel = choice[rows, at[rows]]
-        picked.append((rows, at[rows].copy(), sel))
+        begin = rows * BLOCK + at[rows]
+        sel = choice.ravel()[begin]
+        taken[begin] = sel
         at[rows] += COUNTS[sel]
         rows = rows[at[rows] < ends[rows]]
-    row = np.concatenate([p[0] for p in picked])
-    pos = np.concatenate([p[1] for p in picked])
-    sel = np.concatenate([p[2] for p in picked]).astype(np.int64)
-    order = np.lexsort((pos, row))
-    row, pos, sel = row[order], pos[order], sel[order]
-    start = row * BLOCK + pos
+    start = np.flatnonzero(taken >= 0)
+    row, sel = start // BLOCK, taken[start].astype(np.int64)
     words = sel.astype(np.uint64) << np.uint64(60)
     for s in range(2, 15):
         mine = np.flatnonzero(sel == s)
@@ -233,7 +233,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str | None = Non
                                                 "part": part, "file": made}], schema=schema)
 
         for batch in batches:
-            for at, rows in slices(batch.column(1)):
+            for at, rows in slices(batch.column(1), min(BATCH_BYTES, 2 * file_tokens)):
                 if writer is None:
                     uri = f"{root}/{attempt_name('tokens', f'-{made:05d}.tok8')}"
                     writer, held, first = TokenWriter(open_output(uri)), 0, batch.column(0)[at].as_py()

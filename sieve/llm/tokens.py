@@ -18,10 +18,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sieve.llm.common import kept_in_worker
+
 #: Pieces kept per Python worker (about 150 MB); when full, those not met in the last batches go.
 CACHE_PIECES = 800_000
 #: Text bytes encoded at once, and pieces given to the library in one string.
 BATCH_BYTES, JOINED = 4 << 20, 20_000
+#: Marks that end a word without joining its pre-token, and the letters after which that is certain.
+MARKS, LETTERS = frozenset(".,;:!?|"), frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàâäçèéêëíîïñóôöùúûüßœ")
 #: White space, as Unicode names it, other than space and line feed; or two in a row; or a space at the end.
 ODD_SPACE = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]{2}| $|^ "
 
@@ -29,8 +33,6 @@ ODD_SPACE = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x
 class Encoder:
     """``encode(array)`` gives all ids of a string array, concatenated, and each text's number of ids."""
 
-    _loaded: dict[str, Encoder] = {}
-
     def __init__(self, path: str):
         import os
 
@@ -44,9 +46,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> Encoder:
         """One encoder for each Python worker, so that its cache outlives a task."""
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+        return kept_in_worker(("encoder", path), lambda: cls(path))
 
     def _reset(self) -> None:
         self.known: tuple[dict, dict] = ({}, {})  # word -> place, as a piece without and with a space before it
@@ -107,14 +107,38 @@ class Encoder:
         place = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(place < 0)
         if len(new):
-            missing, first = [words[i] for i in new.tolist()], self.size
-            self._add(*self._pieces([f" {w}" for w in missing] if spaced else missing))
-            known.update(zip(missing, range(first, self.size), strict=True))
-            place[new] = np.arange(first, self.size)
+            missing = [words[i] for i in new.tolist()]
+            place[new] = self._add_words(missing, spaced)
         self.turn += 1
         self.met[place] = self.turn
         return place
 
+    def _add_words(self, words: list[str], spaced: int) -> np.ndarray:
+        """Encode unknown words. One that ends in a letter and a mark is two pre-tokens: only its letters are looked up or encoded."""
+        known, first = self.known[spaced], self.size
+        marked = [i for i, w in enumerate(words) if w[-1] in MARKS and w[-2:-1] in LETTERS]
+        whole = [w for w in words if not (w[-1] in MARKS and w[-2:-1] in LETTERS)]
+        bases = list({words[i][:-1] for i in marked} - known.keys() - set(whole)) if marked else []
+        self._add(*self._pieces([f" {w}" for w in whole + bases] if spaced else whole + bases))
+        known.update(zip(whole + bases, range(first, self.size), strict=True))
+        if marked:
+            mark_ids = {m: self._whole([m])[0] for m in MARKS}
+            base = np.fromiter((known[words[i][:-1]] for i in marked), np.int64, len(marked))
+            tails = [mark_ids[words[i][-1]] for i in marked]
+            extra = np.fromiter(map(len, tails), np.int64, len(tails))
+            n, starts = self.lengths[base].astype(np.int64), self.starts[base].astype(np.int64)
+            sizes = n + extra
+            ends = np.cumsum(sizes)
+            flat = np.empty(int(ends[-1]), np.uint32)
+            within = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+            letters = within < np.repeat(n, sizes)
+            flat[letters] = self.flat[(within + np.repeat(starts, sizes))[letters]]
+            flat[~letters] = np.fromiter((i for t in tails for i in t), np.uint32, int(extra.sum()))
+            at = self.size
+            self._add(flat, sizes)
+            known.update(zip([words[i] for i in marked], range(at, self.size), strict=True))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
     def _by_piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -128,7 +152,7 @@ class Encoder:
         key = 2 * code + spaced
         seen = np.zeros(2 * len(words), bool)
         seen[key] = True
-        if self.size + int(seen.sum()) > CACHE_PIECES:
+        if self.size + int(seen.sum()) > CACHE_PIECES:  # (and as many words again without their marks, at the very most)
             self._evict()
         place = np.zeros(2 * len(words), np.int64)
         for lead in (0, 1):
