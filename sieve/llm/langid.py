@@ -15,6 +15,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieve.llm.common import kept_in_worker
+
 ROWS_PER_LANGUAGE = 2000
 #: More labels than this are an error.
 LANGUAGES = 500
@@ -150,11 +153,11 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", rows_per_language: int
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with the struct column ``out`` (lang_pred, score)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), ("language", uuid.uuid4().hex)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        predictor = Predictor(shared.value)
+        predictor = kept_in_worker(key, lambda: Predictor(shared.value))
         for texts in batches:
             yield pd.DataFrame([predictor.predict(t) for t in texts], columns=["lang_pred", "score"])
 

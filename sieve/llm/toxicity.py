@@ -17,6 +17,7 @@ score is the share of toxic rows (0 without any); repeated rows score alike; an
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieve.llm.common import kept_in_worker
 from sieve.llm.langid import bounded_sample, held_out
 
 ROWS = 3000
@@ -340,12 +342,12 @@ def train(labelled: DataFrame) -> Network | float:
 
 def score(docs: DataFrame, network: Network | float, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the column ``out``, the probability that a text is toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    shared, key = docs.sparkSession.sparkContext.broadcast(network), ("toxicity", uuid.uuid4().hex)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         net = shared.value
-        scorer = None if isinstance(net, float) else Scorer(net)
+        scorer = None if isinstance(net, float) else kept_in_worker(key, lambda: Scorer(net))
         for texts in batches:
             if scorer is None:
                 yield pd.Series(np.full(len(texts), net))
