@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sieve.staging import release_staged, scratch_path, stage
 
-__all__ = ["as_uri", "attempt_name", "buckets_for", "join_staged", "kept_in_worker", "open_input", "open_output", "release_staged", "scratch_path", "ship_package", "stage"]
+__all__ = ["as_uri", "attempt_name", "buckets_for", "forget_kept", "join_staged", "kept_in_worker", "open_input", "open_output", "release_staged", "scratch_path", "ship_package", "stage"]
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -47,6 +47,11 @@ def kept_in_worker(key: tuple, make: Callable):
     return _KEPT[key]
 
 
+def forget_kept() -> None:
+    """Let go of what an earlier operator's tasks kept in this worker."""
+    _KEPT.clear()
+
+
 def join_staged(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join ``rows`` with a staged table that has one row per key.
 

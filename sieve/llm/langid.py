@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieve.llm.common import kept_in_worker
+from sieve.llm.common import forget_kept, kept_in_worker
 
 ROWS_PER_LANGUAGE = 2000
 #: More labels than this are an error.
@@ -62,6 +62,7 @@ def count_grams(sample: DataFrame) -> pd.DataFrame:
     """lang, n (0: word), gram, count: the most frequent of each language and n."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             words: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import join_staged, stage
+from sieve.llm.common import forget_kept, join_staged, stage
 from sieve.llm.components import components
 
 SEED = 42
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, text_col: str = "text", k
     """``keep`` columns and ``fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             marks = np.array([fingerprint(t.as_buffer().to_pybytes(), shingle) if t.is_valid else 0 for t in batch.column(0)], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(marks.view(np.int64))], names=[*keep, "fp"])

@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 
 from sieve.llm.common import kept_in_worker
 
-#: Pieces kept per Python worker (about 150 MB); when full, those not met in the last batches go.
-CACHE_PIECES = 800_000
+#: Pieces kept per Python worker (about 110 MB); when full, those not met in the last batches go.
+CACHE_PIECES = 600_000
 #: Text bytes encoded at once, and pieces given to the library in one string.
 BATCH_BYTES, JOINED = 4 << 20, 20_000
 #: Marks that end a word without joining its pre-token, and the letters after which that is certain.

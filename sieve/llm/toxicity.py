@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import kept_in_worker
+from sieve.llm.common import forget_kept, kept_in_worker
 from sieve.llm.langid import bounded_sample, held_out
 
 ROWS = 3000
@@ -65,6 +65,7 @@ def word_odds(sample: DataFrame) -> pd.DataFrame:
     """word, odds: smoothed log ratio of the shares of toxic and other documents that hold it, less two standard errors."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             seen: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
