@@ -47,15 +47,17 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i:i + n] for i in range(len(marked) - n + 1)]
 
 
-def bounded_sample(rows: DataFrame, by: str, id_col: str, most: int, seed: int = 5) -> DataFrame:
-    """About ``most`` rows for each value of ``by`` (all, if fewer), chosen by a hash of the id and the row's place."""
+def bounded_sample(rows: DataFrame, by: str, id_col: str, most: int, seed: int = 5, weight: str | None = None) -> DataFrame:
+    """About ``most`` rows for each value of ``by`` (all, if fewer), chosen by a hash of the id and the row's place. ``weight``: name of
+    a column with the number of rows that a sampled one stands for, the inverse of its value's sampling share."""
     sizes = rows.groupBy(by).count().withColumn("share", F.lit(float(most)) / F.col("count")).drop("count")
     found = sizes.limit(LANGUAGES + 1).collect()
     if len(found) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} values of {by}: these are no labels")
     shares = F.broadcast(rows.sparkSession.createDataFrame(found, sizes.schema))
     draw = (F.xxhash64(F.lit(seed), id_col, F.monotonically_increasing_id()).cast("double") / F.lit(2.0**64)) + 0.5
-    return rows.join(shares, by).where(draw < F.col("share")).drop("share")
+    drawn = rows.join(shares, by).where(draw < F.col("share"))
+    return (drawn.withColumn(weight, F.greatest(F.lit(1.0), 1 / F.col("share"))) if weight else drawn).drop("share")
 
 
 def count_grams(sample: DataFrame) -> pd.DataFrame:

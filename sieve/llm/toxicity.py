@@ -7,7 +7,8 @@ overlapping windows, so no part of a long text is left out.
 
 Learned from a bounded sample of labelled rows (``ROWS`` of each label): word odds are counted by Spark, each sampled document gives
 its most toxic window as the odds have it (documents that are not toxic give others as well), and the network is fitted to those windows, then
-to the highest windows as the network itself sees them. Documents kept from the fit set the bias.
+to the highest windows as the network itself sees them. Documents kept from the fit set the bias. Both weigh a sampled row by the inverse
+of its label's sampling share, so a score of 0.5 answers the share of toxic documents in the corpus, not that in the sample.
 Weights and word table are a small broadcast. Per unique word the input projections are computed once and looked up.
 
 Cases: null and empty texts, and texts without a word, are a window without words, which is fitted as not toxic; without labelled rows of both kinds the
@@ -34,7 +35,7 @@ VOCABULARY = 20_000
 WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 6, 4096
 ROUNDS = 3
-#: One sampled document in FOLDS is kept from the fit and sets where a score of 0.5 lies, by at most SHIFT.
+#: One sampled document in FOLDS is kept from the fit and sets where a score of 0.5 lies, by at most SHIFT and half the log odds of the labels.
 FOLDS, SHIFT = 5, 3.0
 EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.015, 0.02
 #: A small sample is gone through more often than EPOCHS times, up to this many steps.
@@ -86,7 +87,7 @@ def word_odds(sample: DataFrame) -> pd.DataFrame:
 
 
 def training_windows(sample: DataFrame, judge: dict[str, float] | Network) -> pd.DataFrame:
-    """words (a window's, space-joined), toxic: of each sampled document the window ``judge`` (word odds, or a network) holds
+    """words (a window's, space-joined), toxic, weight: of each sampled document the window ``judge`` (word odds, or a network) holds
     to be the most toxic; of documents that are not toxic its first and middle windows too."""
     shared = sample.sparkSession.sparkContext.broadcast(judge)
 
@@ -94,8 +95,8 @@ def training_windows(sample: DataFrame, judge: dict[str, float] | Network) -> pd
         judge = shared.value
         scorer = Scorer(judge) if isinstance(judge, Network) else None
         for batch in batches:
-            out: list[tuple[str, int]] = []
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out: list[tuple[str, int, float]] = []
+            for text, toxic, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
                 starts = window_starts(len(words))
                 if scorer:
@@ -106,22 +107,24 @@ def training_windows(sample: DataFrame, judge: dict[str, float] | Network) -> pd
                 chosen = {starts[int(np.argmax(logits))]}
                 if not toxic:
                     chosen |= {starts[0], starts[len(starts) // 2]}
-                out += [(" ".join(words[s:s + WINDOW]), toxic) for s in sorted(chosen)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32())], names=["words", "toxic"])
+                out += [(" ".join(words[s:s + WINDOW]), toxic, weight) for s in sorted(chosen)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()),
+                                              pa.array([o[2] for o in out], pa.float64())], names=["words", "toxic", "weight"])
 
-    return sample.select("text", "toxic").mapInArrow(cut, "words string, toxic int").toPandas().drop_duplicates().sort_values(["words", "toxic"])
+    return sample.select("text", "toxic", "weight").mapInArrow(cut, "words string, toxic int, weight double").toPandas().drop_duplicates().sort_values(["words", "toxic"])
 
 
-def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The value that tells most of the labels apart; of several the middle one, and none without both labels."""
+def best_cut(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """The value that tells the labels of most weight apart; of several the middle one, and none without both labels."""
     if len(np.unique(labels)) < 2:
         return 0.0
     order = np.argsort(logits)
-    x, y = logits[order], labels[order]
-    right = np.r_[0, np.cumsum(y == 0)] + np.r_[np.cumsum((y == 1)[::-1])[::-1], 0]
+    x, y, w = logits[order], labels[order], np.ones(len(order)) if weights is None else weights[order]
+    right = np.r_[0, np.cumsum(w * (y == 0))] + np.r_[np.cumsum((w * (y == 1))[::-1])[::-1], 0]
     cuts = np.r_[x[0] - 1, (x[1:] + x[:-1]) / 2, x[-1] + 1]
-    best = cuts[right == right.max()]
-    return float(np.clip(best[len(best) // 2], -SHIFT, SHIFT))
+    best = cuts[right >= right.max() - 1e-9 * w.sum()]  # equal but for rounding
+    most = SHIFT + abs(np.log(w[y == 1].sum() / w[y == 0].sum())) / 2  # fit() leaves half the log odds of the labels to the cut
+    return float(np.clip(best[len(best) // 2], -most, most))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -206,8 +209,9 @@ class Network:
             d_next = d - live + live * z + w["u"].transpose(0, 2, 1) @ d_rec
         return g, d_gates
 
-    def fit(self, windows: list[list[str]], labels: np.ndarray, seed: int = 3) -> Network:
-        """Adam on the logistic loss; the rarer label weighs more, by the square root of its rarity."""
+    def fit(self, windows: list[list[str]], labels: np.ndarray, weights: np.ndarray | None = None, seed: int = 3) -> Network:
+        """Adam on the logistic loss. ``weights``: the rows each window stands for; the label that is rarer by them weighs more than
+        that, by the square root of its rarity."""
         rng, w = np.random.default_rng(seed), self.w
         vocab = sorted({x for win in windows for x in win})
         place = {x: i for i, x in enumerate(vocab)}
@@ -215,7 +219,9 @@ class Network:
         rows = np.array([self.index.get(x, 0) for x in vocab], np.int64)
         owner, inverse = np.repeat(np.arange(len(vocab)), counts), (1 / np.maximum(1, counts)).astype(np.float32)
         ids, real = window_matrix([[place[x] for x in win] for win in windows])
-        balance = np.sqrt(np.where(labels == 1, len(labels) / (2 * max(1, labels.sum())), len(labels) / (2 * max(1, (1 - labels).sum()))))
+        weights = np.ones(len(labels)) if weights is None else weights
+        toxic = (weights * (labels == 1)).sum() / weights.sum()
+        balance = weights / weights.mean() * np.sqrt(0.5 / np.maximum(1e-12, np.where(labels == 1, toxic, 1 - toxic)))
         first, second, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
         epochs = max(EPOCHS, STEPS * BATCH // len(windows))
         for epoch in range(epochs):
@@ -315,8 +321,8 @@ class Scorer:
 
 
 def train(labelled: DataFrame) -> Network | float:
-    """Learn from a bounded sample of (text, toxic) rows; a constant score where the labels do not hold both kinds."""
-    every = labelled.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).persist()
+    """Learn from a bounded sample of (text, toxic, weight) rows; a constant score where the labels do not hold both kinds."""
+    every = labelled.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"), "weight").persist()
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
     sample = every.where(fold > 0)
     try:
@@ -328,14 +334,15 @@ def train(labelled: DataFrame) -> Network | float:
         network = Network(odds["word"].tolist(), odds["odds"].to_numpy())
         for _ in range(ROUNDS):
             texts = [t.split() for t in windows["words"]] + [[]] * 16
-            network.fit(texts, np.concatenate([windows["toxic"].to_numpy(np.float32), np.zeros(16, np.float32)]))
+            toxic, weight = windows["toxic"].to_numpy(np.float32), windows["weight"].to_numpy()
+            network.fit(texts, np.r_[toxic, np.zeros(16, np.float32)], np.r_[weight, np.full(16, weight[toxic == 0].max())])
             # The next round adds each document's highest window as this network sees it: what a text's score will be.
             mined = training_windows(sample, network)
             clean = pd.concat([windows, mined])
             windows = pd.concat([mined[mined["toxic"] == 1], clean[clean["toxic"] == 0]]).drop_duplicates().sort_values(["words", "toxic"])
-        apart = score(every.where(fold == 0), network).select("score", "toxic").toPandas()
+        apart = score(every.where(fold == 0), network).select("score", "toxic", "weight").toPandas()
         odds_of = np.clip(apart["score"].to_numpy(), 1e-9, 1 - 1e-9)
-        network.w["bo"] -= np.float32(best_cut(np.log(odds_of / (1 - odds_of)), apart["toxic"].to_numpy()))
+        network.w["bo"] -= np.float32(best_cut(np.log(odds_of / (1 - odds_of)), apart["toxic"].to_numpy(), apart["weight"].to_numpy()))
     finally:
         every.unpersist()
     return network
@@ -365,11 +372,12 @@ def drop_toxic(docs: DataFrame, network: Network | float, least: float = 0.5) ->
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
-    """(text, toxic) of a sample of the labelled documents that may be learned from: about ``rows`` ids of each label. A label
-    that is repeated counts once. The sample is drawn from the labels, a bounded broadcast, so documents are not shuffled."""
+    """(text, toxic, weight) of a sample of the labelled documents that may be learned from: about ``rows`` ids of each label, each
+    weighing as many as it stands for. A label that is repeated counts once. The sample is drawn from the labels, a bounded broadcast, so documents are not shuffled."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(5, 0))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(F.broadcast(bounded_sample(marks, "toxic", "doc_id", rows)), "doc_id").select("text", "toxic")
+    drawn = bounded_sample(marks, "toxic", "doc_id", rows, weight="weight")
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic", "weight")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

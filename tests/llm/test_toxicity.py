@@ -16,6 +16,31 @@ def test_best_cut():
     assert T.best_cut(np.array([-9.0, 9.0]), np.array([1, 0])) in (-T.SHIFT, T.SHIFT, 0.0)
 
 
+def test_the_cut_and_the_loss_answer_the_weights():
+    logits, labels = np.array([-2.0, -1.0, -0.5, 1.0, 2.0, 3.0]), np.array([0, 1, 1, 0, 1, 1])
+    assert T.best_cut(logits, labels) == -1.5  # one error against two
+    assert T.best_cut(logits, labels, np.where(labels == 0, 50.0, 1.0)) == 1.5  # a clean row that stands for 50 is not given up
+    windows = [["same", f"word{i % 7}"] for i in range(400)]
+    labels = np.tile([0.0, 1.0], 200).astype(np.float32)
+    for weight, low, high in ((1.0, 0.4, 0.6), (100.0, 0.0, 0.25)):
+        net = T.Network(["same"], np.zeros(1)).fit(windows, labels, np.where(labels == 0, weight, 1.0))
+        found = T.Scorer(net).score(["same word1", "same word4"])
+        assert (low <= found).all() and (found <= high).all()
+
+
+@pytest.mark.parametrize("rows", [40, 10_000])
+def test_sampled_labels_stand_for_the_corpus(spark, rows):
+    """60 toxic documents of 6,000: the weights of a sample add up to both counts at every size of it."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 100 == 7).cast("int").alias("toxic"))
+    learned = labels.where(~T.held_out(5, 0)).groupBy("toxic").count().collect()
+    got = {r["toxic"]: r for r in T.labelled_documents(docs, labels, rows).groupBy("toxic").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()}
+    for r in learned:
+        assert got[r["toxic"]]["w"] == pytest.approx(r["count"], rel=0.0 if rows > 6000 else 0.6)
+        assert rows > 6000 or got[r["toxic"]]["n"] < 80
+    assert got[1]["w"] / got[0]["w"] < 0.05
+
+
 def test_windows_cover_every_word_and_overlap():
     for n in range(0, 200):
         starts = list(T.window_starts(n))
