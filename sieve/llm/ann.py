@@ -89,15 +89,21 @@ def moves(inside: np.ndarray, probes: int) -> list[np.ndarray]:
 
 
 def score_tiles(q: np.ndarray, q_ids: list[int], x: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[int, int, float]]:
-    """The k best rows of a tile for each query. The matrix product only chooses; scores are summed again in one fixed
-    order, so that a pair has the same score in every tile it meets."""
+    """The k best rows of a tile for each query. The matrix product only chooses: every row that reaches its (k + 1)-th score (one may
+    be the query itself) but for rounding. Their scores are summed again in one fixed order, so that a pair has the same score in
+    every tile it meets, and ties are cut by the smaller id."""
     rough = q @ x.T
-    most = min(len(x), k + 5)  # one may be the query itself, and some for rounding
-    best = np.argpartition(-rough, most - 1, axis=1)[:, :most]
+    last = max(0, len(x) - k - 1)
+    # Both sums of a pair are off by at most dim x eps x |q| |x| each, and so are those of the row at the threshold.
+    slack = 4 * x.shape[1] * np.finfo(np.float64).eps * np.sqrt((q * q).sum(1) * (x * x).sum(1).max())
+    least = np.partition(rough, last, axis=1)[:, last] - slack
+    firsts = np.array([own[0] for own in ids], np.int64)
     out = []
     for i, query in enumerate(q_ids):
-        scores = (x[best[i]] * q[i]).sum(axis=1)
-        out += [(query, v, s) for s, v in expand(query, scores, [ids[r] for r in best[i]], k)]
+        rows = np.flatnonzero(rough[i] >= least[i])
+        scores = (x[rows] * q[i]).sum(axis=1)
+        best = np.lexsort((firsts[rows], -scores))[:k + 1]
+        out += [(query, v, s) for s, v in expand(query, scores[best], [ids[r] for r in rows[best]], k)]
     return out
 
 

@@ -107,6 +107,23 @@ def test_queries_that_find_too_few_see_all_rows(spark, monkeypatch):
     assert [g[:3] for g in got] == want
 
 
+def test_more_ties_than_a_tile_keeps_go_to_the_smaller_ids(spark):
+    """9,000 distinct vectors with one inner product, and 3 that are ahead."""
+    rng = np.random.default_rng(4)
+    x = np.c_[np.full(9000, 0.5), rng.permutation(9000) / 9000]
+    x[[10, 4000, 8999], 0] = 0.75
+    ids = rng.permutation(9000)
+    got = A.score_tiles(np.array([[1.0, 0.0], [-1.0, 0.0]]), [-1, -2], x, [[int(i)] for i in ids], 20)
+    ahead = sorted(ids[[10, 4000, 8999]].tolist())
+    tied = sorted(set(ids.tolist()) - set(ahead))
+    assert [(v, s) for q, v, s in got if q == -1] == [(v, 0.75) for v in ahead] + [(v, 0.5) for v in tied[:17]]
+    assert [(v, s) for q, v, s in got if q == -2] == [(v, -0.5) for v in tied[:20]]
+    rows = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "id long, vec array<double>").coalesce(3)
+    asked = spark.createDataFrame([(-1, [1.0, 0.0])], "id long, vec array<double>")
+    every = A.nearest(rows, asked, 20, A.Hashing(tables=1, projections=8, width=0.01, probes=1)).orderBy("rank").collect()  # by the short-query path
+    assert [(r["vec_id"], r["score"]) for r in every] == [(v, 0.75) for v in ahead] + [(v, 0.5) for v in tied[:17]]
+
+
 def test_moves_come_in_the_order_of_their_cost():
     inside = np.array([0.1, 0.45, 0.8])
     found = A.moves(inside, 27)
