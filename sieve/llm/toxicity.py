@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import forget_kept, kept_in_worker
+from sieve.llm.common import forget_kept, kept_in_worker, stage
 from sieve.llm.langid import bounded_sample, held_out
 
 ROWS = 3000
@@ -111,7 +111,8 @@ def training_windows(sample: DataFrame, judge: dict[str, float] | Network) -> pd
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()),
                                               pa.array([o[2] for o in out], pa.float64())], names=["words", "toxic", "weight"])
 
-    return sample.select("text", "toxic", "weight").mapInArrow(cut, "words string, toxic int, weight double").toPandas().drop_duplicates().sort_values(["words", "toxic"])
+    found = sample.select("text", "toxic", "weight").mapInArrow(cut, "words string, toxic int, weight double")
+    return found.distinct().toPandas().sort_values(["words", "toxic"])
 
 
 def best_cut(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
@@ -372,12 +373,15 @@ def drop_toxic(docs: DataFrame, network: Network | float, least: float = 0.5) ->
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
-    """(text, toxic, weight) of a sample of the labelled documents that may be learned from: about ``rows`` ids of each label, each
-    weighing as many as it stands for. A label that is repeated counts once. The sample is drawn from the labels, a bounded broadcast, so documents are not shuffled."""
+    """(text, toxic, weight) of a sample of the labelled documents that may be learned from: about ``rows`` of each label, each
+    weighing as many as it stands for. A label that is repeated counts once. About ``rows`` ids of each label are drawn first, a bounded
+    broadcast, so documents are not shuffled; then of their documents, which are more where an id is repeated, about ``rows`` of each label."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(5, 0))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = bounded_sample(marks, "toxic", "doc_id", rows, weight="weight")
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic", "weight")
+    ids = stage(bounded_sample(marks, "toxic", "doc_id", rows, weight="ids"), "toxicity-ids")  # read twice: to count and to draw
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    drawn = bounded_sample(found, "toxic", "doc_id", rows, seed=6, weight="rows")
+    return drawn.select("text", "toxic", (F.col("ids") * F.col("rows")).alias("weight"))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

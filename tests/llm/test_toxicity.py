@@ -41,6 +41,17 @@ def test_sampled_labels_stand_for_the_corpus(spark, rows):
     assert got[1]["w"] / got[0]["w"] < 0.05
 
 
+def test_rows_that_repeat_an_id_do_not_swell_the_sample(spark):
+    """Every id is sampled; one of them holds 5,000 of 5,400 rows."""
+    ids = spark.range(400).select(F.col("id").alias("doc_id"))
+    hot = ids.where(~T.held_out(5, 0)).first()["doc_id"]
+    docs = ids.unionByName(spark.range(5000).select(F.lit(hot).alias("doc_id"))).withColumn("text", F.lit("some text"))
+    labels = ids.select("doc_id", (F.col("doc_id") % 2 == hot % 2).cast("int").alias("toxic"))
+    got = {r["toxic"]: r for r in T.labelled_documents(docs, labels, 300).groupBy("toxic").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()}
+    assert got[1]["n"] < 400 and got[1]["w"] == pytest.approx(5160, rel=0.3)
+    assert got[0]["w"] == got[0]["n"] < 300
+
+
 def test_windows_cover_every_word_and_overlap():
     for n in range(0, 200):
         starts = list(T.window_starts(n))
