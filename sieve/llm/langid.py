@@ -106,15 +106,22 @@ class Model:
             self.known.append(grams)
             self.table.append(np.log((times + 0.5) / (totals + 0.5 * max(1, len(grams)))).astype(np.float32))
 
-    def word(self, word: str) -> np.ndarray:
+    def rows(self, word: str) -> tuple[int, list[int]]:
+        """Where the word stands: its n (0: as a word) and rows of that table; no rows if nothing of it is known."""
         row = self.known[0].get(word)
         if row is not None:
-            return self.table[0][row]
+            return 0, [row]
         for n in range(LONGEST, 0, -1):
             rows = [r for g in grams_of(word, n) if (r := self.known[n].get(g)) is not None]
             if rows:
-                return self.table[n][rows].mean(axis=0)
-        return np.zeros(len(self.languages), np.float32)
+                return n, rows
+        return 0, []
+
+    def word(self, word: str) -> np.ndarray:
+        n, rows = self.rows(word)
+        if not rows:
+            return np.zeros(len(self.languages), np.float32)
+        return self.table[n][rows].mean(axis=0) if n else self.table[0][rows[0]]
 
 
 class Predictor:
@@ -167,12 +174,22 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
     return docs.withColumn(out, predict(F.col(text_col).cast("string")))
 
 
-def drop_unidentified(docs: DataFrame, model: Model, lead: float = 1.2) -> DataFrame:
-    """``docs`` without those of no language: no letter, or words that leave the languages level (the best has less than ``lead``
-    times an even share of the confidence). A text that is merely short or mixed stays."""
-    found = identify(docs, model, out="__li")
-    least = lead / max(1, len(model.languages)) if len(model.languages) > 1 else 0.0
-    return found.where((F.col("__li.lang_pred") != UNKNOWN) & (F.col("__li.score") >= least)).select(*docs.columns)
+def drop_unidentified(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without those of no language: no letter, or no word of which the model knows as much as a letter. A text that is
+    short or mixed stays however level the languages are in it; where fewer than two were learned, all texts with letters stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def told(text: str | None) -> bool:
+        words = [w for w in words_of(text or "") if any(c.isalpha() for c in w)]
+        return bool(words) and (len(shared.value.languages) < 2 or any(shared.value.rows(w)[1] for w in words))
+
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget_kept()
+        for texts in batches:
+            yield pd.Series([told(t) for t in texts], dtype=bool)
+
+    return docs.where(run(F.col("text").cast("string")))
 
 
 def held_out(parts: int, part: int):

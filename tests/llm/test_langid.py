@@ -67,6 +67,15 @@ def test_awkward_rows(spark):
     assert sorted(r["doc_id"] for r in L.drop_unidentified(unknown, model()).collect()) == [2, 3]
 
 
+def test_level_texts_stay_and_only_unknown_ones_go(spark):
+    docs = spark.createDataFrame([(1, "help"), (2, "hello zebra"), (3, "ыы"), (4, "12 !"), (5, "ыы help"), (6, None)], "doc_id long, text string")
+    known = model()  # two languages; "help" is as common in both
+    assert L.Predictor(known).predict("help")[1] == pytest.approx(0.5, abs=0.1)
+    assert sorted(r["doc_id"] for r in L.drop_unidentified(docs, known).collect()) == [1, 2, 5]
+    nothing = L.train(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert sorted(r["doc_id"] for r in L.drop_unidentified(docs, nothing).collect()) == [1, 2, 3, 5]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
     got = L.predicted_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
