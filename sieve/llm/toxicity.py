@@ -2,8 +2,8 @@
 
 Input of a step is a word: its embedding (one component of which is its log odds of standing in a toxic document), and the mean of the
 embeddings of its character trigrams, which is all an unknown word has. Two gated recurrent units read a window of words forwards and
-backwards, attention weighs their states, and the weighted sum gives the window's logit. A text's score is the highest of all its
-overlapping windows, so no part of a long text is left out.
+backwards, attention weighs their states, and the weighted sum gives the window's logit. A text's score is the highest of its
+windows, one every ``STRIDE`` words: no word of a long text is left out, but a passage of more than ``WINDOW - STRIDE + 1`` words may be seen in two parts.
 
 Learned from a bounded sample of labelled rows (``ROWS`` of each label): word odds are counted by Spark, each sampled document gives
 its most toxic window as the odds have it (documents that are not toxic give others as well), and the network is fitted to those windows, then
