@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from sieve.llm.ann import nearest_embeddings
 from sieve.llm.common import ship_package
 from sieve.llm.langid import predicted_languages
+from sieve.llm.linededup import line_dedup_documents
 from sieve.llm.mixing import mix
 from sieve.llm.packing import pack
+from sieve.llm.periodic import periodic_documents
 from sieve.llm.sharding import shard_documents
 from sieve.llm.simhash import simhash_components
 from sieve.llm.tokenfile import token_files
 from sieve.llm.topk import scaled_topk
 from sieve.llm.toxicity import toxicity_scores
+from sieve.llm.variants import variant_groups
 from sieve.llm.warc import warc_round_trip
 
 QUERIES: dict = {}
@@ -132,3 +135,31 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_read(spark, sf_dir, "documents"))
+
+
+@register()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_documents(_read(spark, sf_dir, "documents"))
+
+
+@register("""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+    SELECT r, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM docs),
+keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+kept AS (
+    SELECT r, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n
+    FROM keyed WHERE key NOT IN (SELECT key FROM common) GROUP BY r)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+""")
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_documents(_read(spark, sf_dir, "documents"))
+
+
+@register()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_groups(_read(spark, sf_dir, "documents"))
