@@ -19,6 +19,7 @@ are documents of their own; a word of any length is compared whole (counts are e
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -81,11 +82,13 @@ def letter_runs(docs: DataFrame, *, least: int = 7, id_col: str = "doc_id", text
 
 
 def groups_for(words: int) -> int:
-    """Groups of classes: three for a hundred thousand words, one more for every eightfold number."""
-    groups = 3
-    while words > 100_000:
-        groups, words = groups + 1, words // 8
-    return min(groups, 24)
+    """Groups of classes: as many as leave blocks of about a hundred words (three for a hundred thousand words, eleven for fifty million)."""
+    return max(3, round(1.4 * math.log(max(1, words) / 20_000)))
+
+
+def group_of(codes: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each code point's class: classes are mixed first, as the vowels lie at like distances."""
+    return codes % CLASSES * 37 % 97 % groups
 
 
 def neighbours(groups: int) -> list[list[int]]:
@@ -99,41 +102,63 @@ def neighbours(groups: int) -> list[list[int]]:
     return steps
 
 
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All code points of the words, one after the other, and each word's number of them."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64), np.array([len(w) for w in words], np.int64)
+
+
 def _tiles(words: DataFrame, groups: int, tile: int) -> DataFrame:
-    """(block, tile, words): ``block`` is the array of group counts, ``words`` an array of (word, n) by word."""
+    """(block, tile, length, codes, n): ``block`` is the array of group counts; the tile's words, of one length, by code point order,
+    as code points (a byte each if all are below 256, else four), and their counts (int64)."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, sizes = _codes(batch.column(0).to_pylist())
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            counts = np.bincount(owner * groups + codes % CLASSES % groups, minlength=len(sizes) * groups).reshape(-1, groups)
+            counts = np.bincount(owner * groups + group_of(codes, groups), minlength=len(sizes) * groups).reshape(-1, groups)
             offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * groups)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(counts.ravel().astype(np.int32)))],
                                              names=["word", "n", "block"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for held in batch.column("words"):
+                codes, sizes = _codes(held.values.field("word").to_pylist())
+                narrow = "u1" if codes.max(initial=0) < 256 else "<u4"
+                out.append((int(sizes[0]), codes.astype(narrow).tobytes(), held.values.field("n").to_numpy(zero_copy_only=False).astype("<i8").tobytes()))
+            length, codes, n = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("tile"), pa.array(length, pa.int32()), pa.array(codes, pa.binary()),
+                                              pa.array(n, pa.binary())], names=["block", "tile", "length", "codes", "n"])
+
     marked = stage(words.select("word", "n").mapInArrow(mark, "word string, n long, block array<int>"), "variant-blocks")
     sizes = stage(marked.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "variant-sizes")
     cut = join_staged(marked, sizes, ["block"], "inner")
     cut = cut.withColumn("tile", F.pmod(F.xxhash64("word"), F.ceil(F.col("size") / tile)).cast("int"))
-    return stage(cut.groupBy("block", "tile").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("words")), "variant-tiles")
-
-
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All code points of the words, one after the other, and each word's number of them."""
-    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64), np.array([len(w) for w in words], np.int64)
+    tiles = cut.groupBy("block", "tile").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("words"))
+    return stage(tiles.mapInArrow(pack, "block array<int>, tile int, length int, codes binary, n binary"), "variant-tiles")
 
 
 class Block:
-    """The words of a tile (all of one length) as code points and class counts."""
+    """The words of a tile (all of one length): code points, counts by class, and n."""
+
+    def __init__(self, codes: bytes, n: bytes, length: int):
+        self.n, self.length = np.frombuffer(n, "<i8"), length
+        rows = len(self.n)
+        self.codes = np.frombuffer(codes, "u1" if len(codes) == rows * length else "<u4").reshape(rows, length)
+        owner = np.repeat(np.arange(rows), length)
+        counts = np.bincount(owner * CLASSES + self.codes.ravel().astype(np.int64) % CLASSES, minlength=rows * CLASSES).reshape(-1, CLASSES)
+        self.counts = counts.astype(np.float32 if length <= SINGLE else np.float64)
+        self.norms = (self.counts * self.counts).sum(axis=1)
+        self.held = self.counts.any(axis=0)
 
-    def __init__(self, words: list[str]):
+    @classmethod
+    def of(cls, words: list[str], n: list[int] | None = None) -> Block:
         codes, sizes = _codes(words)
-        self.length = int(sizes[0])
-        self.codes = codes.reshape(len(words), self.length)
-        kind = np.float32 if self.length <= SINGLE else np.float64
-        owner = np.repeat(np.arange(len(words)), sizes)
-        self.counts = np.bincount(owner * CLASSES + codes % CLASSES, minlength=len(words) * CLASSES).reshape(-1, CLASSES).astype(kind)
-        self.norms = (self.counts * self.counts).sum(axis=1)
+        return cls(codes.astype("<u4").tobytes(), np.array(n or [0] * len(words), "<i8").tobytes(), int(sizes[0]))
+
+    def words(self, places: np.ndarray) -> list[str]:
+        return [x.astype("<u4").tobytes().decode("utf-32-le") for x in self.codes[places]]
 
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,11 +178,13 @@ def near_pairs(x: Block, y: Block, same: bool) -> tuple[np.ndarray, np.ndarray]:
     if a.length - b.length > 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     left, right = [], []
+    both, one = a.held & b.held, np.ones  # classes that only one block has do not enter the product
+    side = np.c_[b.counts[:, both], one(len(b.norms), b.counts.dtype), b.norms].T
     step = max(1, CHECKED // len(b.norms))
     for lo in range(0, len(a.norms), step):
         part = slice(lo, lo + step)
-        apart = a.norms[part, None] + b.norms[None, :] - 2 * (a.counts[part] @ b.counts.T)
-        i, j = np.nonzero(apart <= 2)
+        apart = np.c_[-2 * a.counts[part][:, both], a.norms[part], one(len(a.norms[part]), a.counts.dtype)] @ side
+        i, j = np.divmod(np.flatnonzero(apart <= 2), len(b.norms))
         i += lo
         if same:
             i, j = i[i < j], j[i < j]
@@ -188,32 +215,30 @@ def near_words(words: DataFrame, rows: int, *, tile: int = TILE, groups: int | N
         F.col("block").alias("a"), F.col("tile").alias("s"), F.zip_with("block", "step", lambda x, d: x + d).alias("b"))
     pairs = reach.join(places.select(F.col("block").alias("b"), F.col("tile").alias("t")), "b")
     pairs = stage(pairs.where((F.col("a") != F.col("b")) | (F.col("s") <= F.col("t"))).select("a", "s", "b", "t"), "variant-pairs")
-    side = lambda k, p: tiles.select(F.col("block").alias(k), F.col("tile").alias(p), F.col("words").alias(f"words_{k}"))
+    side = lambda k, p: tiles.select(F.col("block").alias(k), F.col("tile").alias(p), *[F.col(c).alias(f"{c}_{k}") for c in ("length", "codes", "n")])
     dealt = join_staged(join_staged(pairs, side("a", "s"), ["a", "s"], "inner"), side("b", "t"), ["b", "t"], "inner")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
+        key, kept = None, None  # rows come by their second tile
         for batch in batches:
             for row in range(batch.num_rows):
-                sides, same = [], batch.column("same")[row].as_py()
-                for name in ("words_a", "words_b"):
-                    held = batch.column(name)[row].values
-                    sides.append((held.field("word").to_pylist(), held.field("n").to_numpy(zero_copy_only=False)))
-                (x, nx), (y, ny) = sides
-                i, j = near_pairs(Block(x), Block(y), same)
-                out = []
-                both = [(i, j, x, y, ny), (j, i, y, x, nx)]
-                if same:  # one list of words: a word's partners lie on both sides
-                    both = [(np.r_[i, j], np.r_[j, i], x, x, nx)]
-                for mine, other, own, theirs, n in both:
+                same, codes, n, length = (batch.column(c)[row] for c in ("same", "codes_b", "n_b", "length_b"))
+                if (codes.as_buffer(), n.as_buffer()) != key:
+                    key = codes.as_buffer(), n.as_buffer()
+                    kept = Block(codes.as_py(), n.as_py(), length.as_py())
+                y = kept
+                x = y if same.as_py() else Block(*(batch.column(c)[row].as_py() for c in ("codes_a", "n_a", "length_a")))
+                i, j = near_pairs(x, y, x is y)
+                both = [(np.r_[i, j], np.r_[j, i], x, x)] if x is y else [(i, j, x, y), (j, i, y, x)]
+                for mine, other, own, theirs in both:
                     if len(mine):
-                        at, count, best = _best(mine, other, n)
-                        out.append(pa.RecordBatch.from_arrays([
-                            pa.array([own[k] for k in at.tolist()], pa.string()), pa.array(count.astype(np.int64)),
-                            pa.array([theirs[k] for k in best.tolist()], pa.string()), pa.array(n[best].astype(np.int64))],
-                            names=["word", "n_near", "near", "near_n"]))
-                yield from out
-
-    dealt = dealt.select(((F.col("a") == F.col("b")) & (F.col("s") == F.col("t"))).alias("same"), "words_a", "words_b")
+                        at, count, best = _best(mine, other, theirs.n)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(own.words(at), pa.string()), pa.array(count.astype(np.int64)), pa.array(theirs.words(best), pa.string()),
+                            pa.array(theirs.n[best].astype(np.int64))], names=["word", "n_near", "near", "near_n"])
+
+    dealt = dealt.select(((F.col("a") == F.col("b")) & (F.col("s") == F.col("t"))).alias("same"), *[f"{c}_{k}" for c in ("length", "codes", "n") for k in "ab"])
     found = dealt.mapInArrow(compare, "word string, n_near long, near string, near_n long")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near")))
     found = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best"))

@@ -106,15 +106,15 @@ def test_one_edit_is_levenshtein_one(a, b):
     a, b = max(a, b, key=len), min(a, b, key=len)
     if len(a) - len(b) > 1:
         return
-    i, j = V.near_pairs(V.Block([a]), V.Block([b]), False)
+    i, j = V.near_pairs(V.Block.of([a]), V.Block.of([b]), False)
     assert bool(len(i)) == (edits(a, b) == 1)
 
 
 def test_long_words_are_exact():
     a = "a" * 5000
     words = [a + "b", a + "c", "b" + a]
-    i, j = V.near_pairs(V.Block(words), V.Block(words), True)
-    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 1)] and V.Block(words).counts.dtype == np.float64
+    i, j = V.near_pairs(V.Block.of(words), V.Block.of(words), True)
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 1)] and V.Block.of(words).counts.dtype == np.float64
 
 
 def test_steps_between_blocks_cover_near_words():
