@@ -6,8 +6,8 @@ a variant are within 2r bits of each other, so a colliding set is a clique: it i
 link still verified by its bit distance), never by all its pairs, and no connection is lost.
 
 Volume: with r = 2 there are 2,081 variants of 64 bits. They are made with numpy, dealt out as packed runs (8 bytes a variant and
-2 for its mask, no row for each), and in ``PASSES`` passes over disjoint parts of the variant space, so that only an eighth of them
-is on disk at a time. Cell and pass are linear in the bits (cell(x ^ m) = cell(x) ^ cell(m)): a pass makes just its own variants, and the variants of
+2 for its mask, no row for each), and in passes over disjoint parts of the variant space: eight, so that an eighth of them
+is on disk at a time, and more where the cells of a pass would outgrow their bound. Cell and pass are linear in the bits (cell(x ^ m) = cell(x) ^ cell(m)): a pass makes just its own variants, and the variants of
 fingerprints that resemble each other are spread over all cells.
 
 Cases: null and empty texts, and texts without words, have fingerprint 0 and link like any other; exact copies have equal fingerprints
@@ -27,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import forget_kept, join_staged, stage
+from sieve.llm.common import forget_kept, join_staged, lean, scratch_path, stage
 from sieve.llm.components import components
 
 SEED = 42
 RUN = 1 << 15
-PASS_BITS = 3
-PASSES = 1 << PASS_BITS
+#: At least 2**3 passes of at most 2**16 cells each.
+PASS_BITS, CELL_BITS = 3, 16
 #: Variants that one reducing task should hold (10 bytes each, and as much again to sort them).
 CELL_VARIANTS = 1 << 20
 CHUNK = 4096
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, text_col: str = "text", k
 
     rows = docs.select(F.col(text_col).cast("string").cast("binary").alias("__text"), *keep)
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", fp long")
+    return rows.mapInArrow(lean(run), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", fp long")
 
 
 def ball(radius: int) -> np.ndarray:
@@ -88,9 +88,9 @@ def cells_of(words: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dealt(masks: np.ndarray, cell_bits: int, part: int):
+def _dealt(masks: np.ndarray, pass_bits: int, cell_bits: int, part: int):
     """Task function of one pass: fingerprints -> (cell, variants, masks) runs."""
-    table = cell_table(PASS_BITS + cell_bits)
+    table = cell_table(pass_bits + cell_bits)
     mask_cells = cells_of(masks, table)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +100,9 @@ def _dealt(masks: np.ndarray, cell_bits: int, part: int):
                 fps = every[lo:lo + CHUNK]
                 fp_cells = cells_of(fps, table)
                 values, which, cells = [], [], []
-                for group in range(PASSES):
-                    mine = np.flatnonzero(fp_cells >> cell_bits == group)
+                groups = fp_cells >> cell_bits
+                for group in np.unique(groups).tolist():
+                    mine = np.flatnonzero(groups == group)
                     use = np.flatnonzero(mask_cells >> cell_bits == group ^ part)
                     values.append((fps[mine][:, None] ^ masks[use][None, :]).ravel())
                     cells.append(((fp_cells[mine][:, None] ^ mask_cells[use][None, :]) & ((1 << cell_bits) - 1)).astype(np.uint16).ravel())
@@ -169,24 +170,28 @@ def _collide(masks: np.ndarray, max_bits: int):
     return collide
 
 
+def bits_for(variants: int) -> tuple[int, int]:
+    """Bits that name the pass and the cell, so that a cell holds about ``CELL_VARIANTS`` variants however many there are."""
+    bits = max(PASS_BITS + 6, (variants // CELL_VARIANTS).bit_length())
+    return max(PASS_BITS, bits - CELL_BITS), min(CELL_BITS, bits - PASS_BITS)
+
+
 def ball_links(points: DataFrame, rows: int, max_bits: int = 4) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (``fp``) with a chain of steps of at most ``max_bits`` bits."""
     if max_bits % 2:
         raise ValueError("max_bits must be even: only then do all that share a variant lie within it")
     spark, masks = points.sparkSession, ball(max_bits // 2)
-    cells = max(64, rows * len(masks) // PASSES // CELL_VARIANTS)
-    cell_bits = min(16, (cells - 1).bit_length())
+    pass_bits, cell_bits = bits_for(rows * len(masks))
     tasks = max(1, min(-(-rows // CHUNK), max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows >> 18)))
-    links = None
-    for part in range(PASSES):
-        runs = points.select("fp").repartition(tasks).mapInArrow(_dealt(masks, cell_bits, part), "cell int, variants binary, masks binary")
-        found = stage(runs.groupBy("cell").applyInArrow(_collide(masks, max_bits), "a long, b long").distinct(), f"ball-links-{part}")
-        links = found if links is None else links.unionByName(found)
+    path = scratch_path(spark, "ball-links")
+    for part in range(1 << pass_bits):
+        runs = points.select("fp").repartition(tasks).mapInArrow(lean(_dealt(masks, pass_bits, cell_bits, part)), "cell int, variants binary, masks binary")
+        runs.groupBy("cell").applyInArrow(_collide(masks, max_bits), "a long, b long").distinct().write.parquet(f"{path}/pass={part}")
         # Spark drops a shuffle's files once its plan is garbage on the driver; the next pass needs the room.
-        del runs, found
+        del runs
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return links
+    return spark.read.schema("a long, b long").option("recursiveFileLookup", "true").parquet(path)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, max_bits: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -210,12 +215,9 @@ def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4) ->
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest doc_id (rows that repeat it: one of them)."""
-    mark = F.xxhash64(*docs.columns)
-    found = near_duplicates(docs.withColumn("__nd_row", mark), shingle=shingle, max_bits=max_bits, keep=("doc_id", "__nd_row"))
+    # Numbered and written once, so that a row keeps its number; equal rows have numbers of their own.
+    rows = stage(docs.withColumn("__nd_row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, shingle=shingle, max_bits=max_bits, keep=("doc_id", "__nd_row"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", F.col("__nd_row").alias("row")))
-    kept = found.groupBy("root").agg(best.alias("k")).select(F.col("k.row").alias("__nd_row")).distinct()
-    copies = found.groupBy("__nd_row").agg(F.count(F.lit(1)).alias("__nd_n"))
-    kept = stage(kept.join(copies, "__nd_row"), "kept")
-    rows = join_staged(docs.withColumn("__nd_row", mark), kept, ["__nd_row"], "inner")
-    once, more = rows.where("__nd_n = 1"), rows.where("__nd_n > 1").dropDuplicates(["__nd_row"])
-    return once.select(*docs.columns).unionByName(more.select(*docs.columns))
+    kept = stage(found.groupBy("root").agg(best.alias("k")).select(F.col("k.row").alias("__nd_row")), "kept")
+    return join_staged(rows, kept, ["__nd_row"], "inner").select(*docs.columns)
