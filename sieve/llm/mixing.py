@@ -67,7 +67,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
                        F.sum("w").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("w_left"))
     level = (F.col("budget") - F.col("capped")) / F.col("w_left")
     rows = rows.withColumn("level", F.max(F.when(level * F.col("w") <= F.col("cap"), level)).over(whole))
-    return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("w")).alias("target"))
+    # No level at all: the budget exceeds all caps.
+    return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
 def mix_cuts(keyed: DataFrame, source_weights: tuple[float, ...], share: float, most: float) -> DataFrame:

@@ -101,3 +101,10 @@ def test_better_documents_come_first_more_often(seed):
     drawn = [(key(i, "", 2.0 if i % 2 else 0.5, seed), i % 2) for i in range(2000)]
     first = [good for _, good in sorted(drawn)[:400]]
     assert sum(first) > 270
+
+
+def test_targets_are_the_caps_where_the_budget_exceeds_them(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 0), (None, 7)], "source string, source_size long")
+    for share in (2.0, 2.5):
+        got = {r["source"]: r["target"] for r in M.source_targets(sizes, (3.0, 1.0, 2.0), share, 2.0).collect()}
+        assert got == {"a": 20.0, "b": 0.0, None: 14.0}
