@@ -39,26 +39,36 @@ def _rank(df: DataFrame, part: list[str], bucket: str, order: list, total: str,
             .withColumn(out, F.col("__sh_off") + F.row_number().over(within)).drop("__sh_off", bucket))
 
 
+def _keyed(df: DataFrame, rows: int, n: int, id_col: str, source_col: str, seed: int, tie_cols: tuple[str, ...], bucket_rows: int) -> DataFrame:
+    """``df`` with a random key, its bucket of ``n``, the source without nulls, and the row's place in the input."""
+    place = F.monotonically_increasing_id()
+    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("long"), place), F.col(id_col).isNull(), *tie_cols)
+    bucket = F.least(F.floor((F.col("__sh_key").cast("double") + F.lit(TWO63)) / F.lit(2 * TWO63) * n), F.lit(n - 1))
+    keyed = df.select("*", key.alias("__sh_key"), place.alias("__sh_row"), F.col(source_col).isNull().alias("__sh_null"),
+                      F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__sh_src"))
+    # Written before it is read twice: a row keeps its key even if its place in the input is not the same in every run of a scan.
+    keyed = stage(keyed.withColumn("__sh_b", bucket), "shard-keys")
+    # At most rows / (4 * bucket_rows) of them.
+    full = keyed.groupBy("__sh_b").count().where(F.col("count") > 4 * max(bucket_rows, rows // n)).select("__sh_b", F.lit(True).alias("__sh_full"))
+    spread = F.when(F.col("__sh_full"), F.xxhash64(F.lit(seed), "__sh_key", "__sh_row")).otherwise(F.col("__sh_key"))
+    return keyed.join(F.broadcast(full), "__sh_b", "left").withColumn("__sh_key", spread).withColumn("__sh_b", bucket).drop("__sh_full")
+
+
 def interleave(df: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", shards: int = 16, seed: int = 7,
                tie_cols: tuple[str, ...] = (), bucket_rows: int = 20_000) -> DataFrame:
     """``df`` with ``shard`` (0 .. shards-1, row counts at most one apart) and ``slot`` (gapless from 0 in a shard).
 
-    ``tie_cols`` order rows that share an id. A row's place depends on its id, the seed and the
-    other rows, not on file layout (rows with a null id excepted)."""
+    ``tie_cols`` tell rows that share an id apart. A row's place depends on its id, these columns, the seed and the other rows, not on
+    file layout; excepted are rows with a null id, and buckets that hold several times their share since rows repeat: there the
+    place in the input enters the key, which spreads them."""
     keep = [c for c in df.columns if c not in ("shard", "slot")]
     rows = df.count()
     n = buckets_for(rows, bucket_rows)
-    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("long"), F.monotonically_increasing_id()),
-                     F.col(id_col).isNull())
-    keyed = df.select(*keep, key.alias("__sh_key"), F.col(source_col).isNull().alias("__sh_null"),
-                      F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__sh_src"))
-    unit = (F.col("__sh_key").cast("double") + F.lit(TWO63)) / F.lit(2 * TWO63)
-    # Written before it is read twice: a row keeps its key even if its place in the input is not the same in every run of a scan.
-    keyed = stage(keyed.withColumn("__sh_b", F.least(F.floor(unit * n), F.lit(n - 1))), "shard-keys")
-    ties = [F.col(c).asc_nulls_first() for c in (id_col, *tie_cols)]
+    keyed = _keyed(df.select(*keep), rows, n, id_col, source_col, seed, tie_cols, bucket_rows)
+    ties = [*[F.col(c).asc_nulls_first() for c in (id_col, *tie_cols)], F.col("__sh_row")]
     ranked = _rank(keyed, ["__sh_null", "__sh_src"], "__sh_b", [F.col("__sh_key"), *ties], "__sh_total", "__sh_rank")
     ranked = stage(ranked.withColumn("__sh_frac", (F.col("__sh_rank") - 0.5) / F.col("__sh_total"))
-                   .drop("__sh_total", "__sh_key"), "shard-ranks")
+                   .drop("__sh_total", "__sh_key", "__sh_row"), "shard-ranks")
     placed = ranked.select("*", F.lit(0).alias("__sh_all"),
                            F.least(F.floor(F.col("__sh_frac") * n), F.lit(n - 1)).alias("__sh_fb"))
     placed = _rank(placed, ["__sh_all"], "__sh_fb",

@@ -63,3 +63,15 @@ def test_write_shards(spark):
     S.write_shards(awkward(spark, clash=False), path, shards=3)
     back = spark.read.parquet(path)
     assert back.count() == len(ROWS) and back.select("shard").distinct().count() == 3
+
+
+def test_a_hot_id_is_spread_over_the_buckets(spark):
+    def fullest(df, **ties):
+        keyed = S._keyed(df, 30_000, 256, "doc_id", "source", 7, ties.get("ties", ()), 100)
+        return keyed.groupBy("__sh_b").count().agg(F.max("count")).first()[0]
+
+    ids = F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id"))
+    df = spark.range(30_000).select(ids.alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 1000).alias("text_crc32"))
+    assert fullest(df) < 600 and fullest(df, ties=("text_crc32",)) < 600  # a third of the rows is 10,000
+    got = S.interleave(df, shards=4, bucket_rows=100).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d")).collect()
+    assert [(r["n"], r["d"]) for r in got] == [(7500, 7500)] * 4
