@@ -231,10 +231,12 @@ def assemble(records: DataFrame) -> DataFrame:
 def warc_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """The digest of op5: write all pages to archives in the shared folder, read them back, assemble the captures."""
     manifest = write_warc(captures(pages, min_bytes), scratch_path(pages.sparkSession, "warc"))
-    whole = assemble(stage(read_warc(manifest, payloads=False), "warc-records"))
-    notes = F.map_from_entries("metadata.fields")
-    page = F.col("response.refers_to")
-    return whole.select(F.nullif(notes["page-id"], F.lit("")).cast("long").alias("page_id"), notes["payload-length"].cast("long").alias("payload_bytes"),
-                        F.col("response.digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"),
-                        F.nullif(F.split(page, ":")[2], F.lit("none")).cast("long").alias("refers_to"),
-                        F.col("request.target_uri").alias("target_uri"))
+    records = stage(read_warc(manifest, payloads=False), "warc-records")
+    # A payload's size and digest are those of the response read back, which a revisit names.
+    stored = stage(records.where(F.col("record_type") == "response").select(F.col("record_id").alias("stored"), "payload_bytes", "digest"), "warc-stored")
+    whole = assemble(records).withColumn("stored", F.coalesce("response.refers_to", "capture"))
+    notes, page = F.map_from_entries("metadata.fields"), F.col("response.refers_to")
+    return join_staged(whole, stored, ["stored"]).select(
+        F.nullif(notes["page-id"], F.lit("")).cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"), F.nullif(F.split(page, ":")[2], F.lit("none")).cast("long").alias("refers_to"),
+        F.col("request.target_uri").alias("target_uri"))
