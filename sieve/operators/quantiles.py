@@ -12,7 +12,10 @@ fine for a few million distinct values, fatal for a 100 TB column. So:
   search continues inside the brackets only. Every round shrinks the slice by
   about ``accuracy / 4``; once a slice is small its exact value is taken with
   ``percentile_disc``. All work stays in Spark jobs; only a handful of numbers
-  per round reach the driver.
+  per round reach the driver;
+* where ties are so heavy that brackets stop shrinking, the values of the open bracket
+  are counted each (a partial aggregate), range-partitioned, and the rank is found by
+  the partitions' totals and a running sum in the one partition that holds it.
 
 Ranks are 0-based positions in ascending order (NULL and NaN excluded).
 """
@@ -21,10 +24,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieve.session import ensure_checkpoint_dir
+from sieve.staging import stage
 
 DISTINCT_LIMIT = 2_000_000
 ACCURACY = 20_000
@@ -118,7 +122,7 @@ def order_statistics(values: DataFrame, ranks: list[int], n: int | None = None,
             elif accuracy < MAX_ACCURACY:
                 accuracy = min(MAX_ACCURACY, accuracy * 8)  # heavy ties: a finer sketch
             else:
-                raise RuntimeError("order statistics: bracket does not shrink")
+                result[r] = by_counts(values.filter(_between(lo, hi)), k)
         if narrowed and checkpoint_slices:
             # Later rounds only need the values inside the brackets (about
             # 4n/accuracy of them): write that slice to the shared checkpoint
@@ -131,21 +135,37 @@ def order_statistics(values: DataFrame, ranks: list[int], n: int | None = None,
                     inside_any = t_ if inside_any is None else inside_any | t_
                 ensure_checkpoint_dir(values.sparkSession)
                 values = values.filter(inside_any).checkpoint(eager=True)
-    missing = [r for r in ranks if r not in result]
-    if missing:
-        raise RuntimeError(f"order statistics did not converge for ranks {missing}")
+    for r in ranks:
+        if r not in result:
+            lo, hi, k, _, _ = state[r]
+            result[r] = by_counts(values.filter(_between(lo, hi)), k)
     return result
 
 
+def by_counts(values: DataFrame, rank: int) -> float:
+    """The value at ``rank``, whatever the ties and however many distinct values: a row per partition reaches the driver, and one task
+    sorts the distinct values of one partition."""
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    placed = stage(counts.repartitionByRange("v").withColumn("cell", F.spark_partition_id()), "value-counts")
+    before = 0
+    for cell in sorted(placed.groupBy("cell").agg(F.sum("c").alias("c")).collect(), key=lambda r: r["cell"]):
+        if rank < before + cell["c"]:
+            upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+            mine = placed.where(F.col("cell") == cell["cell"]).select("v", upto.alias("upto"))
+            return float(mine.where(F.col("upto") > rank - before).agg(F.min("v")).first()[0])
+        before += cell["c"]
+    raise ValueError("rank out of range")
+
+
 def _between(lo, hi) -> Column:
     if lo is None:
         return F.lit(True)
     return (F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi))
 
 
-def quantiles_cont(values: DataFrame, probs: list[float], **kw) -> tuple[list[float], int]:
-    """Interpolated quantiles (``percentile_cont``), exact, plus n."""
-    n, d = count_and_distinct(values)
+def quantiles_cont(values: DataFrame, probs: list[float], counted: tuple[int, int] | None = None, **kw) -> tuple[list[float], int]:
+    """Interpolated quantiles (``percentile_cont``), exact, plus n. ``counted``: values and distinct values (about), should they be known."""
+    n, d = counted or count_and_distinct(values)
     if n == 0:
         return [None] * len(probs), 0
     need = []
