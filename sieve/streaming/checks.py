@@ -4,10 +4,11 @@
   of the row predicates it fails); ``foreachBatch`` splits good and bad rows
   into two datasets.
 * T2 ``windowed_trend``: G6 per event-time window with a watermark.
-* T3 ``stream_orphans``: stream-static ``left_anti`` against a parent table.
+* T3 ``stream_orphans``: stream-static ``left_anti`` against a parent table;
+  ``late_parent_orphans``: stream-stream, for parents that arrive after their children.
 * T4 ``batch_duplicates`` (D1 per micro-batch), ``run_excess`` (D1 over all
-  batches: rows in - distinct keys) and ``drop_repeats`` (repeats within the
-  watermark removed).
+  batches: rows in - distinct keys, with a horizon that bounds what is kept) and
+  ``drop_repeats`` (repeats within the watermark removed).
 
 Streams here read a file source; on a cluster the same code takes Kafka or
 any other streaming source. Checkpoints and outputs go under the shared
@@ -16,6 +17,8 @@ any other streaming source. Checkpoints and outputs go under the shared
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,29 +125,99 @@ def run_batch_duplicates(spark: SparkSession, stream: DataFrame, keys: list[str]
     return q, path
 
 
+def late_parent_orphans(child: DataFrame, column: str, child_ts: str, parent: DataFrame, parent_column: str, parent_ts: str,
+                        before: str = "1 day", after: str = "1 day", watermark: str = "1 hour") -> DataFrame:
+    """T3 (both sides streams): child rows with no parent row of their key from ``before`` ahead of them until ``after`` they came, by event time.
+
+    An outer join with watermarks on both sides: a child is kept as state until the parents' watermark says that none can come any more, and
+    is emitted once if none did; a parent that is late, but within ``after``, clears it. State on either side expires with the
+    watermarks, so it is bounded by the time span. Rows later than ``watermark`` are dropped, children without a key are no orphans."""
+    c = event_time(child.filter(F.col(column).isNotNull()), child_ts).withWatermark(child_ts, watermark)
+    p = event_time(parent.filter(F.col(parent_column).isNotNull()), parent_ts)
+    p = p.select(F.col(parent_column).alias("__pk"), F.col(parent_ts).alias("__pt")).withWatermark("__pt", watermark)
+    near = (F.col("__pt") >= F.col(child_ts) - F.expr(f"INTERVAL {before}")) & (F.col("__pt") <= F.col(child_ts) + F.expr(f"INTERVAL {after}"))
+    return c.join(p, (c[column] == p["__pk"]) & near, "left_outer").where(F.col("__pk").isNull()).drop("__pk", "__pt")
+
+
+_TOTALS = "version bigint, rows bigint, keys bigint, newest timestamp"
+
+
+def _version(path: str, version: int) -> tuple[str, str]:
+    return f"{path}/v={version}/keys", f"{path}/v={version}/totals"
+
+
+def _stored(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    store, target = _stored(spark, path)
+    store.delete(target, True)
+
+
 def run_excess(spark: SparkSession, stream: DataFrame, keys: list[str], out_dir: str | None = None,
-               checkpoint: str | None = None):
-    """T4 (across batches): rows per key so far, kept as state. Each batch writes the keys it has changed with
-    their new counts; ``excess_summary`` reads the last count of each key. Returns (query, path)."""
+               checkpoint: str | None = None, ts_column: str | None = None, horizon: str | None = None):
+    """T4 (across batches): excess rows over all batches, from a compacted table of rows per key. Returns (query, path); ``excess_summary``
+    reads it.
+
+    Each batch replaces the table by a new version: its own counts are added, and keys whose last row is more than ``horizon`` older (by
+    ``ts_column``) than the newest row so far are closed, that is, added to the totals and dropped. So the table holds the keys of one
+    horizon at most, a key that comes again later begins anew, and nothing has to be read but the last version. Without a horizon every key is kept.
+
+    A batch that is run again after a failure reads the version before its own and overwrites its own; older versions are removed.
+    Rows without a time do not hold a key open."""
+    if (ts_column is None) != (horizon is None):
+        raise ValueError("a horizon needs ts_column, and ts_column a horizon")
     out_dir = out_dir or _new_dir(spark, "excess")
     checkpoint = checkpoint or f"{out_dir}/_checkpoint"
     path = f"{out_dir}/counts"
-    counts = stream.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
+    seen = F.col(ts_column).cast("timestamp") if ts_column else F.lit(None).cast("timestamp")
+    empty_keys, empty_totals = _version(path, -1)
+    nothing = spark.createDataFrame([], stream.select(*keys).schema)
+    nothing = nothing.withColumns({"__rows": F.lit(0).cast("bigint"), "__last": F.lit(None).cast("timestamp")})
+    store, target = _stored(spark, path)
+    if not store.exists(target):  # the start; a restarted stream finds its last version
+        nothing.write.parquet(empty_keys)
+        spark.createDataFrame([(-1, 0, 0, None)], _TOTALS).write.parquet(empty_totals)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")), path)
+        session = batch.sparkSession
+        old_keys, old_totals = _version(path, batch_id - 1)
+        new_keys, new_totals = _version(path, batch_id)
+        old = session.read.schema(nothing.schema).parquet(old_keys)
+        fresh = batch.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("__rows"), F.max(seen).alias("__last"))
+        merged = old.unionByName(fresh).groupBy(*keys).agg(F.sum("__rows").alias("__rows"), F.max("__last").alias("__last"))
+        merged = merged.persist(StorageLevel.MEMORY_AND_DISK)  # read twice; recomputed from files if lost
+        try:
+            before = session.read.schema(_TOTALS).parquet(old_totals).first()
+            newest = max((x for x in (before["newest"], merged.agg(F.max("__last")).first()[0]) if x is not None), default=None)
+            open_ = F.lit(True) if horizon is None else F.coalesce(F.col("__last") >= F.lit(newest) - F.expr(f"INTERVAL {horizon}"), F.lit(False))
+            closed = merged.where(~open_).agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias("r"), F.count(F.lit(1)).alias("k")).first()
+            merged.where(open_).write.mode("overwrite").parquet(new_keys)
+        finally:
+            merged.unpersist()
+        row = (batch_id, before["rows"] + closed["r"], before["keys"] + closed["k"], newest)
+        session.createDataFrame([row], _TOTALS).coalesce(1).write.mode("overwrite").parquet(new_totals)  # last: the version counts from here on
+        _delete(session, f"{path}/v={batch_id - 2}")
 
-    q = (counts.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     return q, path
 
 
 def excess_summary(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """rows_in, rows_out (distinct keys) and violation_count = rows in - rows out, over all batches written so far."""
-    last = spark.read.parquet(path).groupBy(*keys).agg(F.max("rows").alias("rows"))
-    return last.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("rows_in"),
-                    F.count(F.lit(1)).cast("bigint").alias("rows_out"),
-                    F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).cast("bigint").alias("violation_count"))
+    """rows_in, rows_out (keys, counted again after a horizon without them) and violation_count = rows in - rows out, over all batches so far."""
+    totals = max(spark.read.schema(_TOTALS).parquet(f"{path}/*/totals").collect(), key=lambda r: r["version"])  # two versions at most
+    live = spark.read.parquet(_version(path, totals["version"])[0])
+    rows = (F.coalesce(F.sum("__rows"), F.lit(0)) + totals["rows"]).cast("bigint")
+    groups = (F.count(F.lit(1)) + totals["keys"]).cast("bigint")
+    return live.agg(rows.alias("rows_in"), groups.alias("rows_out"), (rows - groups).alias("violation_count"))
+
+
+def open_keys(spark: SparkSession, path: str) -> int:
+    """How many keys the last version keeps."""
+    totals = max(spark.read.schema(_TOTALS).parquet(f"{path}/*/totals").collect(), key=lambda r: r["version"])
+    return spark.read.parquet(_version(path, totals["version"])[0]).count()
 
 
 def drop_repeats(stream: DataFrame, keys: list[str], ts_column: str, watermark: str = "1 hour") -> DataFrame:
@@ -154,6 +227,19 @@ def drop_repeats(stream: DataFrame, keys: list[str], ts_column: str, watermark:
     return s.dropDuplicatesWithinWatermark(keys)
 
 
+@contextlib.contextmanager
+def state_partitions(spark: SparkSession, n: int):
+    """Streams that are first started inside keep their state in ``n`` partitions (it is fixed with their checkpoint); a stream whose state is
+    small pays for each of them in every batch."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_to_parquet(spark: SparkSession, df: DataFrame, name: str, output_mode: str = "append",
                    out_dir: str | None = None) -> tuple[object, str]:
     """Run a streaming DataFrame to completion on what is available; write Parquet.
