@@ -1152,4 +1152,4 @@ def q1_custom_sql_not_exists(spark, d):
     return Q.custom_sql(spark, _Q1_NOT_EXISTS).violations
 
 
-from sieve.plans import catalog_more  # noqa: E402, F401  (registers further queries)
+from sieve.plans import catalog_more, catalog_state, catalog_tables  # noqa: E402, F401  (register further queries)

@@ -18,13 +18,20 @@ from sieve.operators import duplicates as D
 from sieve.operators import outliers as O
 from sieve.operators import patterns as PT
 from sieve.operators import ranges as N
+from sieve.operators import nested as NE
+from sieve.operators import reconcile as RC
 from sieve.operators import referential as R
+from sieve.operators import temporal as TM
 from sieve.operators.base import Outcome
 
 SEVERITIES = ("critical", "high", "medium", "low")
 SEVERITY_RANK = {s: i for i, s in enumerate(SEVERITIES)}  # 0 = most severe
 
 
+#: Where a suite leaves what it already knows of an outlier rule's column.
+STATISTICS = "__statistics"
+
+
 class RuleError(ValueError):
     """A rule file that cannot be run at all (missing name/type/severity...)."""
 
@@ -128,7 +135,7 @@ def _pattern(spark, tables, rule):
 def _outliers(spark, tables, rule):
     df = _table(tables, rule)
     _columns_exist(df, [rule["column"]])
-    kw = {}
+    kw = {"statistics": rule.get(STATISTICS)}
     if rule.get("quartiles"):
         kw["quartiles"] = rule["quartiles"]
     return O.outliers(df, rule["column"], rule.get("method", "zscore"), rule.get("threshold"),
@@ -173,6 +180,37 @@ def _child_after_parent(spark, tables, rule):
                                       rule["parent_date"], _condition(rule, "parent_filter"))
 
 
+def _pairs(value) -> list[tuple[str, str]]:
+    """Join columns: a name both tables have, a pair of names, or a list of either."""
+    items = [value] if isinstance(value, str) else list(value)
+    return [(c, c) if isinstance(c, str) else tuple(c) for c in items]
+
+
+def _state_at_event(spark, tables, rule):
+    df, states = _table(tables, rule), _table(tables, rule, "state_table")
+    on = _pairs(rule["on"])
+    _columns_exist(df, [a for a, _ in on] + [rule["time"]])
+    _columns_exist(states, [b for _, b in on] + [rule["state_time"], *rule["state_columns"]])
+    return TM.state_at_event(df, states, on, (rule["time"], rule["state_time"]), rule["state_columns"], rule["violation"],
+                             strict=rule.get("strict", False), within=rule.get("within"), tie=rule.get("tie"))
+
+
+def _overlap(spark, tables, rule):
+    df = _table(tables, rule)
+    _columns_exist(df, [*rule["keys"], rule["start"], rule["end"]])
+    return TM.overlaps(df, list(rule["keys"]), rule["start"], rule["end"], inclusive=rule.get("inclusive", False))
+
+
+def _reconciliation(spark, tables, rule):
+    return RC.reconcile(_table(tables, rule), _table(tables, rule, "reference_table"), rule.get("columns"))
+
+
+def _nested_completeness(spark, tables, rule):
+    df = _table(tables, rule)
+    _columns_exist(df, rule["columns"])
+    return NE.nested_completeness(df, list(rule["columns"]), rule.get("paths"), rule.get("check_empty_strings", True))
+
+
 for _t, _fn, _need in (
     ("completeness", _completeness, ("table", "columns")),
     ("referential_integrity", _referential, ("table", "column", "reference_table", "reference_column")),
@@ -190,6 +228,10 @@ for _t, _fn, _need in (
     ("inactive_parents", _inactive_parents, ("table", "key", "child_table", "child_key")),
     ("child_after_parent", _child_after_parent,
      ("table", "child_key", "child_date", "parent_table", "parent_key", "parent_date")),
+    ("state_at_event", _state_at_event, ("table", "on", "time", "state_table", "state_time", "state_columns", "violation")),
+    ("overlap", _overlap, ("table", "keys", "start", "end")),
+    ("reconciliation", _reconciliation, ("table", "reference_table")),
+    ("nested_completeness", _nested_completeness, ("table", "columns")),
 ):
     register_check(_t, _fn, _need)
 

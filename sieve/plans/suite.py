@@ -9,6 +9,8 @@ Planning:
   N scans (E6). If a fused aggregate fails, its rules are re-run singly so a
   broken rule cannot take the others down (E4);
 * other rules run their own one-row summary aggregate;
+* the statistics of all outlier rules of a table are taken together, in one pass
+  (``operators.column_stats``);
 * only failing rules pay for a second, bounded job: a sample of at most
   ``sample_size`` violating rows, plus (referential) the first 20 orphan keys
   or (duplicates) the 10 largest groups and the first member rows by key.
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieve.operators.base import Outcome
+from sieve.operators.column_stats import column_statistics
 from sieve.plans.fused import fused_counts
-from sieve.plans.rules import SEVERITY_RANK, compile_rule, validate_rules
+from sieve.plans.rules import SEVERITY_RANK, STATISTICS, compile_rule, validate_rules
 from sieve.sources.tables import register_views
 
 DEFAULT_SETTINGS = {"sample_size": 5, "stop_on_critical": False, "fuse": True,
@@ -127,14 +130,42 @@ def _pmap(spark: SparkSession, settings: dict, fn, items: list, label) -> list:
         return list(pool.map(run, items))
 
 
+def _shared_statistics(spark: SparkSession, tables: dict, rules: list[dict], settings: dict) -> dict[tuple[str, str], dict]:
+    """(table, column) -> statistics for the outlier rules that use moments or interpolated quartiles, one pass for each table.
+    A table where that fails is left out: its rules take their own, and those that cannot fail alone (E4)."""
+    wanted: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
+    for rule in rules:
+        if str(rule["type"]).lower() != "outliers" or rule.get("table") not in tables or rule.get("column") not in tables[rule["table"]].columns:
+            continue
+        method = str(rule.get("method") or "zscore").lower()
+        if method == "zscore":
+            wanted[rule["table"]][0].add(rule["column"])
+        elif method in ("iqr", "iqr_cont") and rule.get("quartiles", "cont") == "cont":
+            wanted[rule["table"]][1].add(rule["column"])
+
+    def one(table):
+        try:
+            found = column_statistics(tables[table], sorted(wanted[table][0]), sorted(wanted[table][1]))
+        except Exception:  # noqa: BLE001 - the rules find out one by one
+            return {}
+        return {(table, column): stats for column, stats in found.items()}
+
+    found: dict[tuple[str, str], dict] = {}
+    for part in _pmap(spark, settings, one, sorted(wanted), lambda t: f"statistics of {t}"):
+        found |= part
+    return found
+
+
 def _evaluate(spark: SparkSession, tables: dict, rules: list[dict], settings: dict,
               outcomes: dict) -> dict[str, dict]:
     results: dict[str, dict] = {}
+    statistics = _shared_statistics(spark, tables, rules, settings) if settings.get("fuse", True) else {}
 
     def compile_one(rule):
         t0 = time.perf_counter()
+        known = statistics.get((rule.get("table"), rule.get("column")))
         try:
-            return rule, compile_rule(spark, tables, rule), (time.perf_counter() - t0) * 1e3, None
+            return rule, compile_rule(spark, tables, {**rule, STATISTICS: known} if known else rule), (time.perf_counter() - t0) * 1e3, None
         except Exception as e:  # noqa: BLE001 - E4: one failed result, run continues
             return rule, None, (time.perf_counter() - t0) * 1e3, e
 
