@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sieve.staging import release_staged, scratch_path, stage
 
-__all__ = ["as_uri", "attempt_name", "buckets_for", "forget_kept", "join_staged", "kept_in_worker", "open_input", "open_output", "release_staged", "scratch_path", "ship_package", "stage"]
+__all__ = ["as_uri", "attempt_name", "buckets_for", "forget_kept", "join_staged", "kept_in_worker", "lean", "open_input", "open_output", "release_memory", "release_staged", "scratch_path", "ship_package", "stage"]
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -52,6 +52,30 @@ def forget_kept() -> None:
     _KEPT.clear()
 
 
+def release_memory() -> None:
+    """Give what this worker has freed back to the system, so that it does not stand beside the JVM's later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(task: Callable) -> Callable:
+    """A task function for ``mapInArrow`` that releases memory when it ends."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def join_staged(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join ``rows`` with a staged table that has one row per key.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieve.llm.common import buckets_for, stage
+from sieve.llm.common import buckets_for, lean, release_memory, stage
 from sieve.llm.tokens import Encoder, default_tokenizer, slices, with_end
 
 PIECES = "uid long, doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary"
@@ -41,23 +41,32 @@ def cut_pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int =
         from pyspark import TaskContext
 
         encoder, uid = Encoder.of(tokenizer), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for at, rows in slices(batch.column(1)):
-                ids, sizes = with_end(*encoder.encode(batch.column(1).slice(at, rows)), end_id)
-                raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(sizes)
-                pieces = -(-sizes // capacity)
-                doc = np.repeat(np.arange(rows), pieces)
-                start = capacity * (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-                length = np.minimum(sizes[doc] - start, capacity)
-                begin = (ends - sizes)[doc] + start
-                parts = [raw[4 * a:4 * (a + n)] for a, n in zip(begin.tolist(), length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(uid + np.arange(len(doc))), batch.column(0).slice(at, rows).take(pa.array(doc)),
-                    pa.array(start), pa.array(length.astype(np.int32)), pa.array([zlib.crc32(p) for p in parts], pa.int64()),
-                    pa.array(sizes[doc].astype(np.int64)),
-                    pa.array([bytes(p) if keep_ids or len(p) < 4 * capacity else None for p in parts], pa.binary()),
-                ], names=["uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-                uid += len(doc)
+        try:
+            for batch in batches:
+                for made in cut_batch(batch, encoder, uid):
+                    uid += made.num_rows
+                    yield made
+        finally:  # a later stage need not stand beside this one's pieces
+            encoder.rest()
+            release_memory()
+
+    def cut_batch(batch: pa.RecordBatch, encoder: Encoder, uid: int) -> Iterator[pa.RecordBatch]:
+        for at, rows in slices(batch.column(1)):
+            ids, sizes = with_end(*encoder.encode(batch.column(1).slice(at, rows)), end_id)
+            raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(sizes)
+            pieces = -(-sizes // capacity)
+            doc = np.repeat(np.arange(rows), pieces)
+            start = capacity * (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            length = np.minimum(sizes[doc] - start, capacity)
+            begin = (ends - sizes)[doc] + start
+            parts = [raw[4 * a:4 * (a + n)] for a, n in zip(begin.tolist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(uid + np.arange(len(doc))), batch.column(0).slice(at, rows).take(pa.array(doc)),
+                pa.array(start), pa.array(length.astype(np.int32)), pa.array([zlib.crc32(p) for p in parts], pa.int64()),
+                pa.array(sizes[doc].astype(np.int64)),
+                pa.array([bytes(p) if keep_ids or len(p) < 4 * capacity else None for p in parts], pa.binary()),
+            ], names=["uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+            uid += len(doc)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(cut, PIECES)
@@ -186,7 +195,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = 1024,
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids]
     schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names)
-    return numbered(pieces, sum(histogram.values())).mapInArrow(place, schema)
+    return numbered(pieces, sum(histogram.values())).mapInArrow(lean(place), schema)
 
 
 def sequences(packed: DataFrame, capacity: int = 1024) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieve.llm.common import as_uri, attempt_name, open_input, open_output, scratch_path, stage
+from sieve.llm.common import as_uri, attempt_name, lean, open_input, open_output, release_memory, scratch_path, stage
 from sieve.llm.tokens import BATCH_BYTES, Encoder, default_tokenizer, slices, with_end
 
 MAGIC = b"TOK8"
@@ -232,27 +232,32 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str | None = Non
             return pa.RecordBatch.from_pylist([{"uri": uri, "first_doc": first, "n_docs": n_docs, "n_tokens": n_tokens,
                                                 "part": part, "file": made}], schema=schema)
 
-        for batch in batches:
-            for at, rows in slices(batch.column(1), min(BATCH_BYTES, 2 * file_tokens)):
-                if writer is None:
-                    uri = f"{root}/{attempt_name('tokens', f'-{made:05d}.tok8')}"
-                    writer, held, first = TokenWriter(open_output(uri)), 0, batch.column(0)[at].as_py()
-                ids, sizes = with_end(*encoder.encode(batch.column(1).slice(at, rows)), end_id)
-                writer.add(batch.column(0).slice(at, rows), ids, sizes)
-                held += len(ids)
-                if held >= file_tokens:
-                    yield done()
-                    writer, made = None, made + 1
-        if writer is not None:
-            yield done()
+        try:
+            for batch in batches:
+                for at, rows in slices(batch.column(1), min(BATCH_BYTES, 2 * file_tokens)):
+                    if writer is None:
+                        uri = f"{root}/{attempt_name('tokens', f'-{made:05d}.tok8')}"
+                        writer, held, first = TokenWriter(open_output(uri)), 0, batch.column(0)[at].as_py()
+                    ids, sizes = with_end(*encoder.encode(batch.column(1).slice(at, rows)), end_id)
+                    writer.add(batch.column(0).slice(at, rows), ids, sizes)
+                    held += len(ids)
+                    if held >= file_tokens:
+                        yield done()
+                        writer, made = None, made + 1
+            if writer is not None:
+                yield done()
+        finally:
+            encoder.rest()
+            release_memory()
 
     schema = pa.schema([("uri", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
                         ("part", pa.int32()), ("file", pa.int32())])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    # Repeated ids are cut apart by text hash, so that no range holds more than its share.
-    ordered = (rows.withColumn("h", F.xxhash64("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h"))
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("h")).select("doc_id", "text"))
+    # Repeated ids are cut apart by text hash, repeated rows by their place in the input, so that no range holds more than its share.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("row")]
+    rows = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = stage(ordered.mapInArrow(write, MANIFEST), "token-manifest")
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file, not per document
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -283,7 +288,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     files = manifest.select("uri", "start")
     dealt = files.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -4,15 +4,16 @@ A byte-level BPE splits text into pre-tokens and encodes each on its own. A pre-
 spans the place before a single space that has a visible character on both sides, nor
 either side of a single line feed between visible characters. So such a text may be
 cut there, each distinct piece encoded once by the ``tokenizers`` library, and the ids
-joined. Texts with any other white space are given to the library whole. Both ways give the
-same ids; the tests compare them.
+joined. Texts with any other white space are given to the library whole. A piece of plain letters is one
+pre-token, so the library's model takes it as it is. All ways give the same ids; the tests compare them.
 
 Special tokens' strings in a text are ordinary text.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,15 @@ import pyarrow.compute as pc
 
 from sieve.llm.common import kept_in_worker
 
-#: Pieces kept per Python worker (about 150 MB); when full, those not met in the last batches go.
-CACHE_PIECES = 800_000
+#: Pieces kept by a task (about 100 MB); when full, those met in fewest batches go.
+CACHE_PIECES = 500_000
 #: Text bytes encoded at once, and pieces given to the library in one string.
 BATCH_BYTES, JOINED = 4 << 20, 20_000
+#: Words that are one pre-token: ASCII letters and those of Latin-1.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: How byte-level tokenizers write a byte that is no printable character: the next code point from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(PRINTABLE))}
 #: White space, as Unicode names it, other than space and line feed; or two in a row; or a space at the end.
 ODD_SPACE = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]{2}| $|^ "
 
@@ -39,16 +45,24 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        probe = ["a", "Word", "ünder", "Éa", "strengthening", "qzxqv"]
+        self.direct = all(self._plain(probe, chr(BYTES[32]) * n) == self._whole([" " * n + w for w in probe]) for n in (0, 1))
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.direct = self.direct and self.tokenizer.normalizer is None and not any(PLAIN(t.content.strip()) for t in added)
         self._reset()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        """One encoder for each Python worker, so that its cache outlives a task."""
+        """One encoder for each Python worker; its tokenizer outlives a task, its cache ``rest`` empties."""
         return kept_in_worker(("encoder", path), lambda: cls(path))
 
+    def rest(self) -> None:
+        """Let go of all pieces."""
+        self._reset()
+
     def _reset(self) -> None:
         self.known: tuple[dict, dict] = ({}, {})  # word -> place, as a piece without and with a space before it
-        self.size, self.used, self.turn = 0, 0, 0
+        self.size, self.used = 0, 0
         self.starts, self.lengths, self.met = (np.zeros(1 << 16, np.int32) for _ in range(3))
         self.flat = np.zeros(1 << 18, np.uint32)
         for piece in ("", "\n"):
@@ -67,7 +81,7 @@ class Encoder:
         self.size, self.used = self.size + n, self.used + total
 
     def _evict(self) -> None:
-        """Start anew with the pieces met last, half of all at most."""
+        """Start anew with the pieces met in most batches, half of all at most; what they were met counts half from now on."""
         met, starts, lengths, flat, known = self.met[:self.size], self.starts, self.lengths, self.flat, self.known
         self._reset()
         least = np.sort(met)[-(CACHE_PIECES // 2):][0]
@@ -78,12 +92,35 @@ class Encoder:
             ends, first = np.cumsum(n), self.size
             total = int(ends[-1]) if len(ends) else 0
             self._add(flat[np.arange(total) + np.repeat(at - (ends - n), n)], n)
+            self.met[first:self.size] = met[place[keep]] // 2
             self.known[spaced].update(zip([words[i] for i in keep.tolist()], range(first, self.size), strict=True))
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, words: list[str], lead: str) -> list[list[int]]:
+        """Ids of words that are one pre-token each, with ``lead`` before them: what the library's model makes of them."""
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(lead + (w if w.isascii() else w.encode().decode("latin-1").translate(BYTES)))] for w in words]
+
+    def _pieces(self, words: list[str], spaced: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and each word's number of them, as a piece without or with a space before it; plain words and others apart."""
+        space, lead = " " * spaced, chr(BYTES[32]) * spaced
+        if not self.direct:
+            return self._joined([space + w for w in words])
+        plain = np.fromiter((w.isalpha() and (w.isascii() or PLAIN(w) is not None) for w in words), bool, len(words))
+        ids = self._plain([words[i] for i in np.flatnonzero(plain).tolist()], lead)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[plain] = [len(x) for x in ids]
+        others = np.zeros(0, np.uint32)
+        if not plain.all():
+            others, sizes[~plain] = self._joined([space + words[i] for i in np.flatnonzero(~plain).tolist()])
+        out, mine = np.zeros(int(sizes.sum()), np.uint32), np.repeat(plain, sizes)
+        out[mine] = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[plain].sum()))
+        out[~mine] = others
+        return out, sizes
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and each piece's number of them. Pieces hold no line feed and do not end in white space, so line feeds between them
         are pre-tokens of their own and tell the pieces' ids apart."""
         feed = self._whole(["\n"])[0]
@@ -106,11 +143,10 @@ class Encoder:
         new = np.flatnonzero(place < 0)
         if len(new):
             missing, first = [words[i] for i in new.tolist()], self.size
-            self._add(*self._pieces([f" {w}" for w in missing] if spaced else missing))
+            self._add(*self._pieces(missing, spaced))
             known.update(zip(missing, range(first, self.size), strict=True))
             place[new] = np.arange(first, self.size)
-        self.turn += 1
-        self.met[place] = self.turn
+        self.met[place] += 1
         return place
 
     def _by_piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
