@@ -15,7 +15,6 @@ result; other columns are not read.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieve.llm.common import forget_kept, kept_in_worker
+from sieve.llm.common import forget_kept, lean, release_memory
 
 ROWS_PER_LANGUAGE = 2000
 #: More labels than this are an error.
@@ -80,7 +79,7 @@ def count_grams(sample: DataFrame) -> pd.DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.string()),
                                               pa.array(rows.values(), pa.int64())], names=["lang", "n", "gram", "times"])
 
-    counts = sample.select("lang", "text").mapInArrow(count, "lang string, n int, gram string, times long")
+    counts = sample.select("lang", "text").mapInArrow(lean(count), "lang string, n int, gram string, times long")
     counts = counts.groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     total = F.sum("times").over(Window.partitionBy("lang", "n")).alias("total")
     place = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("times"), "gram")).alias("place")
@@ -163,13 +162,18 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", rows_per_language: int
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with the struct column ``out`` (lang_pred, score)."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), ("language", uuid.uuid4().hex)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        predictor = kept_in_worker(key, lambda: Predictor(shared.value))
-        for texts in batches:
-            yield pd.DataFrame([predictor.predict(t) for t in texts], columns=["lang_pred", "score"])
+        forget_kept()
+        predictor = Predictor(shared.value)
+        try:
+            for texts in batches:
+                yield pd.DataFrame([predictor.predict(t) for t in texts], columns=["lang_pred", "score"])
+        finally:
+            del predictor
+            release_memory()
 
     return docs.withColumn(out, predict(F.col(text_col).cast("string")))
 

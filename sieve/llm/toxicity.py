@@ -18,7 +18,6 @@ score is the share of toxic rows (0 without any); repeated rows score alike; an
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import forget_kept, kept_in_worker, stage
+from sieve.llm.common import forget_kept, lean, release_memory, stage
 from sieve.llm.langid import bounded_sample, held_out
 
 ROWS = 3000
@@ -77,7 +76,7 @@ def word_odds(sample: DataFrame) -> pd.DataFrame:
                                               pa.array([b[1] for b in both], pa.int64())], names=["word", "n0", "n1"])
 
     totals = sample.agg(F.sum(1 - F.col("toxic")).alias("t0"), F.sum("toxic").alias("t1")).first()
-    counts = sample.select("text", "toxic").mapInArrow(count, "word string, n0 long, n1 long")
+    counts = sample.select("text", "toxic").mapInArrow(lean(count), "word string, n0 long, n1 long")
     counts = counts.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
     n0, n1 = F.col("n0") + 0.5, F.col("n1") + 0.5
     odds = F.log(n1 / (totals["t1"] + 1)) - F.log(n0 / (totals["t0"] + 1))
@@ -111,7 +110,7 @@ def training_windows(sample: DataFrame, judge: dict[str, float] | Network) -> pd
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()),
                                               pa.array([o[2] for o in out], pa.float64())], names=["words", "toxic", "weight"])
 
-    found = sample.select("text", "toxic", "weight").mapInArrow(cut, "words string, toxic int, weight double")
+    found = sample.select("text", "toxic", "weight").mapInArrow(lean(cut), "words string, toxic int, weight double")
     return found.distinct().toPandas().sort_values(["words", "toxic"])
 
 
@@ -351,18 +350,23 @@ def train(labelled: DataFrame) -> Network | float:
 
 def score(docs: DataFrame, network: Network | float, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the column ``out``, the probability that a text is toxic."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(network), ("toxicity", uuid.uuid4().hex)
+    shared = docs.sparkSession.sparkContext.broadcast(network)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget_kept()
         net = shared.value
-        scorer = None if isinstance(net, float) else kept_in_worker(key, lambda: Scorer(net))
-        for texts in batches:
-            if scorer is None:
-                yield pd.Series(np.full(len(texts), net))
-            else:
-                parts = [scorer.score(texts.iloc[at:at + TEXTS].tolist()) for at in range(0, len(texts), TEXTS)]
-                yield pd.Series(np.concatenate([np.zeros(0), *parts]))
+        scorer = None if isinstance(net, float) else Scorer(net)
+        try:
+            for texts in batches:
+                if scorer is None:
+                    yield pd.Series(np.full(len(texts), net))
+                else:
+                    parts = [scorer.score(texts.iloc[at:at + TEXTS].tolist()) for at in range(0, len(texts), TEXTS)]
+                    yield pd.Series(np.concatenate([np.zeros(0), *parts]))
+        finally:
+            del scorer
+            release_memory()
 
     return docs.withColumn(out, run(F.col(text_col).cast("string")))
 

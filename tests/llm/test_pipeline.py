@@ -83,3 +83,51 @@ def test_every_token_is_packed_once(steps):
 def test_run(spark, steps):
     got = C.run(spark, SF_SMALL)
     assert got.columns == steps[5].columns and got.count() == steps[5].count()
+
+
+def written(spark, docs, labels):
+    from sieve.llm.common import scratch_path
+
+    path = scratch_path(spark, "pipeline-input")
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_run_over_awkward_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows and ids, columns with clashing names."""
+    from llm_data import awkward
+
+    docs = awkward(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, 1), (None, 0, 1), (6, 0, None), (8, 1, 0), (8, 0, 1)], "doc_id long, quality int, toxic int")
+    path = written(spark, docs, labels)
+    current, seen = spark.read.parquet(f"{path}/documents.parquet"), []
+    for name, step in C.STAGES[:-1]:
+        current = stage(step(spark, current, path), name)
+        assert current.columns == docs.columns, name
+        seen.append({str(r["doc_id"]): r["text"] for r in current.collect()})
+    assert all(any(c.isalpha() for c in t) for t in seen[1].values())  # null, empty and blank texts have no language
+    assert all(set(b) <= set(a) for a, b in zip(seen, seen[1:], strict=False))
+    pieces = C.run(spark, path).collect()
+    assert {str(p["doc_id"]) for p in pieces} == set(seen[3])
+
+
+def test_run_over_empty_tables(spark):
+    from llm_data import empty
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    path = written(spark, empty(spark), labels)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, step in C.STAGES[:-1]:
+        assert step(spark, docs, path).collect() == [], name
+    assert C.run(spark, path).collect() == []
+
+
+def test_a_run_keeps_only_its_stages(spark):
+    from sieve import staging
+
+    with staging.staged_job(spark) as paths:
+        C.run(spark, SF_SMALL).count()
+        kept = [p.rsplit("/", 1)[1] for p in paths]
+        assert [k.rsplit("-", 1)[0] for k in kept if k.startswith("pipeline-")] == [f"pipeline-{n}" for n, _ in C.STAGES[:-1]]
+        assert not any(k.startswith(("ball-links", "fingerprints", "mix-", "toxicity")) for k in kept)
