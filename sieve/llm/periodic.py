@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import forget_kept
+from sieve.llm.common import forget_kept, lean
 from sieve.llm.tokens import slices
 
 #: Words of the shingles whose recurrence is tested; runs of 3 periods and 24 words allow nine at most.
@@ -207,7 +207,7 @@ def text_runs(docs: DataFrame, *, least: int = 24, times: int = 3, id_col: str =
 
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(find, f"doc_id long, n_words long, runs {RUNS}, collapsed string")
+    return rows.mapInArrow(lean(find), f"doc_id long, n_words long, runs {RUNS}, collapsed string")
 
 
 def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:

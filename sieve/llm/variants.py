@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import forget_kept, join_staged, stage
+from sieve.llm.common import forget_kept, join_staged, lean, stage
 
 #: Classes of code points: by remainder, which tells a-z and most of Latin-1 apart.
 CLASSES = 96
@@ -78,7 +78,7 @@ def letter_runs(docs: DataFrame, *, least: int = 7, id_col: str = "doc_id", text
             yield out()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def groups_for(words: int) -> int:
@@ -239,7 +239,7 @@ def near_words(words: DataFrame, rows: int, *, tile: int = TILE, groups: int | N
                             pa.array(theirs.n[best].astype(np.int64))], names=["word", "n_near", "near", "near_n"])
 
     dealt = dealt.select(((F.col("a") == F.col("b")) & (F.col("s") == F.col("t"))).alias("same"), *[f"{c}_{k}" for c in ("length", "codes", "n") for k in "ab"])
-    found = dealt.mapInArrow(compare, "word string, n_near long, near string, near_n long")
+    found = dealt.mapInArrow(lean(compare), "word string, n_near long, near string, near_n long")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near")))
     found = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best"))
     return found.select("word", "n_near", F.col("best.near").alias("near"), (-F.col("best.less")).alias("near_n"))
