@@ -146,3 +146,39 @@ def test_recall_on_the_embeddings(spark):
         hits.append(len(found[ids[q]] & set(ids[np.argsort(-score)[:20]].tolist())) / 20)
         assert len(found[ids[q]]) == 20
     assert np.mean(hits) >= 0.9
+
+
+def test_tiles_no_query_reaches_get_no_vectors(spark, monkeypatch):
+    """Clustered vectors: pairs of tiles are dropped by their pivot intervals before vectors are attached."""
+    monkeypatch.setattr(T, "ROW_TILE", 50)
+    monkeypatch.setattr(T, "QUERY_TILE", 4)
+    monkeypatch.setattr(T, "DIRECTORY", 8)
+    written = {}
+    plain = T.stage
+    monkeypatch.setattr(T, "stage", lambda df, name: written.setdefault(name, plain(df, name)))
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((16, 12)), 120, axis=0) + 0.01 * rng.standard_normal((1920, 12))
+    df = spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(x.astype(np.float32).astype(float))], SCHEMA)
+    good = {i: np.floor(1024 * np.float32(v).astype(float)) for i, v in enumerate(x)}
+    assert rows_of(T.scaled_topk(df, k=5, every=40)) == brute(good, 40, 5, lambda a, b: int(a @ b))
+    rows, queries, pairs = (written[n].count() for n in ("row-tiles", "query-tiles", "reached-tiles"))
+    assert rows > 30 and queries > 10 and pairs < 0.5 * rows * queries
+
+
+@pytest.mark.parametrize("kind", ["clustered", "uneven"])
+def test_recall_on_other_shapes(spark, kind):
+    rng = np.random.default_rng(6)
+    if kind == "clustered":
+        x = np.repeat(rng.standard_normal((30, 32)), 40, axis=0) + 0.3 * rng.standard_normal((1200, 32))
+    else:
+        x = rng.standard_normal((1200, 32)) * np.exp(0.3 * rng.standard_normal(1200))[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    found = {}
+    for r in A.nearest(rows, rows.where("id % 30 = 0"), 20).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = []
+    for q in range(0, 1200, 30):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits.append(len(found[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert np.mean(hits) >= (0.99 if kind == "clustered" else 0.85)
