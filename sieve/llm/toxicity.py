@@ -31,7 +31,7 @@ from sieve.llm.langid import bounded_sample, held_out
 
 ROWS = 3000
 VOCABULARY = 20_000
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 8
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 6, 4096
 ROUNDS = 3
 #: One sampled document in FOLDS is kept from the fit and sets where a score of 0.5 lies, by at most SHIFT and half the log odds of the labels.
