@@ -87,15 +87,17 @@ def _keyed_rows(df: DataFrame, columns: list[str], case_sensitive: bool, ignore_
 
 
 def duplicate_members(df: DataFrame, columns: list[str], case_sensitive: bool = True,
-                      ignore_null: bool = True, shuffle: bool = False) -> DataFrame:
+                      ignore_null: bool = True, shuffle: bool = False, prefilter: bool | None = None) -> DataFrame:
     """D3: every row of every duplicated group, with ``group_size`` (an underscore is added if the table has such a column).
 
-    A join back to the duplicated groups, which are computed once and written (see ``operators.skew``)."""
+    A join back to the duplicated groups, which are computed once and written (see ``operators.skew``); rows that are surely in none
+    need not be shuffled (``prefilter``)."""
     size = free_name(df, "group_size")
     g = _groups_keyed(df, columns, case_sensitive, ignore_null).withColumnRenamed("duplicate_count", size)
     keyed = _keyed_rows(df, columns, case_sensitive, ignore_null)
     on = list(zip(_names(columns, "r"), _names(columns), strict=True))
-    return join_groups(keyed, g, on, "inner", null_safe=not ignore_null, shuffle=shuffle).select(*df.columns, size)
+    return join_groups(keyed, g, on, "inner", null_safe=not ignore_null, shuffle=shuffle,
+                       prefilter=prefilter).select(*df.columns, size)
 
 
 def _with_top(df: DataFrame, tops: DataFrame, columns: list[str], case_sensitive: bool, ignore_null: bool) -> DataFrame:

@@ -86,7 +86,7 @@ def row_changes(left: DataFrame, right: DataFrame, keys: list[str], columns: lis
     over = stage(over, "left-over")
     per_key = over.groupBy(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)]).agg(
         F.sum(F.greatest("__n", F.lit(0))).alias("__gone"), F.sum(F.greatest(-F.col("__n"), F.lit(0))).alias("__new"))
-    judged = join_groups(over, per_key, [(k, f"__g{i}") for i, k in enumerate(keys)], "inner", null_safe=True)
+    judged = join_groups(over, per_key, [(k, f"__g{i}") for i, k in enumerate(keys)], "inner", null_safe=True, prefilter=False)  # every row has a group
     pair = (F.col("__gone") == 1) & (F.col("__new") == 1)
     row = F.struct(*rest) if rest else F.struct(F.lit(None).alias("none"))
     before, after = (F.when(F.col("__n") > 0, row), F.when(F.col("__n") < 0, row))

@@ -34,6 +34,23 @@ def r1_orphans_split(spark, d):
     return out.violations
 
 
+@register("r1_orphans_prefiltered", f"""
+SELECT o.* FROM {_HOT_ORDERS_SQL} o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)""")
+def r1_orphans_prefiltered(spark, d):
+    """The plan for large parents, with Bloom filters before both of its shuffles."""
+    return R.orphans(_hot_orders(spark, d), "o_custkey", _t(spark, d, "customer"), "c_custkey", allow_null=False, broadcast_limit=0, prefilter=True).violations
+
+
+@register("r3_orphan_keys_of_many_parents", """
+SELECT s.ps AS s_nationkey, CAST(count(*) AS BIGINT) AS rows FROM (SELECT s_suppkey * 1000 + s_nationkey AS ps FROM supplier) s
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = s.ps) GROUP BY s.ps""")
+def r3_orphan_keys_of_many_parents(spark, d):
+    """Few child keys, many parent rows: parents that no child refers to are dropped before they are shuffled."""
+    child = _t(spark, d, "supplier").select((F.col("s_suppkey") * 1000 + F.col("s_nationkey")).cast("long").alias("s_nationkey"))
+    parent = _t(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("l_orderkey"))
+    return R.orphan_keys(child, "s_nationkey", parent, "l_orderkey", prefilter=True)
+
+
 @register("r5_multi_parent_split", _c.ORACLE["r5_multi_parent_orphans"])
 def r5_multi_parent_split(spark, d):
     return _c._multi_parent(spark, d, broadcast_limit=0).violations
@@ -59,6 +76,16 @@ def d3_members_split(spark, d):
     return D.duplicate_members(rows, ["k", "l_linenumber"], shuffle=True)
 
 
+@register("d3_members_prefiltered", """
+WITH g AS (SELECT l_partkey, l_suppkey, l_quantity, CAST(count(*) AS BIGINT) AS group_size FROM lineitem
+           WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL AND l_quantity IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
+SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, g.group_size FROM lineitem l JOIN g USING (l_partkey, l_suppkey, l_quantity)""")
+def d3_members_prefiltered(spark, d):
+    """Rows that are in no duplicated group are dropped by a Bloom filter of the groups before the join back shuffles."""
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return D.duplicate_members(rows, ["l_partkey", "l_suppkey", "l_quantity"], shuffle=True, prefilter=True)
+
+
 @register("d3_members_documents_text", """
 SELECT d.doc_id, g.group_size FROM documents d
 JOIN (SELECT text, CAST(count(*) AS BIGINT) AS group_size FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1) g
