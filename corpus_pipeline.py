@@ -28,8 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: no letter, or no word of which the model knows as much as a letter."""
-    return langid.drop_unidentified(docs, langid.train(docs.where(~langid.held_out(4, 2))))
+    """The language of each whole text is predicted; it becomes the document's ``lang`` where that is null. Documents without a
+    language go: no letter, or no word of which the model knows as much as a letter."""
+    return langid.drop_unidentified(docs, langid.train(docs.where(~langid.held_out(4, 2))), lang_col="lang")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,10 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def has_letter(word: str) -> bool:
+    return any(c.isalpha() for c in word)
+
+
 def grams_of(word: str, n: int) -> list[str]:
     marked = f"<{word}>" if n > 1 else word
     return [marked[i:i + n] for i in range(len(marked) - n + 1)]
@@ -117,7 +121,9 @@ class Model:
         return 0, []
 
     def word(self, word: str) -> np.ndarray:
-        n, rows = self.rows(word)
+        return self.score(*self.rows(word))
+
+    def score(self, n: int, rows: list[int]) -> np.ndarray:
         if not rows:
             return np.zeros(len(self.languages), np.float32)
         return self.table[n][rows].mean(axis=0) if n else self.table[0][rows[0]]
@@ -129,6 +135,7 @@ class Predictor:
     def __init__(self, model: Model):
         self.model, self.place = model, {}
         self.scores = np.zeros((CACHE, len(model.languages)), np.float32)
+        self.tells = np.zeros(CACHE, bool)
 
     def _places(self, words: list[str]) -> list[int]:
         place = self.place
@@ -138,20 +145,30 @@ class Predictor:
             new = set(words)
             if len(new) > len(self.scores):
                 self.scores = np.zeros((len(new), self.scores.shape[1]), np.float32)
+                self.tells = np.zeros(len(new), bool)
         for w in new:
-            self.scores[len(place)] = self.model.word(w)
+            n, rows = self.model.rows(w)
+            self.scores[len(place)] = self.model.score(n, rows)
+            self.tells[len(place)] = has_letter(w) and (bool(rows) or len(self.model.languages) < 2)
             place[w] = len(place)
         return [place[w] for w in words]
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, int]:
+        """Language, score and the number of words that tell: those with a letter of which the model knows as much as a letter, or
+        all with a letter where fewer than two languages were learned."""
         words = words_of(text) if text else []
-        if not self.model.languages or not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
+        if not self.model.languages:
+            return UNKNOWN, 0.0, sum(map(has_letter, words))
+        if not any(map(has_letter, words)):
+            return UNKNOWN, 0.0, 0
         places = self._places(words)
         total = self.scores[places].sum(axis=0, dtype=np.float64)
         odds = np.exp((total - total.max()) * (min(len(words), TRUSTED) / len(words)))
         best = int(total.argmax())
-        return self.model.languages[best], float(odds[best] / odds.sum())
+        return self.model.languages[best], float(odds[best] / odds.sum()), int(self.tells[places].sum())
 
 
 def train(labelled: DataFrame, *, id_col: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
@@ -161,39 +178,32 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", rows_per_language: int
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
-    """``docs`` with the struct column ``out`` (lang_pred, score)."""
+    """``docs`` with the struct column ``out`` (lang_pred, score, told: its words that tell)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, told long")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         forget_kept()
         predictor = Predictor(shared.value)
         try:
             for texts in batches:
-                yield pd.DataFrame([predictor.predict(t) for t in texts], columns=["lang_pred", "score"])
+                yield pd.DataFrame([predictor.judge(t) for t in texts], columns=["lang_pred", "score", "told"])
         finally:
             del predictor
             release_memory()
 
-    return docs.withColumn(out, predict(F.col(text_col).cast("string")))
-
+    # It is deterministic; marked otherwise, so that a filter on the prediction is not pushed below it, to predict twice.
+    return docs.withColumn(out, predict.asNondeterministic()(F.col(text_col).cast("string")))
 
-def drop_unidentified(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without those of no language: no letter, or no word of which the model knows as much as a letter. A text that is
-    short or mixed stays however level the languages are in it; where fewer than two were learned, all texts with letters stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def told(text: str | None) -> bool:
-        words = [w for w in words_of(text or "") if any(c.isalpha() for c in w)]
-        return bool(words) and (len(shared.value.languages) < 2 or any(shared.value.rows(w)[1] for w in words))
-
-    @F.pandas_udf("boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        forget_kept()
-        for texts in batches:
-            yield pd.Series([told(t) for t in texts], dtype=bool)
 
-    return docs.where(run(F.col("text").cast("string")))
+def drop_unidentified(docs: DataFrame, model: Model, lang_col: str | None = None) -> DataFrame:
+    """``docs`` without those of no language, by ``identify`` of their whole texts: no letter, or no word of which the model knows as
+    much as a letter. A text that is short or mixed stays however level the languages are in it; where fewer than two were learned,
+    all texts with letters stay. ``lang_col``: a string column whose nulls become the predicted language."""
+    found = identify(docs, model, out="__li").where("__li.told > 0")
+    if lang_col is not None:
+        found = found.withColumn(lang_col, F.coalesce(F.col(lang_col), F.nullif("__li.lang_pred", F.lit(UNKNOWN))))
+    return found.drop("__li")
 
 
 def held_out(parts: int, part: int):

@@ -76,6 +76,24 @@ def test_level_texts_stay_and_only_unknown_ones_go(spark):
     assert sorted(r["doc_id"] for r in L.drop_unidentified(docs, nothing).collect()) == [1, 2, 3, 5]
 
 
+def test_words_that_tell():
+    p = L.Predictor(model())
+    for text, told in (("help ыы zebra", 2), ("ыы", 0), ("12 !", 0), (None, 0), ("zebra " * 300, 300)):
+        assert p.judge(text) == (*p.predict(text), told)
+    assert L.Predictor(L.Model(pd.DataFrame(columns=["lang", "n", "gram", "times", "total"]))).judge("ыы 12 help") == ("und", 0.0, 2)
+
+
+def test_documents_are_dropped_by_the_prediction_of_their_whole_texts(spark):
+    texts = [(1, "hello zebra zero zebra", None), (2, "zero hello helium", None), (3, "zebra", "aa"), (4, "ыы", None), (5, None, "aa")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    kept = L.drop_unidentified(docs, model(), lang_col="lang")
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    assert sorted(kept.select("doc_id", "lang").collect()) == [(1, "bb"), (2, "aa"), (3, "aa")]  # the first word alone would say aa, bb
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # each text is predicted once
+    nothing = L.train(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r["doc_id"]: r["lang"] for r in L.drop_unidentified(docs, nothing, lang_col="lang").collect()} == {1: None, 2: None, 3: "aa", 4: None}
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
     got = L.predicted_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()

@@ -38,6 +38,21 @@ def test_filters_keep_clean_documents(spark, steps):
     assert set(ids(steps[2])) == {r["doc_id"] for r in steps[1].collect() if any(c.isalpha() for c in r["text"] or "")}
 
 
+def test_languages_are_those_op1_predicts(spark):
+    """Held-out documents whose lang is taken away get the language of the operator's prediction; given ones keep theirs."""
+    from pyspark.sql import functions as F
+
+    from sieve.llm import langid
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    docs = docs.withColumn("lang", F.when(~langid.held_out(4, 2), F.col("lang")))
+    want = {r["doc_id"]: r["lang_pred"] for r in langid.predicted_languages(docs).where("held_out").collect()}
+    given = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    got = {r["doc_id"]: r["lang"] for r in C.keep_identified(spark, docs, SF_SMALL).collect()}
+    assert len(want) > 20 and all(lang == (want[d] if d in want else given[d] or lang) for d, lang in got.items())
+    assert None not in got.values() and {d for d, lang in want.items() if lang != "und"} <= set(got)
+
+
 def test_one_document_of_each_group_stays(steps):
     marks = {r["doc_id"]: simhash.fingerprint((r["text"] or "").encode()) for r in steps[2].collect()}
     group = {d: d for d in marks}
